@@ -19,6 +19,7 @@ def build_session(app: str = "sitegraph", cpus: int | str = "*", **conf: str) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
