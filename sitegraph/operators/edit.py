@@ -14,7 +14,8 @@ from sitegraph.operators.intervals import stab_join
 from sitegraph.operators.select import Selector
 from sitegraph.operators.tree import PAGE
 
-_ROWS_SO_FAR = W.partitionBy(PAGE).orderBy("pre").rowsBetween(W.unboundedPreceding, 0)
+def _rows_so_far(last: int = 0):
+    return W.partitionBy(PAGE).orderBy("pre").rowsBetween(W.unboundedPreceding, last)
 
 
 def covered_by(chosen: Column, strictly: bool = False) -> Column:
@@ -23,10 +24,7 @@ def covered_by(chosen: Column, strictly: bool = False) -> Column:
     One ordered pass per page: intervals nest, so a node is inside iff the
     furthest ``post`` of the chosen nodes before it reaches it.
     """
-    frame = _ROWS_SO_FAR
-    if strictly:
-        frame = W.partitionBy(PAGE).orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
-    furthest = F.max(F.when(chosen, F.col("post"))).over(frame)
+    furthest = F.max(F.when(chosen, F.col("post"))).over(_rows_so_far(-1 if strictly else 0))
     return F.coalesce(furthest >= F.col("pre"), F.lit(False))
 
 
@@ -161,9 +159,8 @@ def parse_only(nodes: DataFrame, selector: Selector) -> DataFrame:
     marked = nodes.withColumns({
         "_in": covered_by(chosen), "_inner": covered_by(chosen, strictly=True),
     })
-    top = W.partitionBy(PAGE).orderBy("pre").rowsBetween(W.unboundedPreceding, 0)
     marked = marked.withColumn("_shift", F.last(
-        F.when(F.col("_in") & ~F.col("_inner"), F.col("depth") - 1), ignorenulls=True).over(top))
+        F.when(F.col("_in") & ~F.col("_inner"), F.col("depth") - 1), ignorenulls=True).over(_rows_so_far()))
     kept = marked.filter("_in OR pre = 0").withColumns({
         "depth": F.when(F.col("pre") == 0, 0).otherwise(F.col("depth") - F.col("_shift")),
         "parent_pre": F.when(F.col("pre") == 0, F.col("parent_pre"))
