@@ -211,12 +211,13 @@ def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
                keep: Iterable[str] = ("page_id",), entities: str | None = None,
                massage: Massage = DEFAULT_MASSAGE, void: Iterable[str] = (),
                squeeze_blanks: bool = True, slash_closes: bool = False,
-               names: Iterable[str] | None = None) -> DataFrame:
+               names: Iterable[str] | None = None, strings: bool = False) -> DataFrame:
     """Node table of tolerant markup, one row per element or string.
 
     ``names`` keeps only those elements, all strings and the root; attributes of
     others are never computed. ``slash_closes`` treats ``<x/>`` as an element
-    without content; by default only void elements are.
+    without content; by default only void elements are. ``strings`` adds
+    ``string``: the text of an element whose only child is a string.
     """
     rules = nesting.DIALECTS[dialect]
     if void:
@@ -232,41 +233,60 @@ def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
         heads = F.zip_with(heads, "tokens", lambda h, t: F.when(
             h.rlike("^<[a-zA-Z]") & t.endswith("/>"), F.concat(h, F.lit("/"))).otherwise(h))
     placed = cut.select(*keep, "tokens", structure(heads).alias("s"))
-    zipped = placed.select(*keep, F.arrays_zip(
+    fields = ["raw", "post", "depth", "parent_pre", "sib_no", "keep_blank"]
+    columns = [
         F.transform("s.token", lambda i: F.get("tokens", i)).alias("token"),
-        *[F.col(f"s.{c}").alias(c) for c in ("raw", "post", "depth", "parent_pre", "sib_no", "keep_blank")],
-    ).alias("z"))
+        *[F.col(f"s.{c}").alias(c) for c in fields],
+    ]
+    if strings:
+        # an only child has the next number, and its parent ends with it
+        columns.append(F.transform(
+            "s.post", lambda end, i: F.when(end == i + 1, F.struct(
+                F.get("tokens", F.get("s.token", end)).alias("token"), F.get("s.raw", end).alias("raw"),
+                F.get("s.keep_blank", end).alias("keep_blank")))).alias("child"))
+        fields.append("child")
+    zipped = placed.select(*keep, F.arrays_zip(*columns).alias("z"))
     rows = zipped.select(*keep, F.posexplode_outer("z").alias("pre", "n")).select(*keep, "pre", "n.*")
     place = [*keep, "pre", "post", "depth", "parent_pre", "sib_no"]
 
     root, token = F.col("token").isNull(), F.col("token")
     tag = token.rlike("^<[a-zA-Z]") & ~F.col("raw")
     kinds = rows.select(
-        *place, "raw", "keep_blank", "token",
+        *place, "raw", "keep_blank", "token", *(["child"] if strings else []),
         F.when(root | tag, "tag").when(F.col("raw"), "text").otherwise(_token_kind(token)).alias("kind"),
         F.when(root, ROOT_NAME).when(tag, _tag_name(token)).alias("name"),
     )
     if names is not None:
         kinds = kinds.filter((F.col("kind") != "tag") | F.col("name").isin(*names, ROOT_NAME))
-    body = F.regexp_replace(token, f"(?is)^{_opening(rules)}", "") if rules.literal else token
-    text = complete_references(token) if entities is None else convert_entities(token, entities)
-    text = F.when(F.col("raw"), body).otherwise(text)
-    if squeeze_blanks:
-        text = F.when(F.col("keep_blank"), text).otherwise(squeeze(text))
+
+    def content(kind: Column, token: Column, raw: Column, keep_blank: Column) -> Column:
+        body = F.regexp_replace(token, f"(?is)^{_opening(rules)}", "") if rules.literal else token
+        text = complete_references(token) if entities is None else convert_entities(token, entities)
+        text = F.when(raw, body).otherwise(text)
+        if squeeze_blanks:
+            text = F.when(keep_blank, text).otherwise(squeeze(text))
+        return (
+            F.when(kind == "text", text)
+            .when(kind == "comment", _inner(token, 4, r"--\s*>$"))
+            .when(kind == "cdata", _inner(token, 9, r"\]\]>$"))
+            .when(token.startswith("<?xml"), F.lit(f"xml version='1.0' encoding='{ENCODING_SLOT}'"))
+            .when(kind.isin("pi", "decl"), _inner(token, 2, ">$"))
+        )
+
     kind = F.col("kind")
-    content = (
-        F.when(kind == "text", text)
-        .when(kind == "comment", _inner(token, 4, r"--\s*>$"))
-        .when(kind == "cdata", _inner(token, 9, r"\]\]>$"))
-        .when(token.startswith("<?xml"), F.lit(f"xml version='1.0' encoding='{ENCODING_SLOT}'"))
-        .when(kind.isin("pi", "decl"), _inner(token, 2, ">$"))
-    )
+    extra = []
+    if strings:
+        child = F.col("child.token")
+        child_kind = F.when(F.col("child.raw"), "text").when(child.rlike("^<[a-zA-Z]"), "tag") \
+            .when(child.isNotNull(), _token_kind(child))
+        extra = [F.when(kind == "tag", content(child_kind, child, F.col("child.raw"), F.col("child.keep_blank"))).alias("string")]
     nodes = kinds.select(*place, "kind", "name", attr_pairs(token, F.col("name")).alias("attrs"),
-                         content.alias("text"))
+                         content(kind, token, F.col("raw"), F.col("keep_blank")).alias("text"), *extra)
     attrs = F.when(F.col("name") == "meta", _charset_slot(F.col("attrs"))) \
         .when(kind == "tag", F.coalesce("attrs", F.array().cast(ATTRS)))
-    nodes = nodes.select(*place, "kind", "name", attrs.alias("attrs"), "text")
-    nodes = nodes.select(*place, "kind", "name", "attrs", attr_map(F.col("attrs")).alias("attr"), "text")
+    extra = ["string"] if strings else []
+    nodes = nodes.select(*place, "kind", "name", attrs.alias("attrs"), "text", *extra)
+    nodes = nodes.select(*place, "kind", "name", "attrs", attr_map(F.col("attrs")).alias("attr"), "text", *extra)
     if rules.child_attributes:
         return soap_attributes(nodes)
     return nodes

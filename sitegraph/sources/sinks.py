@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,8 +24,6 @@ def write_products(products: DataFrame, path: str, indent: bool = False, ascii_o
 
     The count rides along with the write, there is no second pass.
     """
-    from pyspark.sql import Observation
-
     seen = Observation()
     if record is None:
         record = record_json([F.col(c) for c in products.columns], indent, ascii_only)
@@ -33,28 +32,33 @@ def write_products(products: DataFrame, path: str, indent: bool = False, ascii_o
     return seen.get["n"]
 
 
-def check_json_lines(lines: DataFrame, value: str = "value", order: str | None = None,
-                     by: str | None = None) -> DataFrame:
-    """Marks each line valid or not; with ``order`` also its number within ``by``.
-
-    Line numbers need the line's position, e.g. from ``read_json_lines``.
-    """
-    is_json = F.coalesce(F.try_parse_json(F.col(value)).isNotNull(), F.lit(False))
-    pretty = F.when(is_json, F.col(value))
-    return lines.withColumns({"valid": is_json, "object": pretty}).withColumn(
-        "report", F.when(F.col("valid"), F.concat(F.lit("Line "), F.col(order).cast("string"), F.lit(": "), F.col("object")))
-        .otherwise(F.concat(F.lit("Line "), F.col(order).cast("string"), F.lit(": is not valid JSON"))))
-
-
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their number: ``file, line_no, value``.
 
-    Each file is read as one record (as the line checker did), so numbers are exact.
+    Files may be split among tasks: a line's number is its rank within its split
+    plus the lines in the splits before it.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return files.select("file", F.posexplode(lines).alias("line_no", "value")) \
-        .withColumn("line_no", F.col("line_no") + 1)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), "value")
+    counts = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("file", "_block").orderBy("_row"))
+    return lines.withColumn("_rank", rank).join(offsets, ["file", "_block"]) \
+        .select("file", (F.col("_before") + F.col("_rank")).alias("line_no"), "value")
+
+
+def check_json_lines(lines: DataFrame, number: str = "line_no", value: str = "value") -> DataFrame:
+    """Adds ``valid`` and ``report``: the number with the readable object, or a complaint."""
+    parsed = F.try_parse_json(F.col(value))
+    valid = parsed.isNotNull() & (F.trim(F.col(value)) != "")
+    head = F.concat(F.lit("Line "), F.col(number).cast("string"), F.lit(": "))
+    pretty = F.to_json(parsed, {"pretty": "true"})
+    return lines.withColumns({
+        "valid": F.coalesce(valid, F.lit(False)),
+        "report": F.concat(head, F.when(valid, pretty).otherwise(F.lit("is not valid JSON"))),
+    })
 
 
 def custom_output(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
