@@ -72,14 +72,14 @@ def product_upsert(observations: DataFrame, key: str, order: Sequence[str], cont
     within a (key, time slice), and the first of each slice with the last of the
     slice before it, which needs one row per slice only.
     """
-    o = observations.withColumns({"_slice": slice_by, "_hash": F.xxhash64(*content)})
+    o = observations.withColumns({"_slice": slice_by, "_now": F.struct(*content)})
     ordered = W.partitionBy(key, "_slice").orderBy(*order)
-    o = o.withColumns({"_before": F.lag("_hash").over(ordered), "_first": F.row_number().over(ordered) == 1})
-    ends = o.groupBy(key, "_slice").agg(F.max_by("_hash", F.struct(*order)).alias("_last"))
+    o = o.withColumns({"_before": F.lag("_now").over(ordered), "_first": F.row_number().over(ordered) == 1})
+    ends = o.groupBy(key, "_slice").agg(F.max_by("_now", F.struct(*order)).alias("_last"))
     ends = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy(key).orderBy("_slice"))).drop("_last")
     out = o.join(ends, [key, "_slice"])
     previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
-    action = F.when(previous.isNull(), "insert").when(previous != F.col("_hash"), "update").otherwise("unchanged")
+    action = F.when(previous.isNull(), "insert").when(~previous.eqNullSafe(F.col("_now")), "update").otherwise("unchanged")
     return out.select(*observations.columns, action.alias("action"))
 
 
