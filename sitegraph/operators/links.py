@@ -172,7 +172,8 @@ def seek_many(pages: DataFrame, seekers: dict[str, SeekerSpec], **options: objec
     return out
 
 
-def seek_report(pages: DataFrame, seeker: SeekerSpec, url: str) -> DataFrame:
-    """What the rules make of one page at hop 0, as readable JSON."""
-    tasks = seek(pages.filter(F.col("url") == url), seeker)
-    return tasks.select("pos", "rule_no", pretty_json(F.struct(*TASK_COLUMNS)).alias("task"))
+def seek_report(pages: DataFrame, seeker: SeekerSpec, url: str | None = None) -> DataFrame:
+    """What the rules make of one page (or each page) at hop 0, as readable JSON."""
+    chosen = pages if url is None else pages.filter(F.col("url") == url)
+    tasks = seek(chosen, seeker)
+    return tasks.select("page_id", "pos", "rule_no", pretty_json(F.struct(*TASK_COLUMNS)).alias("task"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,7 +54,6 @@ class Selector:
     attrs: Mapping[str, Matcher] | str | None = None
     text: Matcher = None
     where: Callable[[Callable[[str], Column]], Column] | None = None
-    extra: dict = field(default_factory=dict)
 
     def on(self, row: Callable[[str], Column] = F.col) -> Column:
         """Predicate; ``row`` maps a node column name to a Column."""
@@ -73,7 +72,8 @@ class Selector:
         return found
 
 
-ANY = Selector(where=lambda row: F.lit(True))
+# no criteria: every element (strings need a ``text`` criterion)
+ANY = Selector()
 
 
 def sel(name: Matcher = None, attrs: Mapping[str, Matcher] | str | None = None,
