@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.functions import nesting
 from sitegraph.functions.entities import attribute_value, complete_references, convert_entities
+from sitegraph.functions.once import once
 from sitegraph.functions.text import squeeze
 from sitegraph.schemas import ATTRS, ROOT_NAME
 
@@ -178,12 +179,8 @@ def attr_pairs(raw: Column, name: Column) -> Column:
 def attr_map(attrs: Column) -> Column:
     """Lookup map; the last of several equal names wins."""
     keys = F.transform(attrs, lambda a: a["k"])
-    names = F.array_distinct(keys)
-    last = F.transform(
-        names, lambda n: F.element_at(F.filter(attrs, lambda a: a["k"] == n), -1)["v"]
-    )
-    return F.when(F.size(names) == F.size(attrs), F.map_from_arrays(keys, F.transform(attrs, lambda a: a["v"]))) \
-        .otherwise(F.map_from_arrays(names, last))
+    last = F.filter(attrs, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size(attrs)), a["k"]))
+    return F.map_from_entries(F.when(F.size(attrs) < 2, attrs).otherwise(last))
 
 
 def _charset_slot(attrs: Column) -> Column:
@@ -251,11 +248,10 @@ def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
 
     root, token = F.col("token").isNull(), F.col("token")
     tag = token.rlike("^<[a-zA-Z]") & ~F.col("raw")
-    kinds = rows.select(
-        *place, "raw", "keep_blank", "token", *(["child"] if strings else []),
-        F.when(root | tag, "tag").when(F.col("raw"), "text").otherwise(_token_kind(token)).alias("kind"),
-        F.when(root, ROOT_NAME).when(tag, _tag_name(token)).alias("name"),
-    )
+    kinds = once(rows, {
+        "kind": F.when(root | tag, "tag").when(F.col("raw"), "text").otherwise(_token_kind(token)),
+        "name": F.when(root, ROOT_NAME).when(tag, _tag_name(token)),
+    })
     if names is not None:
         kinds = kinds.filter((F.col("kind") != "tag") | F.col("name").isin(*names, ROOT_NAME))
 
@@ -280,13 +276,10 @@ def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
         child_kind = F.when(F.col("child.raw"), "text").when(child.rlike("^<[a-zA-Z]"), "tag") \
             .when(child.isNotNull(), _token_kind(child))
         extra = [F.when(kind == "tag", content(child_kind, child, F.col("child.raw"), F.col("child.keep_blank"))).alias("string")]
-    nodes = kinds.select(*place, "kind", "name", attr_pairs(token, F.col("name")).alias("attrs"),
+    pairs = F.when(kind == "tag", F.coalesce(attr_pairs(token, F.col("name")), F.array().cast(ATTRS)))
+    nodes = once(kinds, {"attrs": F.when(F.col("name") == "meta", _charset_slot(pairs)).otherwise(pairs)})
+    nodes = nodes.select(*place, "kind", "name", "attrs", attr_map(F.col("attrs")).alias("attr"),
                          content(kind, token, F.col("raw"), F.col("keep_blank")).alias("text"), *extra)
-    attrs = F.when(F.col("name") == "meta", _charset_slot(F.col("attrs"))) \
-        .when(kind == "tag", F.coalesce("attrs", F.array().cast(ATTRS)))
-    extra = ["string"] if strings else []
-    nodes = nodes.select(*place, "kind", "name", attrs.alias("attrs"), "text", *extra)
-    nodes = nodes.select(*place, "kind", "name", "attrs", attr_map(F.col("attrs")).alias("attr"), "text", *extra)
     if rules.child_attributes:
         return soap_attributes(nodes)
     return nodes

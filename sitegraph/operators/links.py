@@ -9,11 +9,13 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitegraph.functions.once import once
 from sitegraph.functions.text import pretty_json, strip
 from sitegraph.functions.urls import resolve_url
-from sitegraph.operators.html_nodes import attr_map, attr_pairs, html_nodes, html_tokens
+from sitegraph.operators.html_nodes import attr_pairs, html_nodes, html_tokens
 from sitegraph.operators.select import Selector
 from sitegraph.schemas import TASK_COLUMNS
 
@@ -50,11 +52,12 @@ def extract_links(pages: DataFrame, scope: Selector | None = None,
     keep = list(keep)
     if scope is None:
         anchors = html_tokens(pages, html=html, keep=keep, names=["a"]).filter("kind = 'start'")
-        anchors = anchors.select(*keep, "pos", attr_map(attr_pairs(F.col("raw"), F.col("name")))["href"].alias("href"))
+        pairs = attr_pairs(F.col("raw"), F.lit("a"))
+        href = F.try_element_at(F.filter(pairs, lambda a: a["k"] == "href"), F.lit(-1))["v"]
+        anchors = once(anchors, {"href": href}).select(*keep, "pos", "href")
     else:
         anchors = _scoped_anchors(pages, scope, keep, html)
-    links = anchors.filter("href IS NOT NULL").select(*keep, "pos", strip(F.col("href")).alias("href"))
-    return links
+    return anchors.filter("href IS NOT NULL").select(*keep, "pos", strip(F.col("href")).alias("href"))
 
 
 def _scoped_anchors(pages: DataFrame, scope: Selector, keep: list[str], html: str) -> DataFrame:
@@ -67,7 +70,7 @@ def _scoped_anchors(pages: DataFrame, scope: Selector, keep: list[str], html: st
     nodes = nodes.filter((F.col("kind") == "tag") & (F.col("pre") > 0))
     is_scope = scope.on()
     href = F.when(F.col("name") == "a", F.col("attr")["href"])
-    flat = nodes.select(*keep, "pre", "post", is_scope.alias("is_scope"), href.alias("href")) \
+    flat = once(nodes, {"is_scope": is_scope, "href": href}).select(*keep, "pre", "post", "is_scope", "href") \
         .filter(F.col("is_scope") | F.col("href").isNotNull())
     per_page = flat.groupBy(*keep).agg(
         F.min_by(F.struct("pre", "post"), F.when(F.col("is_scope"), F.col("pre"))).alias("scope"),
@@ -81,7 +84,7 @@ def _scoped_anchors(pages: DataFrame, scope: Selector, keep: list[str], html: st
 
 def resolve_links(links: DataFrame, base: str = "url") -> DataFrame:
     """Adds ``link``: the absolute form against the final page URL."""
-    return links.withColumn("link", resolve_url(F.col(base), F.col("href")))
+    return once(links, {"link": resolve_url(F.col(base), F.col("href"))})
 
 
 def anchored(regex: str) -> str:
@@ -120,9 +123,8 @@ def match_rule_table(links: DataFrame, rules: DataFrame, url: str = "link", on:
     """Same with rules from a table, e.g. one rule set per store: links carry the
     name of their rule set. ``stop_if_matched`` is applied per link."""
     joined = links.join(rules, on).filter(F.col(url).isNotNull() & F.expr(f"{url} RLIKE concat('^(?:', regex, ')')"))
-    keys = list(links.columns)
-    stop_at = joined.filter("stop_if_matched").groupBy(*keys).agg(F.min("rule_no").alias("_stop"))
-    limited = joined.join(stop_at, keys, "left")
+    stop_at = F.min(F.when(F.col("stop_if_matched"), F.col("rule_no"))).over(W.partitionBy(*links.columns))
+    limited = joined.withColumn("_stop", stop_at)
     return limited.filter("_stop IS NULL OR rule_no <= _stop").drop("_stop")
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegraph.functions.once import once
 from sitegraph.functions.text import pretty_json
 from sitegraph.operators.html_nodes import html_nodes
 from sitegraph.operators.select import Selector
@@ -304,8 +305,8 @@ def mine(pages: DataFrame, spec: MineSpec, keep: Iterable[str] = ("page_id", "ur
     mask = F.lit(0).cast("bigint")
     for n, s in enumerate(plan.selectors):
         mask = mask + F.when(s.on(), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
-    wanted = nodes.select(
-        *keep, "pre", "post", mask.alias("mask"),
+    wanted = once(nodes, {"mask": mask}).select(
+        *keep, "pre", "post", "mask",
         F.when(F.col("kind") == "tag", F.col("string")).otherwise(F.col("text")).alias("s"),
         *[F.col("attr")[k].alias(f"a{i}") for i, k in enumerate(plan.attrs)],
     ).filter("mask <> 0 OR pre = 0")
