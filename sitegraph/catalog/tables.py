@@ -30,7 +30,7 @@ def as_fetch_events(events: DataFrame) -> DataFrame:
                     F.lit("-"), (F.col("event_id") % 8).cast("string"))
     return events.select(
         item.alias("url"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"),
         F.when(F.col("event_type") == "purchase", "")
         .otherwise(F.concat(F.lit("HTTP "), "event_type")).alias("status_code"),
