@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import nodes, with_nodes
+from sitegraph.catalog.tables import nodes, saved_nodes, with_nodes
 from sitegraph.operators import edit as E
 from sitegraph.operators.render import prettify, render, render_special
 from sitegraph.operators.select import sel
@@ -39,7 +39,7 @@ def _kept(sql: str) -> str:
 
 @query("render", with_nodes(_RENDERED, _kept("SELECT * FROM nodes"), _RENDER))
 def _render(spark, sf):
-    return _digest(render(nodes(spark, sf)))
+    return _digest(render(saved_nodes(spark, sf)))
 
 
 @query("prettify", with_nodes(r"""
@@ -47,7 +47,7 @@ def _render(spark, sf):
       SELECT page_id, string_agg(repeat(' ', CAST(depth - 1 AS INT)) || CASE WHEN kind = 'tag' THEN piece ELSE trim(piece, ' ') END, chr(10) ORDER BY a, b, c) AS html
       FROM pieces WHERE trim(piece, ' ') <> '' GROUP BY page_id)""", _kept("SELECT * FROM nodes"), _RENDER))
 def _prettify(spark, sf):
-    return _digest(prettify(nodes(spark, sf)))
+    return _digest(prettify(saved_nodes(spark, sf)))
 
 
 @query("render_special", with_nodes("""
@@ -72,7 +72,7 @@ def _drop_subtrees(spark, sf):
     SELECT n.* FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes a WHERE a.page_id = n.page_id
       AND a.name IN ('nav', 'article') AND n.pre > a.pre AND n.pre <= a.post)"""), _RENDER))
 def _clear_contents(spark, sf):
-    return _digest(render(E.clear_contents(nodes(spark, sf), sel(["nav", "article"]))))
+    return _digest(render(E.clear_contents(saved_nodes(spark, sf), sel(["nav", "article"]))))
 
 
 @query("unwrap", with_nodes("""
@@ -83,7 +83,7 @@ def _clear_contents(spark, sf):
       WHERE a.page_id = n.page_id AND a.pre < n.pre AND a.post >= n.pre AND a.kind = 'tag' AND a.name NOT IN ('b', 'li', 'ul'))
     WHERE n.name IS NULL OR n.name NOT IN ('b', 'li', 'ul')"""))
 def _unwrap(spark, sf):
-    return _rows(E.unwrap(nodes(spark, sf), sel(["b", "li", "ul"])), "pre", "depth", "parent_pre", "sib_no")
+    return _rows(E.unwrap(saved_nodes(spark, sf), sel(["b", "li", "ul"])), "pre", "depth", "parent_pre", "sib_no")
 
 
 _INSIDE = "EXISTS (SELECT 1 FROM nodes a WHERE a.page_id = n.page_id AND a.name = '{0}' AND n.pre {1} a.pre AND n.pre <= a.post)"
@@ -93,14 +93,14 @@ _INSIDE = "EXISTS (SELECT 1 FROM nodes a WHERE a.page_id = n.page_id AND a.name
     SELECT page_id, pre * 2 AS pre, post * 2 + 1 AS post, depth, kind, name, attr_k, attr_v, text FROM nodes n WHERE NOT {_INSIDE.format('h1', '>')}
     UNION ALL SELECT page_id, pre * 2 + 1, pre * 2 + 1, depth + 1, 'text', NULL, '', '', 'New heading' FROM nodes WHERE name = 'h1'"""), _RENDER))
 def _set_string(spark, sf):
-    return _digest(render(E.set_string(nodes(spark, sf), sel("h1"), "New heading")))
+    return _digest(render(E.set_string(saved_nodes(spark, sf), sel("h1"), "New heading")))
 
 
 @query("replace_nodes", with_nodes(_RENDERED, _kept(f"""
     SELECT page_id, pre, post, depth, kind, name, attr_k, attr_v, text FROM nodes n WHERE NOT {_INSIDE.format('nav', '>=')}
     UNION ALL SELECT page_id, pre, pre, depth, 'text', NULL, '', '', '[menu]' FROM nodes WHERE name = 'nav'"""), _RENDER))
 def _replace_nodes(spark, sf):
-    return _digest(render(E.replace_nodes(nodes(spark, sf), sel("nav"), "[menu]")))
+    return _digest(render(E.replace_nodes(saved_nodes(spark, sf), sel("nav"), "[menu]")))
 
 
 def _attr_text(n):

@@ -10,6 +10,7 @@ from sitegraph.catalog.tables import pages, table
 from sitegraph.operators import mine as M
 from sitegraph.operators.select import sel
 from sitegraph.plans import shops
+from sitegraph.sources.pages import spread
 
 
 def _cat(*parts: Column | str) -> Column:
@@ -25,7 +26,7 @@ def _key() -> Column:
 
 
 def _shop_pages(spark, sf, body: Column) -> DataFrame:
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     html = _cat("<html><head><title>x</title></head><body><div class='top'><ul><li>menu</li></ul></div>", body, "</body></html>")
     return part.select(F.col("p_partkey").alias("page_id"), _cat("/part/", _key()).alias("url"), html.alias("html"))
 
@@ -173,7 +174,7 @@ def _mine(spark, sf):
 
 @query("mine_url", "SELECT url FROM pages")
 def _mine_url(spark, sf):
-    return M.mine_url(pages(spark, sf))
+    return M.mine_url(table(spark, sf, "pages"))
 
 
 @query("mine_regex", r"""

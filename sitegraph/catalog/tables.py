@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.operators.html_nodes import html_nodes
+from sitegraph.session import cut_lineage, run_folder
+from sitegraph.sources.pages import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -13,13 +15,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")
+    return spread(table(spark, sf, "pages"))
 
 
 def nodes(spark: SparkSession, sf: str, **options: object) -> DataFrame:
     return html_nodes(pages(spark, sf), **options)
 
 
+def saved_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The node table, written once: for queries that read it more than once."""
+    return cut_lineage(nodes(spark, sf), run_folder(spark, "nodes"))
+
+
 def fetch_events(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` read as the log of fetch starts and ends."""
     return as_fetch_events(table(spark, sf, "events"))

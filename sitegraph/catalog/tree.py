@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import nodes, with_nodes
+from sitegraph.catalog.tables import nodes, saved_nodes, with_nodes
 from sitegraph.operators import tree as T
 from sitegraph.operators.select import attr_get, attr_has, sel
 
@@ -35,7 +35,7 @@ _BELOW = "d.pre > c.pre AND d.pre <= c.post"
 
 @query("find_all", _pairs(f"{_BELOW} AND d.name IN ('a', 'b', 'br')", "'body', 'article', 'ul', 'li', 'p', 'b'"))
 def _find_all(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.find_all(n, sel(["a", "b", "br"]), _of(n, "body", "article", "ul", "li", "p", "b")))
 
 
@@ -48,13 +48,13 @@ def _find_all_limit(spark, sf):
 
 @query("find", _one(f"{_BELOW} AND d.name = 'b'", "'p', 'article', 'ul'"))
 def _find(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.find(n, sel("b"), _of(n, "p", "article", "ul")))
 
 
 @query("find_children", _pairs("d.parent_pre = c.pre AND d.kind = 'tag'", "'article', 'ul', 'p', 'head'"))
 def _find_children(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.find_children(n, _of(n, "article", "ul", "p", "head"), sel(True)))
 
 
@@ -66,25 +66,25 @@ def _find_text(spark, sf):
 
 @query("next_elements", _pairs("d.pre > c.pre AND d.name = 'p'", "'h1', 'p'"))
 def _next_elements(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.next_elements(n, _of(n, "h1", "p"), sel("p")))
 
 
 @query("next_element", _one("d.pre > c.pre AND d.name = 'b'", "'h1', 'p'"))
 def _next_element(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.next_element(n, _of(n, "h1", "p"), sel("b")))
 
 
 @query("previous_elements", _pairs("d.pre < c.pre AND d.name IN ('li', 'body')", "'footer', 'h1', 'a'"))
 def _previous_elements(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.previous_elements(n, _of(n, "footer", "h1", "a"), sel(["li", "body"])))
 
 
 @query("previous_element", _one("d.pre < c.pre AND d.name = 'div'", "'footer', 'h1', 'a'", "max"))
 def _previous_element(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.previous_element(n, _of(n, "footer", "h1", "a"), sel("div")))
 
 
@@ -93,25 +93,25 @@ _SAME = "d.parent_pre = c.parent_pre"
 
 @query("next_siblings", _pairs(f"{_SAME} AND d.pre > c.pre AND d.kind = 'tag'", "'li', 'title', 'p'"))
 def _next_siblings(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.next_siblings(n, _of(n, "li", "title", "p"), sel(True)))
 
 
 @query("next_sibling", _one(f"{_SAME} AND d.pre > c.pre AND d.kind = 'tag'", "'li', 'title', 'p'"))
 def _next_sibling(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.next_sibling(n, _of(n, "li", "title", "p"), sel(True)))
 
 
 @query("previous_siblings", _pairs(f"{_SAME} AND d.pre < c.pre AND d.name = 'li'", "'li'"))
 def _previous_siblings(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.previous_siblings(n, _of(n, "li"), sel("li")))
 
 
 @query("previous_sibling", _one(f"{_SAME} AND d.pre < c.pre AND d.kind = 'tag'", "'li', 'article', 'br'", "max"))
 def _previous_sibling(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.previous_sibling(n, _of(n, "li", "article", "br")))
 
 
@@ -120,13 +120,13 @@ _ABOVE = "d.pre < c.pre AND d.post >= c.pre"
 
 @query("parents", _pairs(f"{_ABOVE} AND d.kind = 'tag'", "'a', 'b', 'br'"))
 def _parents(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.parents(n, _of(n, "a", "b", "br"), sel(True)))
 
 
 @query("parent", _one(f"{_ABOVE} AND d.name IN ('ul', 'article', 'html')", "'a', 'b', 'br', 'title'", "max"))
 def _parent(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.parent(n, _of(n, "a", "b", "br", "title"), sel(["ul", "article", "html"])))
 
 
@@ -192,7 +192,7 @@ def _attr_has(spark, sf):
     SELECT t.page_id, t.pre, (SELECT CASE WHEN count(*) = 1 AND bool_and(x.kind <> 'tag') THEN max(x.text) END
       FROM nodes x WHERE x.page_id = t.page_id AND x.parent_pre = t.pre) AS string FROM nodes t WHERE t.kind = 'tag'"""))
 def _node_string(spark, sf):
-    return T.node_string(nodes(spark, sf)).select("page_id", F.col("pre").cast("bigint"), "string")
+    return T.node_string(saved_nodes(spark, sf)).select("page_id", F.col("pre").cast("bigint"), "string")
 
 
 @query("node_text", with_nodes(r"""
@@ -200,7 +200,7 @@ def _node_string(spark, sf):
     FROM nodes c LEFT JOIN nodes x ON x.page_id = c.page_id AND x.kind <> 'tag' AND x.pre > c.pre AND x.pre <= c.post
     WHERE c.name IN ('[document]', 'nav', 'li', 'article', 'p', 'br', 'head') GROUP BY ALL"""))
 def _node_text(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     text = T.node_text(n, _of(n, "[document]", "nav", "li", "article", "p", "br", "head"), "|")
     return text.select("page_id", F.col("ctx_pre").cast("bigint"), F.md5("text").alias("digest"))
 
@@ -209,7 +209,7 @@ def _node_text(spark, sf):
     SELECT page_id, pre, (SELECT count(*) FROM nodes x WHERE x.page_id = t.page_id AND x.parent_pre = t.pre) AS n_children
     FROM nodes t WHERE kind = 'tag'"""))
 def _child_count(spark, sf):
-    return T.child_count(nodes(spark, sf)).select("page_id", F.col("pre").cast("bigint"), "n_children")
+    return T.child_count(saved_nodes(spark, sf)).select("page_id", F.col("pre").cast("bigint"), "n_children")
 
 
 @query("child_index", with_nodes("SELECT page_id, pre, sib_no AS child_index FROM nodes WHERE pre > 0"))
@@ -222,7 +222,7 @@ def _child_index(spark, sf):
       ON l.page_id = u.page_id AND l.pre > u.pre AND l.pre <= u.post AND l.name = 'li' WHERE u.name = 'ul'
     QUALIFY row_number() OVER (PARTITION BY u.page_id, u.pre ORDER BY l.pre) = 3"""))
 def _nth_child(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return _hits(T.nth_match(n, _of(n, "ul"), sel("li"), 2))
 
 
@@ -230,7 +230,7 @@ def _nth_child(spark, sf):
     SELECT page_id, pre FROM nodes p WHERE name = 'p' AND EXISTS (
       SELECT 1 FROM nodes b WHERE b.page_id = p.page_id AND b.parent_pre = p.pre AND b.name = 'b')"""))
 def _contains_child(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     return T.contains_child(n, _of(n, "p"), sel("b")).select("page_id", F.col("pre").cast("bigint"))
 
 
@@ -240,7 +240,7 @@ def _contains_child(spark, sf):
       FROM nodes c JOIN nodes d ON d.page_id = c.page_id AND d.pre BETWEEN c.pre AND c.post
       WHERE c.name IN ('li', 'style', 'script', 'nav', 'b', 'div') GROUP BY ALL)"""))
 def _subtree_equal(spark, sf):
-    n = nodes(spark, sf)
+    n = saved_nodes(spark, sf)
     prints = T.subtree_fingerprint(n, _of(n, "li", "style", "script", "nav", "b", "div"))
     return prints.join(T.equal_subtrees(prints), "fingerprint").select(
         "page_id", F.col("ctx_pre").cast("bigint"), "first_page", "copies")

@@ -16,7 +16,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Only tab, line feed, form feed, carriage return and space."""
-    return F.translate(text, "\t\n\f\r ", "") == ""
+    return text.rlike(r"^[\t\n\f\r ]*\z")
 
 
 def squeeze(text: Column) -> Column:

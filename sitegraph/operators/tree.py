@@ -199,15 +199,24 @@ def node_string(nodes: DataFrame) -> DataFrame:
 
 
 def node_text(nodes: DataFrame, ctx: DataFrame, separator: str = "") -> DataFrame:
-    """All strings inside each context, trimmed and joined in document order."""
-    strings = nodes.filter("kind <> 'tag'").select(PAGE, "pre", strip(F.col("text")).alias("s"))
-    inside = _context(ctx).withColumn("_lo", F.col("ctx_pre") + 1)
-    parts = stab_join(strings, inside, "pre", "_lo", "ctx_post").groupBy(PAGE, "ctx_pre").agg(
-        F.array_sort(F.collect_list(F.struct("pre", "s"))).alias("parts"))
-    joined = F.array_join(F.transform("parts", lambda p: p["s"]), separator)
-    base = ctx.select(PAGE, F.col("pre").alias("ctx_pre"))
-    return base.join(parts, [PAGE, "ctx_pre"], "left").select(
-        PAGE, "ctx_pre", F.coalesce(joined, F.lit("")).alias("text"))
+    """All strings inside each context, trimmed and joined in document order.
+
+    Strings are brought together once per page; a context is a slice of that
+    list, found from the number of strings before its first and last node. Texts
+    are never repeated per context on the way.
+    """
+    is_string = F.col("kind") != "tag"
+    lists = nodes.filter(is_string).groupBy(PAGE).agg(
+        F.array_sort(F.collect_list(F.struct("pre", strip(F.col("text")).alias("s")))).alias("all"))
+    so_far = F.count_if(is_string).over(
+        W.partitionBy(PAGE).orderBy("pre").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    counts = nodes.select(PAGE, F.col("pre").alias("at"), so_far.alias("k"))
+    base = ctx.select(PAGE, F.col("pre").alias("ctx_pre"), F.col("post").alias("ctx_post"))
+    bounds = base.join(counts.select(PAGE, F.col("at").alias("ctx_pre"), F.col("k").alias("lo")), [PAGE, "ctx_pre"]) \
+        .join(counts.select(PAGE, F.col("at").alias("ctx_post"), F.col("k").alias("hi")), [PAGE, "ctx_post"])
+    inside = F.slice("all", F.col("lo") + 1, F.col("hi") - F.col("lo"))
+    text = F.array_join(F.transform(inside, lambda p: p["s"]), separator)
+    return bounds.join(lists, PAGE, "left").select(PAGE, "ctx_pre", F.coalesce(text, F.lit("")).alias("text"))
 
 
 def subtree_fingerprint(nodes: DataFrame, ctx: DataFrame) -> DataFrame:
