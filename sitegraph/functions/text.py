@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +31,18 @@ def squeeze(text: Column) -> Column:
 
 def pretty_json(value: Column) -> Column:
     return F.to_json(value, {"pretty": "true"})
+
+
+def indent_json(text: Column, sort_keys: bool = False) -> Column:
+    """JSON text laid out for reading (four blanks per level), for reports."""
+
+    @F.arrow_udf("STRING")
+    def indent(lines: pa.Array) -> pa.Array:
+        def layout(line: str | None) -> str | None:
+            if line is None:
+                return None
+            return json.dumps(json.loads(line), indent=4, ensure_ascii=False, sort_keys=sort_keys)
+
+        return pa.array([layout(line) for line in lines.to_pylist()], pa.string())
+
+    return indent(text)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions.once import once
-from sitegraph.functions.text import pretty_json
+from sitegraph.functions.text import indent_json, pretty_json
 from sitegraph.operators.html_nodes import html_nodes
 from sitegraph.operators.select import Selector
 from sitegraph.schemas import DETAILS, IMAGES, PRODUCT_FIELDS
@@ -342,7 +342,7 @@ def product_json(pretty: bool = False) -> Column:
     flat = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(scalars, images)))))
     nested = F.concat(F.regexp_replace(flat, r"\}$", ',"prod_details":'), F.to_json("prod_details"), F.lit("}"))
     line = F.when(F.col("prod_details").isNull(), flat).otherwise(nested)
-    return F.to_json(F.parse_json(line), {"pretty": "true"}) if pretty else line
+    return indent_json(line, sort_keys=True) if pretty else line
 
 
 def mine_url(pages: DataFrame) -> DataFrame:

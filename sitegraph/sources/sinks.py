@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitegraph.functions.text import indent_json
+
 
 def record_json(columns: list[Column], indent: bool = False, ascii_only: bool = True) -> Column:
     options = {"ignoreNullFields": "true"}
@@ -54,7 +56,8 @@ def check_json_lines(lines: DataFrame, number: str = "line_no", value: str = "va
     parsed = F.try_parse_json(F.col(value))
     valid = parsed.isNotNull() & (F.trim(F.col(value)) != "")
     head = F.concat(F.lit("Line "), F.col(number).cast("string"), F.lit(": "))
-    pretty = F.to_json(parsed, {"pretty": "true"})
+    # texts that Spark accepts are laid out from their normal form
+    pretty = indent_json(F.when(valid, F.to_json(parsed)))
     return lines.withColumns({
         "valid": F.coalesce(valid, F.lit(False)),
         "report": F.concat(head, F.when(valid, pretty).otherwise(F.lit("is not valid JSON"))),
