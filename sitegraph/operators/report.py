@@ -17,9 +17,12 @@ def job_status(tasks_done: DataFrame, tasks_pending: DataFrame, events: DataFram
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count("*").alias(name))
 
-    # four one-row aggregates side by side
-    row = counted(tasks_done, "done").join(F.broadcast(counted(tasks_pending, "pending"))) \
-        .join(F.broadcast(link_counters(events))).join(F.broadcast(counted(products, "output")))
+    parts = [counted(tasks_done, "done"), counted(tasks_pending, "pending"), link_counters(events),
+             counted(products, "output")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    row = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     text = F.format_string("Workers: %d, Tasks:(%d, pending:%d), Links:(%d, succ:%d, fail:%d), Output: %d",
                            F.lit(workers), "done", "pending", "started", "succeeded", "failed", "output")
     return row.select("done", "pending", "started", "succeeded", "failed", "output", text.alias("status"))
