@@ -174,8 +174,9 @@ def _custom_seeker(spark, sf):
 def _match_rule_table(spark, sf):
     from sitegraph.schemas import RULE
 
-    rows = [("words", n, r.regex, r.max_hop, r.revisit_interval, r.fetcher, list(r.seekers), list(r.miners), r.stop_if_matched)
-            for n, r in enumerate(RULES)]
-    links = _links(spark, sf).withColumn("rule_set", F.lit("words"))
+    # the same rules under three names, pages take turns
+    rows = [(f"set{k}", n, r.regex, r.max_hop, r.revisit_interval, r.fetcher, list(r.seekers), list(r.miners), r.stop_if_matched)
+            for k in range(3) for n, r in enumerate(RULES)]
+    links = _links(spark, sf).withColumn("rule_set", F.concat(F.lit("set"), (F.col("page_id") % 3).cast("string")))
     matched = L.match_rule_table(links, spark.createDataFrame(rows, RULE))
     return matched.select("page_id", F.col("pos").cast("bigint"), "rule_no")

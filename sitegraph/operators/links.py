@@ -92,25 +92,29 @@ def anchored(regex: str) -> str:
     return f"^(?:{regex})"
 
 
-def _rule_struct(no: int, rule: Rule, url: Column) -> Column:
+def _rule_struct(no: int, rule: Rule) -> Column:
     def names(values: tuple[str, ...]) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
-    fields = F.struct(
+    return F.struct(
         F.lit(no).alias("rule_no"), F.lit(rule.max_hop).alias("max_hop"),
         F.lit(rule.revisit_interval).cast("bigint").alias("revisit_interval"),
         F.lit(rule.fetcher).alias("fetcher"), names(rule.seekers).alias("seekers"),
         names(rule.miners).alias("miners"), F.lit(rule.stop_if_matched).alias("stop"),
     )
-    return F.when(url.rlike(anchored(rule.regex)), fields)
+
+
+def rule_array(rules: Sequence[Rule]) -> Column:
+    """The rules as a constant array, in list order."""
+    return F.array(*[_rule_struct(n, r) for n, r in enumerate(rules)])
 
 
 def match_rules(links: DataFrame, rules: Sequence[Rule], url: str = "link") -> DataFrame:
     """One row per (link, matching rule); a matching rule with ``stop_if_matched``
     hides the later ones. Rules come from a job description and are literal
     patterns in the plan, compiled once per task."""
-    hits = F.filter(F.array(*[_rule_struct(n, r, F.col(url)) for n, r in enumerate(rules)]),
-                    lambda r: r.isNotNull())
+    found = [F.when(F.col(url).rlike(anchored(r.regex)), _rule_struct(n, r)) for n, r in enumerate(rules)]
+    hits = F.filter(F.array(*found), lambda r: r.isNotNull())
     if any(r.stop_if_matched for r in rules):
         stops = F.filter(hits, lambda r: r["stop"])
         last = F.coalesce(F.try_element_at(stops, F.lit(1))["rule_no"], F.lit(len(rules)))
