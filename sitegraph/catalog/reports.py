@@ -31,7 +31,9 @@ def _job_status(spark, sf):
           count(*) FILTER (kind = 'end' AND status_code = '') AS succeeded, count(*) FILTER (kind = 'end' AND status_code <> '') AS failed
         FROM fetch_events GROUP BY 1) WINDOW w AS (ORDER BY d)"""))
 def _status_series(spark, sf):
-    series = R.status_series(fetch_events(spark, sf), "1 day", "week")
+    # days by the log's own clock, whatever the session's time zone
+    events = fetch_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    series = R.status_series(events, "1 day", "week")
     return series.select(F.date_format("at", "yyyy-MM-dd").alias("day"), *series.columns[1:])
 
 
