@@ -79,8 +79,10 @@ def product_upsert(observations: DataFrame, key: str, order: Sequence[str], cont
     ordered = W.partitionBy(key, "_slice").orderBy(*order)
     o = o.withColumns({"_before": F.lag("_now").over(ordered), "_first": F.row_number().over(ordered) == 1})
     ends = o.groupBy(key, "_slice").agg(F.max_by("_now", F.struct(*order)).alias("_last"))
-    ends = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy(key).orderBy("_slice"))).drop("_last")
-    out = o.join(ends, [key, "_slice"])
+    carried = F.lag("_last").over(W.partitionBy(key).orderBy("_slice"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), carried.alias("_carried"))
+    # null-safe: an observation without key or time is kept like any other
+    out = o.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at")))
     previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
     action = F.when(previous.isNull(), "insert").when(~previous.eqNullSafe(F.col("_now")), "update").otherwise("unchanged")
     return out.select(*observations.columns, action.alias("action"))

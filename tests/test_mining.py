@@ -181,6 +181,13 @@ def test_stateful_operator_equals_batch(spark):
     assert as_dict(latest.select("url", "s.*")) == brute_state(rows)
 
 
+def test_upsert_keeps_rows_without_time_or_key(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 1, 1), (None, 1, 1), (None, 2, 2)], "url STRING, t INT, v INT")
+    got = R.product_upsert(df, "url", ["t"], ["v"], F.col("t")).collect()
+    assert sorted((str(r.url), str(r.t), r.action) for r in got) == [
+        ("None", "1", "insert"), ("None", "2", "update"), ("a", "1", "unchanged"), ("a", "None", "insert")]
+
+
 def test_upsert_with_nulls_and_slices(spark):
     rows = [("a", i, v) for i, v in enumerate([1, 1, None, None, 2, 2, 1])]
     df = spark.createDataFrame(rows, "url STRING, t INT, v INT")
