@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegraph.llm.ann import op8_nearest_neighbours
 from sitegraph.llm.mixing import OP6_SQL, op6_mixing
+from sitegraph.llm.ngram_join import op2_ngram_jaccard_join
 from sitegraph.llm.sharding import op4_sharding
+from sitegraph.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {

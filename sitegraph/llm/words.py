@@ -66,6 +66,8 @@ class Words:
     doc: np.ndarray
     #: running sums of the polynomial, one more than bytes
     sums: np.ndarray
+    #: where each document's bytes begin, and the end
+    at: np.ndarray
 
     def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the lower-cased bytes from ``start`` to ``end``."""
@@ -111,7 +113,7 @@ def slices(texts: pa.Array, ends: np.ndarray = BLANK, lower: bool = True) -> Ite
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(code * _power(_BASE, len(raw)), out=sums[1:])
         doc = np.searchsorted(at, start, side="right") - 1
-        yield Words(first, last - first, raw, start, end, doc, sums)
+        yield Words(first, last - first, raw, start, end, doc, sums, at)
         first = last
 
 
