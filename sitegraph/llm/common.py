@@ -25,6 +25,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, run_folder(df.sparkSession, name))
 
 
+#: a join side of so many ids is copied to all tasks; beyond it, both sides are shuffled
+COPIED_IDS = 2_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A saved side of a join, copied to all tasks if its rows were counted to be few."""
+    return F.broadcast(ids) if ids.count() <= COPIED_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``ids``; rows without doc_id stay."""
+    return docs.join(sized(saved(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")), "doc_id", "left_anti").select(*docs.columns)
+
+
 def crc32_text(text: F.Column) -> F.Column:
     return F.crc32(F.encode(text, "UTF-8"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import bitmap, components, has_bit, saved, table
+from sitegraph.llm.common import bitmap, components, has_bit, saved, sized, table, without
 from sitegraph.llm.words import bounds, distinct, mix, shingles, slices
 
 #: a token among the first of so many sets is hot
@@ -32,6 +32,8 @@ HOT = 64
 BLOCK = 512
 #: size of the fixed bitmap that picks the documents of families
 BITS = 24
+#: size of the fixed bitmap that keeps tokens of one set alone out of the shuffle
+TOKEN_BITS = 26
 #: what makes the second and third order from a token
 _ORDERS = (np.uint64(0), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
 _EDGE = np.uint64(0xA0761D6478BD642F)
@@ -43,32 +45,29 @@ class Limits:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
         self.loss = 1 - num / den
+        # a set with ``prefix`` tokens in its head that are not hot is found by those alone
+        self.head_rate = self.loss + 0.05
+        # where a partner's head tokens are at the latest: a token of rank r in x has at most
+        # r + |y - x| tokens of y before it, |y - x| <= loss * |y| and |x| <= |y| / (1 - loss)
+        self.kept_rate = self.head_rate / (1 - self.loss) + self.loss
 
     def prefix(self, n):
         """Tokens that a partner must share one of."""
         return n - -(-(n * self.num) // self.den) + 1
 
-    def head(self, n):
-        """A set with ``prefix`` tokens in its head that are not hot is found by those alone."""
-        return np.minimum(n, (n * (1.5 * self.loss)).astype(np.int64) + 5)
-
     def kept(self, n):
-        """Tokens kept of a set: where a partner's head tokens are, at the latest.
-
-        A token of rank r in x has at most r + |y - x| tokens of y before it, and
-        ``|y - x| <= loss * |y|``, ``|x| <= |y| / (1 - loss)``.
-        """
-        return np.minimum(n, (n * (1.5 * self.loss / (1 - self.loss) + self.loss)).astype(np.int64) + 7)
+        """Tokens kept of a set."""
+        return np.minimum(n, (n * self.kept_rate).astype(np.int64) + 8)
 
     # the same as SQL
     def prefix_sql(self, n: str) -> str:
         return f"({n} - (({n} * {self.num} + {self.den - 1}) div {self.den}) + 1)"
 
     def head_sql(self, n: str) -> str:
-        return f"least({n}, cast(floor({n} * {1.5 * self.loss!r}D) as bigint) + 5)"
+        return f"least({n}, cast(floor({n} * {self.head_rate!r}D) as bigint) + 5)"
 
     def kept_sql(self, n: str) -> str:
-        return f"least({n}, cast(floor({n} * {1.5 * self.loss / (1 - self.loss) + self.loss!r}D) as bigint) + 7)"
+        return f"least({n}, cast(floor({n} * {self.kept_rate!r}D) as bigint) + 8)"
 
     def overlap_sql(self, a: str, b: str) -> str:
         return f"((({a} + {b}) * {self.num} + {self.num + self.den - 1}) div {self.num + self.den})"
@@ -114,6 +113,26 @@ def sketches(docs: DataFrame, width: int, limits: Limits) -> DataFrame:
         run, "doc_id BIGINT, n BIGINT, node BIGINT, firsts ARRAY<BIGINT>")
 
 
+def _postings(sk: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """``node, n, pos, t`` of the first tokens that are in the bitmap."""
+    words = sk.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = batch.column(2)
+            at = firsts.offsets.to_numpy()
+            t = firsts.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
+            size = np.diff(at)
+            row = np.repeat(np.arange(len(size)), size)
+            hit = np.flatnonzero(has_bit(words.value, t, TOKEN_BITS))
+            row = row[hit]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((hit - (at[row] - at[0])).astype(np.int32)), pa.array(t[hit])],
+                ["node", "n", "pos", "t"])
+
+    return sk.select("node", "n", "firsts").mapInArrow(run, "node BIGINT, n BIGINT, pos INT, t BIGINT")
+
+
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     """``node, n, tokens`` of the documents whose id is in the bitmap (or null)."""
     words = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -254,9 +273,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     """
     limits = Limits(num, den)
     sk = saved(sketches(docs, width, limits), "sketch")
-    posts = sk.filter("n > 0").select("node", "n", F.posexplode("firsts").alias("pos", "t"))
-    counts = saved(posts.groupBy("t").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "tokens")
-    shared = saved(posts.join(counts, "t"), "shared")
+    filled = sk.filter("n > 0 AND firsts IS NOT NULL")
+    counts = saved(filled.select(F.explode("firsts").alias("t")).groupBy("t").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "tokens")
+    shared = saved(_postings(filled, bitmap(counts, "t", TOKEN_BITS)).join(counts, "t"), "shared")
     hot, live = shared.filter(F.col("cnt") >= HOT), shared.filter(F.col("cnt") < HOT)
 
     # candidates by the first order
@@ -323,6 +342,16 @@ def _jobs(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     return rows.repartition("job").sortWithinPartitions("job")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id. Rows without doc_id stay."""
+    found = saved(jaccard_components(docs, width, num, den).select("doc_id", "component_id"), "groups")
+    kept = without(docs, found.filter("doc_id <> component_id"))
+    again = saved(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.head() is None:
+        return kept
+    return without(kept, again).unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """All documents: 3-word shingles, similarity 90 % or more."""
     return jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")

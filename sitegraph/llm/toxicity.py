@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -218,16 +219,34 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns (BIGINT) of ``docs`` and ``score``, 0 to 1."""
-        x = with_features(docs, keep, self.entries, self.weights)
+        return self.add_score(with_features(docs, keep, self.entries, self.weights)).select(*keep, "score")
+
+    def add_score(self, x: DataFrame) -> DataFrame:
+        """Rows with the features, and ``score``."""
         if self.trees is None:
-            return x.select(*keep, F.lit(self.prior).alias("score"))
+            return x.withColumn("score", F.lit(self.prior))
         x = self._raw(self.assemble.transform(x))
         if self.scale is None:
-            return x.select(*keep, F.col("raw").alias("score"))
+            return x.withColumn("score", F.col("raw"))
         # calibrated steps tie; a small share of the raw score keeps their order
-        x = self.scale.transform(x)
         score = 0.98 * F.col("prediction") + 0.02 * F.col("raw")
-        return x.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
+        return self.scale.transform(x).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
+    """``docs`` but for the rows that ``score_documents`` predicts to be toxic, all columns as they are."""
+    model = model or ToxicityModel(docs, labels.filter(~held_out(F.col("doc_id"))))
+    second = np.sort(_word_hash(list(SECOND_PERSON)))
+    entries, weights = model.entries, model.weights
+
+    @F.pandas_udf("array<double>")
+    def features(text: pd.Series) -> pd.Series:
+        parts = [dense_features(w, entries, weights, second) for w in slices(pa.array(text, pa.string()), NOT_ALNUM)]
+        return pd.Series(list(np.concatenate(parts)) if parts else [])
+
+    names = [F.col("x")[k].alias(f) for k, f in enumerate(FEATURES)]
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), features(F.col("text").cast("string")).alias("x")).select("doc", *names)
+    return model.add_score(rows).filter(F.col("score") < 0.7).select("doc.*")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
