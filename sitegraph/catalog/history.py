@@ -74,6 +74,7 @@ def _link_state_fold(spark, sf):
 
 @query("link_status", with_events("""
     SELECT a.event_id, a.url, strftime(coalesce(last_start_ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S.%f') AS last_start_ts,
+      strftime(coalesce(last_end_ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S.%f') AS last_end_ts,
       coalesce(last_status_code, '') AS last_status_code, coalesce(failed_cnt, 0) AS failed_cnt
     FROM (SELECT event_id, 'https://shop.example/item/' || user_id || '-' || (event_id % 9) AS url FROM events) a
     LEFT JOIN state s ON s.url = a.url""", _UPTO, state_sql("past")))
@@ -85,9 +86,10 @@ def _link_status(spark, sf):
         (F.col("event_id") % 9).cast("string")).alias("url"))
     status = S.link_status(asked, past_state(spark, sf))
     # epoch zero stands for "never"; written in UTC whatever the session's zone
-    never = F.unix_micros("last_start_ts") == 0
-    text = F.when(never, "1970-01-01 00:00:00.000000").otherwise(stamp("last_start_ts"))
-    return status.select("event_id", "url", text.alias("last_start_ts"), "last_status_code",
+    def text(c):
+        return F.when(F.unix_micros(c) == 0, "1970-01-01 00:00:00.000000").otherwise(stamp(c)).alias(c)
+
+    return status.select("event_id", "url", text("last_start_ts"), text("last_end_ts"), "last_status_code",
                          F.col("failed_cnt").cast("bigint").alias("failed_cnt"))
 
 

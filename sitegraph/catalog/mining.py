@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import pages, table
+from sitegraph.catalog.tables import dealt, pages, table
 from sitegraph.operators import mine as M
 from sitegraph.operators.select import sel
 from sitegraph.plans import shops
-from sitegraph.sources.pages import spread
 
 
 def _cat(*parts: Column | str) -> Column:
@@ -26,7 +25,7 @@ def _key() -> Column:
 
 
 def _shop_pages(spark, sf, body: Column) -> DataFrame:
-    part = spread(table(spark, sf, "part"), "p_partkey")
+    part = dealt(table(spark, sf, "part"), "p_partkey")
     html = _cat("<html><head><title>x</title></head><body><div class='top'><ul><li>menu</li></ul></div>", body, "</body></html>")
     return part.select(F.col("p_partkey").alias("page_id"), _cat("/part/", _key()).alias("url"), html.alias("html"))
 

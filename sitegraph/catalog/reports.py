@@ -61,7 +61,7 @@ def _observations(spark, sf):
     SELECT url, l_orderkey, l_linenumber, price_band, CASE WHEN before IS NULL THEN 'insert' WHEN before = price_band THEN 'unchanged' ELSE 'update' END AS action
     FROM (SELECT *, lag(price_band) OVER (PARTITION BY url ORDER BY seen_at, l_orderkey, l_linenumber) AS before FROM ({_SEEN}))""")
 def _product_upsert(spark, sf):
-    changes = R.product_upsert(_observations(spark, sf), "url", _ORDER, ["price_band"], F.date_trunc("month", "seen_at"))
+    changes = R.product_upsert(_observations(spark, sf), "url", _ORDER, ["price_band"])
     return changes.select("url", "l_orderkey", "l_linenumber", "price_band", "action")
 
 

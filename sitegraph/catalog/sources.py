@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.history import _UPTO, STATE_ROWS, past_state, state_rows, state_sql, with_events
+from sitegraph.catalog.history import STATE_ROWS, past_state, state_rows, state_sql, with_events
 from sitegraph.catalog.mining import _PAGES_SQL
-from sitegraph.catalog.tables import pages, table
+from sitegraph.catalog.tables import fetch_events, pages, table
+from sitegraph.operators.linkstate import link_state_fold
 from sitegraph.operators.mine import mine
 from sitegraph.plans.shops import TAOBAO_RULES, page_miner
 from sitegraph.schemas import LINK_STATE
@@ -16,7 +17,7 @@ from sitegraph.session import run_folder
 from sitegraph.sources import decode as D
 from sitegraph.sources import pages as P
 from sitegraph.sources.jobs import rule_template
-from sitegraph.sources.sinks import VersionedTable, check_json_lines, read_json_lines, write_products
+from sitegraph.sources.sinks import check_json_lines, read_json_lines, read_run, save_run, write_products
 
 
 @query("read_pages", r"""
@@ -91,8 +92,7 @@ def _strip_bom(spark, sf):
 def _declared_charset(spark, sf):
     head = F.expr("""CASE page_id % 3 WHEN 0 THEN '<!-- x -->' WHEN 1 THEN '<META content="text/html; charset=GB2312">'
       ELSE '<?xml version="1.0" encoding="KOI8-R"?>' END""")
-    # an unquoted value ends at a quote, so a quoted charset attribute reads as empty
-    html = F.concat(head, F.replace("html", F.lit('charset="utf-8"'), F.lit('charset=UTF-8;')))
+    html = F.concat(head, F.replace("html", F.lit('charset="utf-8"'), F.lit('charset="UTF-8"')))
     return pages(spark, sf).select("page_id", D.declared_charset(html).alias("charset"))
 
 
@@ -111,11 +111,13 @@ def _smart_quotes(spark, sf):
 
 
 @query("rule_template", r"""
-    SELECT s_name AS store, replace(regex, '{store}', s_name) AS regex, max_hop FROM supplier,
-      (VALUES ('^http://{store}.taobao.com/?.*search=y.+pageNum=\d', 50), ('^http://item.taobao.com/auction/item_detail-.+\.htm$', 51)) t(regex, max_hop)""")
+    SELECT s_name AS store, replace(regex, '{store}', s_name) AS regex, max_hop FROM supplier JOIN
+      (VALUES (0, '^http://{store}.taobao.com/?.*search=y.+pageNum=\d', 50), (0, '^http://item.taobao.com/auction/item_detail-.+\.htm$', 51),
+        (1, '^http://{store}.shop.example/{store}/', 7)) t(family, regex, max_hop) ON family = s_suppkey % 2""")
 def _rule_template(spark, sf):
-    templates = spark.createDataFrame([(r[0], r[1]) for r in TAOBAO_RULES], "regex STRING, max_hop INT")
-    stores = table(spark, sf, "supplier").select(F.col("s_name").alias("store"))
+    rows = [(0, r[0], r[1]) for r in TAOBAO_RULES] + [(1, "^http://{store}.shop.example/{store}/", 7)]
+    templates = spark.createDataFrame(rows, "family BIGINT, regex STRING, max_hop INT")
+    stores = table(spark, sf, "supplier").select(F.col("s_name").alias("store"), (F.col("s_suppkey") % 2).alias("family"))
     return rule_template(stores, templates)
 
 
@@ -139,26 +141,29 @@ def _check_json_lines(spark, sf):
     return checked.select("line_no", F.col("valid").cast("int").alias("valid"), flat.alias("report"))
 
 
-@query("read_json_lines", "SELECT row_number() OVER (ORDER BY event_id) AS line_no, props AS value FROM events")
+@query("read_json_lines", """
+    SELECT event_id % 8 AS part, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS line_no, props AS value FROM events""")
 def _read_json_lines(spark, sf):
     folder = run_folder(spark, "lines")
-    table(spark, sf, "events").select("props", "event_id").coalesce(1).sortWithinPartitions("event_id") \
-        .select("props").write.text(folder)
-    return read_json_lines(spark, folder).select("line_no", "value")
+    lines = table(spark, sf, "events").select("props", "event_id", (F.col("event_id") % 8).alias("part"))
+    lines.repartition(8, "part").sortWithinPartitions("part", "event_id").select("part", "props") \
+        .write.partitionBy("part").text(folder)
+    part = F.regexp_extract("file", r"/part=(\d+)/", 1).cast("bigint")
+    return read_json_lines(spark, folder).select(part.alias("part"), "line_no", "value")
 
 
-@query("save_link_state", with_events(STATE_ROWS + "state", _UPTO, state_sql("past")))
+@query("save_link_state", with_events(STATE_ROWS + "state", state_sql("fetch_events")))
 def _save_link_state(spark, sf):
-    kept = VersionedTable(spark, run_folder(spark, "state"), LINK_STATE)
-    kept.save(past_state(spark, sf).limit(0))
-    kept.save(past_state(spark, sf))
-    return state_rows(kept.read())
+    folder = run_folder(spark, "state")
+    save_run(past_state(spark, sf), folder, 0)
+    save_run(link_state_fold(fetch_events(spark, sf)), folder, 1)
+    return state_rows(read_run(spark, folder, LINK_STATE))
 
 
 @query("save_frontier", "SELECT event_id AS seq, event_type AS miner FROM events WHERE event_type <> 'purchase'")
 def _save_frontier(spark, sf):
     queue = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("miner"))
-    kept = VersionedTable(spark, run_folder(spark, "frontier"), "seq BIGINT, miner STRING")
-    kept.save(queue)
-    kept.save(kept.read().filter("miner <> 'purchase'"))
-    return kept.read()
+    folder, schema = run_folder(spark, "frontier"), "seq BIGINT, miner STRING"
+    save_run(queue, folder, 0)
+    save_run(read_run(spark, folder, schema).filter("miner <> 'purchase'"), folder, 1)
+    return read_run(spark, folder, schema)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
 from sitegraph.catalog.history import STATE_ROWS, state_rows, state_sql, stamp, with_events
-from sitegraph.catalog.tables import as_fetch_events, table
+from sitegraph.catalog.tables import FETCH_EVENTS_SQL, as_fetch_events, table
 from sitegraph.schemas import LINK_STATE
 from sitegraph.session import run_folder
-from sitegraph.sources.sinks import VersionedTable, custom_output
+from sitegraph.sources.sinks import custom_output, read_run
 from sitegraph.streaming import history as H
 
 
@@ -30,7 +30,7 @@ def _finish(writer) -> None:
 def _link_state_stream(spark, sf):
     root = run_folder(spark, "stream")
     _finish(H.link_state_stream(_stream(spark, sf), f"{root}/state", f"{root}/checkpoint"))
-    return state_rows(VersionedTable(spark, f"{root}/state", LINK_STATE).read())
+    return state_rows(read_run(spark, f"{root}/state", LINK_STATE))
 
 
 @query("link_state_updates", with_events(STATE_ROWS + "state", state_sql("fetch_events")))
@@ -63,12 +63,16 @@ def _status_stream(spark, sf):
     return latest.select(F.date_format("at", "yyyy-MM-dd HH").alias("hour"), "s.*")
 
 
-@query("revisit_stream", with_events("SELECT DISTINCT url FROM fetch_events"))
+@query("revisit_stream", "WITH RECURSIVE " + FETCH_EVENTS_SQL + """,
+    due(url, ts) AS (
+      SELECT url, min(ts) FROM fetch_events GROUP BY url UNION
+      SELECT d.url, min(e.ts) FROM due d JOIN fetch_events e ON e.url = d.url AND e.ts > d.ts + INTERVAL 86400 SECOND GROUP BY d.url, d.ts)
+    SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS due FROM due""")
 def _revisit_stream(spark, sf):
     root = run_folder(spark, "stream")
-    due = H.revisit_stream(_stream(spark, sf), "86400 seconds").select("url")
+    due = H.revisit_stream(_stream(spark, sf), 86400)
     _finish(due.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint"))
-    return spark.read.schema("url STRING").parquet(f"{root}/out")
+    return spark.read.schema("url STRING, ts TIMESTAMP").parquet(f"{root}/out").select("url", stamp("ts").alias("due"))
 
 
 @query("write_products_stream", with_events("SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS seen FROM fetch_events WHERE kind = 'end' AND status_code = ''"))

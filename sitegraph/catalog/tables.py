@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sitegraph.operators.html_nodes import html_nodes
 from sitegraph.session import cut_lineage, run_folder
-from sitegraph.sources.pages import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,7 +14,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages"))
+    return dealt(table(spark, sf, "pages"), "page_id")
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt out by a key before they are parsed: a stored file may be one split,
+    and parsing a row costs far more than moving it once."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
 def nodes(spark: SparkSession, sf: str, **options: object) -> DataFrame:
@@ -62,8 +67,7 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(edge(nation, path("nation", "n_nationkey"), home))
         .unionByName(edge(supplier, path("nation", "s_nationkey"), path("supplier", "s_suppkey")))
         .unionByName(edge(lines, path("supplier", "l_suppkey"), path("part", "l_partkey")).distinct())
-        .unionByName(edge(lines.filter("l_linenumber = 1"), path("part", "l_partkey"),
-                          path("supplier", "l_suppkey")).distinct())
+        .unionByName(edge(lines, path("part", "l_partkey"), path("supplier", "l_suppkey")).distinct())
     )
 
 
@@ -82,7 +86,7 @@ edges AS (
   UNION ALL SELECT '/nation/' || n_nationkey, '/' FROM nation
   UNION ALL SELECT '/nation/' || s_nationkey, '/supplier/' || s_suppkey FROM supplier
   UNION ALL SELECT DISTINCT '/supplier/' || l_suppkey, '/part/' || l_partkey FROM lineitem
-  UNION ALL SELECT DISTINCT '/part/' || l_partkey, '/supplier/' || l_suppkey FROM lineitem WHERE l_linenumber = 1)
+  UNION ALL SELECT DISTINCT '/part/' || l_partkey, '/supplier/' || l_suppkey FROM lineitem)
 """
 
 # Tokens and node table in SQL, for markup as in ``pages``: one step of the

@@ -187,13 +187,18 @@ def _charset_slot(attrs: Column) -> Column:
     """``<meta http-equiv content="…charset=x">``: the charset becomes a slot that
     rendering fills with the output encoding."""
     marked = F.exists(attrs, lambda a: (a["k"] == "http-equiv") & (a["v"] != ""))
+
+    def filled(part: Column) -> Column:
+        name = F.substring_index(part, "=", 1)
+        return F.when((F.trim(name) == "charset") & part.contains("="), F.concat(name, F.lit(f"={ENCODING_SLOT}"))).otherwise(part)
+
     slot = F.transform(
         attrs,
         lambda a: F.struct(
             a["k"].alias("k"),
             F.when(
                 a["k"] == "content",
-                F.regexp_replace(a["v"], r"((?:^|;)\s*charset=)[^;]*", f"$1{ENCODING_SLOT}"),
+                F.array_join(F.transform(F.split(a["v"], ";"), filled), ";"),
             ).otherwise(a["v"]).alias("v"),
         ),
     )

@@ -63,18 +63,20 @@ def extract_links(pages: DataFrame, scope: Selector | None = None,
 def _scoped_anchors(pages: DataFrame, scope: Selector, keep: list[str], html: str) -> DataFrame:
     """Scope and anchors of a page meet in one aggregated row per page, which the
     map side builds completely: a page's nodes never leave their task before."""
+    # the row's number: pages may share all of ``keep``, as snapshots of a URL do
+    pages, row = pages.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"]
     names = ["a"]
     if isinstance(scope.name, str):
         names.append(scope.name)
-    nodes = html_nodes(pages, html=html, keep=keep, names=names if len(names) > 1 else None)
+    nodes = html_nodes(pages, html=html, keep=row, names=names if len(names) > 1 else None)
     nodes = nodes.filter((F.col("kind") == "tag") & (F.col("pre") > 0))
     is_scope = scope.on()
     href = F.when(F.col("name") == "a", F.col("attr")["href"])
-    flat = once(nodes, {"is_scope": is_scope, "href": href}).select(*keep, "pre", "post", "is_scope", "href") \
-        .filter(F.col("is_scope") | F.col("href").isNotNull())
-    per_page = flat.groupBy(*keep).agg(
+    flat = once(nodes, {"is_scope": is_scope, "href": href}).select(*row, "pre", "post", "is_scope", "name", "href") \
+        .filter(F.col("is_scope") | (F.col("name") == "a"))
+    per_page = flat.groupBy(*row).agg(
         F.min_by(F.struct("pre", "post"), F.when(F.col("is_scope"), F.col("pre"))).alias("scope"),
-        F.array_sort(F.collect_list(F.when(F.col("href").isNotNull(), F.struct("pre", "href")))).alias("anchors"),
+        F.array_sort(F.collect_list(F.when(F.col("name") == "a", F.struct("pre", "href")))).alias("anchors"),
     )
     inside = F.filter("anchors", lambda a: F.col("scope").isNull() | (
         (a["pre"] > F.col("scope.pre")) & (a["pre"] <= F.col("scope.post"))))

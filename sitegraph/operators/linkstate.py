@@ -1,8 +1,7 @@
 """Link history: folding fetch events into per-URL state, and what to do next.
 
-A URL may own a large share of all events, so nothing here sends the raw events
-of one URL to one task: folds are partial aggregates, or they first fold short
-time slices and then combine the (few) slice rows of a URL.
+A URL may own a large share of all events: raw events are combined by a partial
+aggregate before they move, and joins are of a kind that splits a large key.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STATE_COLUMNS = ("url", "last_start_ts", "last_end_ts", "last_status_code", "failed_cnt")
@@ -25,33 +23,25 @@ class Policy:
     retry: int = 10
 
 
-def link_state_fold(events: DataFrame, slice_by: str = "hour") -> DataFrame:
+def link_state_fold(events: DataFrame) -> DataFrame:
     """Event log to state: last start, last end, last status, failures in a row.
 
-    Two levels: within a (URL, slice) the failures after the last success, then
-    over the slices of a URL the failures of all slices since the last success.
+    The last times of a URL are a partial aggregate. Failures are combined by
+    (URL, time) before they move, meet the URL's last success, one row each, in
+    a join that splits large sides, and are counted by a partial aggregate again.
     """
-    e = events.withColumn("_slice", F.date_trunc(slice_by, "ts"))
-    ok = (F.col("kind") == "end") & (F.col("status_code") == "")
-    bad = (F.col("kind") == "end") & (F.col("status_code") != "")
-    inner = W.partitionBy("url", "_slice")
-    last_ok = F.max(F.when(ok, F.col("ts"))).over(inner)
-    slices = e.withColumn("_ok", last_ok).groupBy("url", "_slice").agg(
+    end = F.col("kind") == "end"
+    last = events.groupBy("url").agg(
         F.max(F.when(F.col("kind") == "start", F.col("ts"))).alias("last_start_ts"),
-        F.max(F.when(F.col("kind") == "end", F.struct("ts", "status_code"))).alias("last"),
-        F.count_if(bad & (F.col("_ok").isNull() | (F.col("ts") > F.col("_ok")))).alias("fails"),
-        F.max(F.col("_ok").isNotNull()).alias("has_ok"),
-    )
-    outer = W.partitionBy("url")
-    since = F.max(F.when(F.col("has_ok"), F.col("_slice"))).over(outer)
-    counted = slices.withColumn("_since", since)
-    return counted.groupBy("url").agg(
-        F.max("last_start_ts").alias("last_start_ts"),
-        F.max("last").alias("last"),
-        F.coalesce(F.sum(F.when(F.col("_since").isNull() | (F.col("_slice") >= F.col("_since")), F.col("fails"))),
-                   F.lit(0)).cast("int").alias("failed_cnt"),
-    ).select("url", "last_start_ts", F.col("last.ts").alias("last_end_ts"),
-             F.coalesce("last.status_code", F.lit("")).alias("last_status_code"), "failed_cnt")
+        F.max(F.when(end, F.struct("ts", "status_code"))).alias("last"),
+        F.max(F.when(end & (F.col("status_code") == ""), F.col("ts"))).alias("ok_at"))
+    failed = events.filter(end & (F.col("status_code") != "")).groupBy("url", "ts").agg(F.count("*").alias("n"))
+    since = failed.join(last.select("url", "ok_at"), "url").filter("ok_at IS NULL OR ts > ok_at") \
+        .groupBy("url").agg(F.sum("n").cast("int").alias("failed_cnt"))
+    return last.join(since, "url", "left").select(
+        "url", "last_start_ts", F.col("last.ts").alias("last_end_ts"),
+        F.coalesce("last.status_code", F.lit("")).alias("last_status_code"),
+        F.coalesce("failed_cnt", F.lit(0)).alias("failed_cnt"))
 
 
 def link_status(urls: DataFrame, state: DataFrame) -> DataFrame:

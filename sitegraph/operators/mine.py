@@ -147,6 +147,9 @@ def size_list(strings: Column, separator: str = ", ") -> Column:
     return F.when(F.forall(strings, lambda s: s.isNotNull()), F.array_join(strings, separator))
 
 
+_WORD = 60
+
+
 class _Plan:
     """Compiles a description to columns over ``c``, the page's candidate array."""
 
@@ -161,20 +164,28 @@ class _Plan:
             if s is selector:
                 return n
         self.selectors.append(selector)
-        if len(self.selectors) > 62:
-            raise ValueError("more than 62 selectors in one description")
         return len(self.selectors) - 1
 
+    def masks(self) -> Column:
+        """Which selectors a node meets: a bit each, ``_WORD`` to a number."""
+        words = []
+        for first in range(0, max(1, len(self.selectors)), _WORD):
+            word = F.lit(0).cast("bigint")
+            for n, s in enumerate(self.selectors[first:first + _WORD]):
+                word = word + F.when(s.on(), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
+            words.append(word)
+        return F.array(*words)
+
     def attr(self, key: str) -> str:
         if key not in self.attrs:
             self.attrs.append(key)
         return f"a{self.attrs.index(key)}"
 
     def inside(self, node: str | None, selector: Selector) -> Column:
-        mask = 1 << self.bit(selector)
+        word, n = divmod(self.bit(selector), _WORD)
 
         def hit(x: Column) -> Column:
-            found = x["mask"].bitwiseAND(F.lit(mask)) != 0
+            found = x["mask"][word].bitwiseAND(F.lit(1 << n).cast("bigint")) != 0
             if node is None:
                 return found
             return found & (x["pre"] > F.col(f"{node}.pre")) & (x["pre"] <= F.col(f"{node}.post"))
@@ -301,17 +312,16 @@ def mine(pages: DataFrame, spec: MineSpec, keep: Iterable[str] = ("page_id", "ur
             fine = fine & ok
         failed.append((~fine, group.error))
 
-    nodes = html_nodes(pages, html=html, keep=keep, strings=True)
-    mask = F.lit(0).cast("bigint")
-    for n, s in enumerate(plan.selectors):
-        mask = mask + F.when(s.on(), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
-    wanted = once(nodes, {"mask": mask}).select(
-        *keep, "pre", "post", "mask",
+    # the row's number: pages may share all of ``keep``, as snapshots of a URL do
+    pages, row = pages.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"]
+    nodes = html_nodes(pages, html=html, keep=row, strings=True)
+    wanted = once(nodes, {"mask": plan.masks()}).select(
+        *row, "pre", "post", "mask",
         F.when(F.col("kind") == "tag", F.col("string")).otherwise(F.col("text")).alias("s"),
         *[F.col("attr")[k].alias(f"a{i}") for i, k in enumerate(plan.attrs)],
-    ).filter("mask <> 0 OR pre = 0")
+    ).filter("exists(mask, m -> m <> 0) OR pre = 0")
     fields = ["pre", "post", "mask", "s", *[f"a{i}" for i in range(len(plan.attrs))]]
-    page = wanted.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
+    page = wanted.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
     for name, column in plan.stages:
         page = page.withColumn(name, column)
     return page.select(

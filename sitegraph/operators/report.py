@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitegraph.operators.linkstate import link_counters
+from sitegraph.session import cut_lineage, run_folder
 
 
 def job_status(tasks_done: DataFrame, tasks_pending: DataFrame, events: DataFrame, products: DataFrame,
@@ -67,22 +68,24 @@ def crawl_yield(visits: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def product_upsert(observations: DataFrame, key: str, order: Sequence[str], content: Sequence[str],
-                   slice_by: Column) -> DataFrame:
+                   folder: str | None = None) -> DataFrame:
     """Each observation as ``insert``, ``update`` or ``unchanged`` against the previous
     one of its key.
 
-    A key may hold a large share of all observations: neighbours are compared
-    within a (key, time slice), and the first of each slice with the last of the
-    slice before it, which needs one row per slice only.
+    A key may hold a large share of all observations: rows are dealt out by
+    ranges of (key, order), neighbours are compared within a (key, range), and the
+    first of each with the last of the range before it, one row per key and range.
     """
-    o = observations.withColumns({"_slice": slice_by, "_now": F.struct(*content)})
-    ordered = W.partitionBy(key, "_slice").orderBy(*order)
+    folder = folder or run_folder(observations.sparkSession, "upsert")
+    dealt = observations.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    o = cut_lineage(dealt, folder).withColumn("_now", F.struct(*content))
+    ordered = W.partitionBy(key, "_range").orderBy(*order)
     o = o.withColumns({"_before": F.lag("_now").over(ordered), "_first": F.row_number().over(ordered) == 1})
-    ends = o.groupBy(key, "_slice").agg(F.max_by("_now", F.struct(*order)).alias("_last"))
-    carried = F.lag("_last").over(W.partitionBy(key).orderBy("_slice"))
-    ends = ends.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), carried.alias("_carried"))
+    ends = o.groupBy(key, "_range").agg(F.max_by("_now", F.struct(*order)).alias("_last"))
+    carried = F.lag("_last").over(W.partitionBy(key).orderBy("_range"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), carried.alias("_carried"))
     # null-safe: an observation without key or time is kept like any other
-    out = o.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at")))
+    out = o.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
     previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
     action = F.when(previous.isNull(), "insert").when(~previous.eqNullSafe(F.col("_now")), "update").otherwise("unchanged")
     return out.select(*observations.columns, action.alias("action"))

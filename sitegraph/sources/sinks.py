@@ -69,39 +69,16 @@ def custom_output(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-class VersionedTable:
-    """A table kept as one folder per version; readers take the newest complete one.
-
-    Nothing is overwritten in place, so a job that dies while writing leaves the
-    previous version intact and can be started again.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def versions(self) -> list[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            if name.startswith("v=") and fs.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
-                done.append(int(name[2:]))
-        return sorted(done)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        known = self.versions()
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        chosen = known[-1] if version is None else version
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={chosen}")
-
-    def save(self, df: DataFrame, version: int | None = None) -> int:
-        known = self.versions()
-        if version is None:
-            version = (known[-1] if known else -1) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        return version
+def save_run(df: DataFrame, folder: str, run: int) -> None:
+    """Keep a table as it is after a run, beside those of other runs: a run that is
+    started again replaces its own part and no other."""
+    df.write.mode("overwrite").parquet(f"{folder}/run={run}")
+
+
+def read_run(spark: SparkSession, folder: str, schema: str, run: int | None = None) -> DataFrame:
+    """The table as a run left it, the last one by default. Runs are a partition
+    column: the others are not read."""
+    rows = spark.read.schema(f"{schema}, run INT").parquet(folder)
+    if run is None:
+        run = rows.agg(F.max("run")).head()[0]
+    return rows.filter(F.col("run") == F.lit(run)).drop("run")

@@ -17,6 +17,7 @@ from sitegraph.plans.crawl import crawl, mine_visits
 from sitegraph.schemas import LINK_STATE, RULE
 from sitegraph.session import checkpoint_root, run_folder
 from sitegraph.sources import jobs
+from sitegraph.sources import pages as P
 from sitegraph.sources.decode import decode_pages
 from sitegraph.sources.pages import read_page_files
 
@@ -209,3 +210,42 @@ def test_job_file(spark, tmp_path):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_stopped_crawl_says_what_is_pending(spark):
+    links = [("/", "s", 0, "/a"), ("/", "s", 1, "/b"), ("/a", "s", 0, "/c"), ("/b", "s", 0, "/c"), ("/c", "s", 0, "/")]
+    df = spark.createDataFrame(links, "src_url STRING, seeker STRING, pos INT, link STRING")
+    spec = jobs.JobSpec("j", ({"url": "/", "seekers": ["s"]},), {"s": L.SeekerSpec((L.Rule("/", 9, 0, "snapshot", ("s",)),))})
+    part = crawl(spark, spec, links=df, max_rounds=1)
+    assert [r.url for r in part.visits.collect()] == ["/"] and sorted(r.url for r in part.pending.collect()) == ["/a", "/b"]
+    rest = crawl(spark, spec, links=df, seeds=part.pending)
+    assert {"/a", "/b", "/c"} <= {r.url for r in rest.visits.collect()}
+    whole = crawl(spark, spec, links=df)
+    assert whole.pending.count() == 0 and sorted(r.url for r in whole.visits.collect()) == ["/", "/a", "/b", "/c"]
+
+
+def test_snapshots_of_a_url_are_one_visit(spark):
+    rows = [(1, "u", "u", "text/html", "<a href='/x'>x</a>"), (2, "u", "u", "text/html", "<a href='/x'>x</a>")]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, final_url STRING, content_type STRING, html STRING")
+    spec = jobs.JobSpec("j", ({"url": "u", "seekers": ["s"]},), {"s": L.SeekerSpec((L.Rule(".*", 3, 0, "snapshot", ("s",)),))})
+    assert [r.url for r in crawl(spark, spec, pages=pages).visits.collect()].count("u") == 1
+    assert [r.page_id for r in P.newest_pages(pages).collect()] == [2]
+    tasks = spark.createDataFrame([("u",), ("v",)], "url STRING")
+    fetched = {r.url: r.status_code for r in P.snapshot_fetch(tasks, P.newest_pages(pages)).collect()}
+    assert fetched == {"u": "", "v": "HTTP 404"}
+
+
+def test_scoped_links_of_snapshots(spark):
+    rows = [("u", "<div id='d'><a name='n'>n</a><a href='/1'>1</a></div>"), ("u", "<div id='d'><a href='/2'>2</a></div><a href='/3'>3</a>")]
+    pages = spark.createDataFrame(rows, "url STRING, html STRING")
+    got = sorted((r.pos, r.href) for r in L.extract_links(pages, sel("div", id="d"), ["url"]).collect())
+    assert got == [(0, "/2"), (1, "/1")]
+    plain = sorted((r.pos, r.href) for r in L.extract_links(pages, None, ["url"]).collect())
+    assert plain == [(0, "/2"), (1, "/1"), (1, "/3")]
+
+
+def test_templates_meet_stores_of_their_family(spark):
+    stores = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "store STRING, family INT")
+    templates = spark.createDataFrame([(0, "^{store}/", 1), (0, "x{store}{store}", 2), (1, "y", 3)], "family INT, regex STRING, max_hop INT")
+    got = sorted(map(tuple, jobs.rule_template(stores, templates).collect()))
+    assert got == [("a", "^a/", 1), ("a", "xaa", 2), ("b", "y", 3)]

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sitegraph.operators import linkstate as S
 from sitegraph.operators import mine as M
 from sitegraph.operators import report as R
+from sitegraph.operators.select import sel
 from sitegraph.plans import shops
 from sitegraph.schemas import FETCH_EVENT, LINK_STATE
 from sitegraph.session import run_folder
 from sitegraph.sources import decode as D
-from sitegraph.sources.sinks import VersionedTable, check_json_lines, read_json_lines, write_products
+from sitegraph.sources.sinks import check_json_lines, read_json_lines, read_run, save_run, write_products
 from sitegraph.streaming import history as H
 
 TAOBAO = """<html><head><meta http-equiv="Content-Type" content="text/html; charset=gb2312"></head><body>
@@ -109,11 +110,24 @@ def test_writing_appends_and_counts(spark, tmp_path):
     assert {json.loads(line)["url"] for line in lines} == {"u1", "u2"}
 
 
-def test_versions(spark):
-    kept = VersionedTable(spark, run_folder(spark, "versions"), "a INT")
-    assert kept.read().count() == 0
-    assert [kept.save(spark.createDataFrame([(n,)], "a INT")) for n in (1, 2)] == [0, 1]
-    assert kept.read().first().a == 2 and kept.read(0).first().a == 1
+def test_runs(spark):
+    folder = run_folder(spark, "runs")
+    for run, n in ((0, 1), (1, 5), (1, 2)):
+        save_run(spark.createDataFrame([(n,)], "a INT"), folder, run)
+    assert read_run(spark, folder, "a INT").collect() == [(2,)] and read_run(spark, folder, "a INT", 0).collect() == [(1,)]
+
+
+def test_a_description_may_have_many_selectors(page):
+    spec = M.MineSpec("x", (M.Group("no", tuple(M.Field(f"f{n}", (M.Step(sel("p", id=f"i{n}")),)) for n in range(100))),))
+    got = M.mine(page("".join(f"<p id='i{n}'>t{n}</p>" for n in range(100))), spec).first()
+    assert [got[f"f{n}"] for n in range(100)] == [f"t{n}" for n in range(100)]
+
+
+def test_snapshots_of_a_url_are_pages_of_their_own(spark):
+    rows = [("u", "<p id='i'>old</p>"), ("u", "<p id='i'>new</p>"), ("u", "<p id='i'>new</p>")]
+    pages = spark.createDataFrame(rows, "url STRING, html STRING")
+    spec = M.MineSpec("x", (M.Group("no", (M.Field("f", (M.Step(sel("p", id="i")),)),)),))
+    assert sorted(r.f for r in M.mine(pages, spec, ["url"]).collect()) == ["new", "new", "old"]
 
 
 def brute_state(events):
@@ -144,7 +158,6 @@ def test_fold_against_brute_force(spark):
     events = make_events()
     df = spark.createDataFrame(events, FETCH_EVENT)
     assert as_dict(S.link_state_fold(df)) == brute_state(events)
-    assert as_dict(S.link_state_fold(df, "day")) == brute_state(events)
 
 
 def run_in_batches(spark, start):
@@ -164,7 +177,7 @@ def run_in_batches(spark, start):
 
 def test_stream_equals_batch(spark):
     root, rows = run_in_batches(spark, lambda s, root: H.link_state_stream(s, f"{root}/state", f"{root}/check"))
-    assert as_dict(VersionedTable(spark, f"{root}/state", LINK_STATE).read()) == brute_state(rows)
+    assert as_dict(read_run(spark, f"{root}/state", LINK_STATE)) == brute_state(rows)
 
 
 def test_stateful_operator_equals_batch(spark):
@@ -183,14 +196,45 @@ def test_stateful_operator_equals_batch(spark):
 
 def test_upsert_keeps_rows_without_time_or_key(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 1, 1), (None, 1, 1), (None, 2, 2)], "url STRING, t INT, v INT")
-    got = R.product_upsert(df, "url", ["t"], ["v"], F.col("t")).collect()
+    got = R.product_upsert(df, "url", ["t"], ["v"]).collect()
     assert sorted((str(r.url), str(r.t), r.action) for r in got) == [
         ("None", "1", "insert"), ("None", "2", "update"), ("a", "1", "unchanged"), ("a", "None", "insert")]
 
 
+def test_revisits_do_not_depend_on_batches(spark):
+    """One task every two days for ten days, and a busy URL: due again after a day."""
+    t0 = datetime(2024, 1, 1)
+    tasks = [("slow", t0 + timedelta(days=2 * n)) for n in range(5)] + [("busy", t0 + timedelta(hours=n)) for n in range(200)]
+    tasks = sorted(tasks, key=lambda x: x[1]) + [(None, t0)]
+    want, last = [], {}
+    for url, ts in tasks[:-1]:
+        if url not in last or (ts - last[url]).total_seconds() > 86400:
+            last[url] = ts
+            want.append((url, ts))
+    for batches in (1, 5):
+        root, size = run_folder(spark, "revisit"), -(-len(tasks) // batches)
+        for n in range(batches):
+            spark.createDataFrame(tasks[n * size:(n + 1) * size], "url STRING, ts TIMESTAMP").coalesce(1).write.mode("append").parquet(f"{root}/in")
+            due = H.revisit_stream(spark.readStream.schema("url STRING, ts TIMESTAMP").parquet(f"{root}/in"), 86400)
+            due.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check") \
+                .trigger(availableNow=True).start().awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(f"{root}/out").collect())) == sorted(want)
+
+
+def test_raw_events_are_combined_before_they_move(spark):
+    plan = S.link_state_fold(spark.createDataFrame(make_events(), FETCH_EVENT))._jdf.queryExecution().executedPlan().toString()
+    # below every exchange by url or time of raw rows stands a partial aggregate; no window anywhere
+    assert "Window" not in plan
+    below = [b for a, b in zip(plan.splitlines(), plan.splitlines()[1:]) if "Exchange hashpartitioning" in a]
+    assert below and all("Aggregate" in b or "Project" in b or "Filter" in b for b in below)
+
+
 def test_upsert_with_nulls_and_slices(spark):
     rows = [("a", i, v) for i, v in enumerate([1, 1, None, None, 2, 2, 1])]
     df = spark.createDataFrame(rows, "url STRING, t INT, v INT")
-    for slices in (F.lit(0), F.floor(F.col("t") / 2), F.col("t")):
-        got = R.product_upsert(df, "url", ["t"], ["v"], slices).orderBy("t").collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for ranges in ("1", "3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        got = R.product_upsert(df, "url", ["t"], ["v"]).orderBy("t").collect()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
         assert [r.action for r in got] == ["insert", "unchanged", "update", "unchanged", "update", "unchanged", "update"]
