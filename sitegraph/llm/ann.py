@@ -201,7 +201,7 @@ def _against_all(asked: DataFrame, rows: DataFrame, dim: int, k: int) -> DataFra
     groups = max(1, -(-asked.count() // BLOCK))
     key = lambda n, name: F.expr(f"cast(pmod(xxhash64(vec_id), {n}) as int)").alias(name)
     q = asked.select(F.col("vec_id").alias("id"), "v", key(groups, "q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"))
-    p = rows.select(F.col("vec_id").alias("id"), "v", key(blocks, "p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
+    p = rows.select(F.col("vec_id").alias("id"), F.col("v").alias("v"), key(blocks, "p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
     return _scores(q.groupBy("p", "q"), p.groupBy("p", "q"), dim, k)
 
 

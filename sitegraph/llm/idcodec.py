@@ -22,26 +22,27 @@ from collections.abc import Iterator
 import numpy as np
 
 #: ids per block; ids per frame at least (a frame ends with a document)
-BLOCK, FRAME = 2048, 1 << 22
+BLOCK, FRAME = 2048, 1 << 23
 #: ids are below this
 LIMIT = 1 << 16
-_MAGIC = b"IDF2"
-_HEAD = struct.Struct("<4sIQIII")
+_MAGIC = b"IDF3"
+_HEAD = "<4sIQIII"
 
-_SLOTS2, _SLOTS1 = 1 << 10, 1 << 9
-#: shares: the order-2 id, the order-1 id, then ranks by their number of bits
-_SHARES = 18
+_SLOTS2, _SLOTS1 = 1 << 8, 1 << 8
+#: shares: the order-2 id, the order-1 id, ranks by their number of bits up to 13, and all others
+_SHARES = 16
 _STATES = 32
 _UNIT = 15  # shares sum to 2**15
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 40)
-_W15, _W16, _W48 = np.uint64(_UNIT), np.uint64(16), np.uint64(48)
+_ROOM, _HALF = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+_W15, _W32 = np.uint64(_UNIT), np.uint64(32)
 _PLACE = np.arange(_SHARES, dtype=np.int16)
 #: what the shares' lower ends move towards when a share was taken; every share keeps a part
 _AIM = np.where(_PLACE[None, :] > _PLACE[:, None], (1 << _UNIT) - _SHARES + _PLACE, _PLACE).astype(np.int16)
 #: class of a rank (ranks 0 and 1 are one), and the bits of a place in a share's class
-_CLASS = np.maximum(np.frexp(np.arange(LIMIT))[1], 1).astype(np.int64) + 1
-_BITS = np.array([0, 0, 1, *range(1, 16)], dtype=np.uint64)
-_FIRST = np.array([0, 0, 0, *(1 << k for k in range(1, 16))], dtype=np.int64)
+_CLASS = np.clip(np.frexp(np.arange(LIMIT))[1], 1, _SHARES - 2).astype(np.int64) + 1
+_BITS = np.array([0, 0, 1, *range(1, _SHARES - 3), 16], dtype=np.uint64)
+_FIRST = np.array([0, 0, 0, *(1 << k for k in range(1, _SHARES - 2))], dtype=np.uint32)
+_ID, _U1, _U16, _STEP, _ONE, _LAST = np.uint32(0xFFFF), np.uint32(1), np.uint32(16), np.uint32(1 << 16), np.uint64(1), np.uint64((1 << _UNIT) - 1)
 
 
 class _Blocks:
@@ -54,64 +55,69 @@ class _Blocks:
         self.shares = np.tile(even, (n * _STATES, 1))
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
         self.base2, self.base1 = np.arange(n) * _SLOTS2, np.arange(n) * _SLOTS1
-        self.state, self.every = np.arange(n) * _STATES, np.arange(n)
+        self.state, self.every, self.place = np.arange(n) * _STATES, np.arange(n), np.arange(n) * _SHARES
 
     def step(self, n: int, pace: int, before: np.ndarray, last: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
         """Code one rank of each of the first ``n`` blocks, or read it, after the two ranks ahead."""
-        key2 = self.base2[:n] + (((before * np.uint32(0x9E3779B1)) ^ (last * np.uint32(0x85EBCA77))) >> np.uint32(22))
-        key1 = self.base1[:n] + ((last * np.uint32(0x9E3779B1)) >> np.uint32(23))
-        two, one = self.two[key2], self.one[key1]
-        guess2, guess1 = two & np.uint32(0xFFFF), one & np.uint32(0xFFFF)
-        sure2, sure1 = two >> np.uint32(16), one >> np.uint32(16)
-        row = self.state[:n] + (sure2 * np.uint32(4) + sure1 + np.uint32(16) * (guess1 == guess2))
-        shares = self.shares[row]
+        mixed = last * np.uint32(0x85EBCA77)
+        key2 = (((before * np.uint32(0x9E3779B1)) ^ mixed) >> np.uint32(24)) + self.base2[:n]
+        key1 = (mixed >> np.uint32(24)) + self.base1[:n]
+        two, one = self.two.take(key2), self.one.take(key1)
+        guess2, guess1 = two & _ID, one & _ID
+        sure2, sure1 = two >> _U16, one >> _U16
+        row = self.state[:n] + (sure2 * np.uint32(4) + sure1 + (guess1 == guess2) * np.uint32(16))
+        shares = self.shares.take(row, axis=0)
         low, wide = self.low[:n], self.range[:n]
         unit = wide >> _W15
         if ranks is None:
-            spot = np.minimum((self.code[:n] - low) // unit, np.uint64((1 << _UNIT) - 1)).astype(np.int16)
-            share = np.count_nonzero(shares <= spot[:, None], axis=1) - 1
+            code = self.code[:n]
+            spot = np.minimum((code - low) // unit, _LAST).astype(np.int16)
+            below = np.bitwise_count((shares <= spot[:, None]).view(np.uint64))
+            share = (below[:, 0] + below[:, 1]).astype(np.int64) - 1
         else:
-            share = np.where(ranks == guess2, 0, np.where(ranks == guess1, 1, _CLASS[ranks]))
-        flat, at = shares.reshape(-1), self.every[:n] * _SHARES + share
-        begin = flat[at].astype(np.int64)
-        end = np.where(share == _SHARES - 1, np.int64(1 << _UNIT), flat[np.minimum(at + 1, len(flat) - 1)])
-        low += unit * begin.astype(np.uint64)
-        bits = _BITS[share]
-        unit = (unit * (end - begin).astype(np.uint64)) >> bits
+            share = _CLASS.take(ranks)
+            np.copyto(share, 1, where=ranks == guess1)
+            np.copyto(share, 0, where=ranks == guess2)
+        flat, at = shares.reshape(-1), self.place[:n] + share
+        begin = flat.take(at).astype(np.uint64)
+        end = flat.take(at + 1, mode="clip").astype(np.uint64)
+        np.copyto(end, 1 << _UNIT, where=share == _SHARES - 1)
+        low += unit * begin
+        bits, first = _BITS.take(share), _FIRST.take(share)
+        unit *= end - begin
+        unit >>= bits
         if ranks is None:
-            place = np.minimum((self.code[:n] - low) // unit, (np.uint64(1) << bits) - np.uint64(1))
-            ranks = np.where(share == 0, guess2, np.where(share == 1, guess1, _FIRST[share] + place.astype(np.int64))).astype(np.uint32)
+            place = np.minimum((code - low) // unit, (_ONE << bits) - _ONE)
+            ranks = first + place.astype(np.uint32)
+            np.copyto(ranks, guess1, where=share == 1)
+            np.copyto(ranks, guess2, where=share == 0)
         else:
-            place = np.where(share < 2, 0, ranks - _FIRST[share]).astype(np.uint64)
+            place = (ranks - first).astype(np.uint64)
+            np.copyto(place, 0, where=share < 2)
         low += unit * place
         wide[:] = unit
         self.settle(n)
-        self.shares[row] = shares + ((_AIM[share] - shares) >> pace)
+        shares += (_AIM.take(share, axis=0) - shares) >> pace
+        self.shares[row] = shares
         # a guess that held gains confidence, another loses it and goes when it has none
-        self.two[key2] = np.where(ranks == guess2, guess2 | np.minimum(sure2 + np.uint32(1), np.uint32(3)) << np.uint32(16),
-                                  np.where(sure2 > 0, two - np.uint32(1 << 16), ranks))
-        self.one[key1] = np.where(ranks == guess1, guess1 | np.minimum(sure1 + np.uint32(1), np.uint32(3)) << np.uint32(16),
-                                  np.where(sure1 > 0, one - np.uint32(1 << 16), ranks))
+        self.two[key2] = np.where(ranks == guess2, two + (sure2 < 3) * _STEP, np.where(sure2 > 0, two - _STEP, ranks))
+        self.one[key1] = np.where(ranks == guess1, one + (sure1 < 3) * _STEP, np.where(sure1 > 0, one - _STEP, ranks))
         return ranks
 
     def settle(self, n: int) -> None:
-        """Move out the digits that are certain, and make room where the range has become small."""
-        low, wide = self.low[:n], self.range[:n]
-        sure = (low ^ (low + wide)) < _TOP
-        blocks = np.flatnonzero(sure | (wide < _LOW))
-        if not len(blocks):
-            return
-        low, wide, sure = low[blocks], wide[blocks], sure[blocks]
-        while True:
-            wide = np.where(sure, wide, (~low + np.uint64(1)) & (_LOW - np.uint64(1)))
+        """Make room where the range has become small, by moving out the upper half of the low end.
+
+        Where the range reaches over a change of that half it is cut off there:
+        now and then a bit is lost, and no carry can ever reach what is out.
+        """
+        blocks = np.flatnonzero(self.range[:n] < _ROOM)
+        while len(blocks):
+            low, wide = self.low[blocks], self.range[blocks]
+            over = (low ^ (low + wide - _ONE)) >= _ROOM
+            wide = np.where(over, _ROOM - (low & _HALF), wide) << _W32
             self.shift(blocks, low)
-            low, wide = low << _W16, wide << _W16
-            self.low[blocks], self.range[blocks] = low, wide
-            sure = (low ^ (low + wide)) < _TOP
-            more = np.flatnonzero(sure | (wide < _LOW))
-            if not len(more):
-                return
-            blocks, low, wide, sure = blocks[more], low[more], wide[more], sure[more]
+            self.low[blocks], self.range[blocks] = low << _W32, wide
+            blocks = blocks[wide < _ROOM]
 
 
 class _Writer(_Blocks):
@@ -120,12 +126,12 @@ class _Writer(_Blocks):
         self.log: list[tuple[np.ndarray, np.ndarray]] = []
 
     def shift(self, blocks: np.ndarray, low: np.ndarray) -> None:
-        self.log.append((blocks.astype(np.uint32), (low >> _W48).astype(np.uint16)))
+        self.log.append((blocks.astype(np.uint32), (low >> _W32).astype(np.uint32)))
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """How many words each block has, and all words, block after block."""
-        for k in range(4):
-            self.shift(self.every, self.low << np.uint64(16 * k))
+        for k in range(2):
+            self.shift(self.every, self.low << np.uint64(32 * k))
         blocks, words = (np.concatenate(x) for x in zip(*self.log, strict=True))
         return np.bincount(blocks, minlength=len(self.every)), words[np.argsort(blocks, kind="stable")]
 
@@ -133,15 +139,15 @@ class _Writer(_Blocks):
 class _Reader(_Blocks):
     def __init__(self, counts: np.ndarray, words: np.ndarray) -> None:
         super().__init__(len(counts))
-        self.words = np.concatenate([words, np.zeros(8, np.uint16)])
+        self.words = np.concatenate([words, np.zeros(8, np.uint32)])
         self.at = np.cumsum(counts) - counts
         self.code = np.zeros(len(counts), np.uint64)
-        for _ in range(4):
+        for _ in range(2):
             self.shift(self.every, self.code)
 
     def shift(self, blocks: np.ndarray, low: np.ndarray) -> None:
         at = self.at[blocks]
-        self.code[blocks] = (self.code[blocks] << _W16) | self.words[np.minimum(at, len(self.words) - 1)]
+        self.code[blocks] = (self.code[blocks] << _W32) | self.words[np.minimum(at, len(self.words) - 1)]
         self.at[blocks] = at + 1
 
 
@@ -173,7 +179,7 @@ def encode_frame(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, id
     used = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]
     rank = np.zeros(LIMIT, np.uint16)
     rank[used] = np.arange(len(used))
-    counts, words = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    counts, words = np.zeros(0, np.int64), np.zeros(0, np.uint32)
     if len(sizes):
         padded = np.zeros(len(sizes) * BLOCK, np.uint16)
         padded[:len(ids)] = rank[ids]
@@ -182,18 +188,18 @@ def encode_frame(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, id
         counts, words = coder.words()
     raw = ids.astype("<u4")
     sums = [zlib.crc32(raw[k:k + BLOCK].tobytes()) for k in range(0, len(ids), BLOCK)]
-    head = _HEAD.pack(_MAGIC, len(doc_ids), len(ids), len(sizes), BLOCK, len(used))
+    head = struct.pack(_HEAD, _MAGIC, len(doc_ids), len(ids), len(sizes), BLOCK, len(used))
     head += doc_ids.astype("<i8").tobytes() + known.astype("<u1").tobytes() + lengths.astype("<u4").tobytes()
     head += used.astype("<u2").tobytes() + counts.astype("<u4").tobytes() + np.array(sums, dtype="<u4").tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + words.astype("<u2").tobytes()
+    return head + struct.pack("<I", zlib.crc32(head)) + words.astype("<u4").tobytes()
 
 
 def decode_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``doc_ids, known, lengths, ids`` of a frame; a wrong checksum is an error that names the block."""
-    magic, docs, n, blocks, block, distinct = _HEAD.unpack_from(frame)
+    magic, docs, n, blocks, block, distinct = struct.unpack_from(_HEAD, frame)
     if magic != _MAGIC or block != BLOCK:
         raise ValueError("not a frame of ids")
-    at, parts = _HEAD.size, []
+    at, parts = struct.calcsize(_HEAD), []
     for kind, count in (("<i8", docs), ("<u1", docs), ("<u4", docs), ("<u2", distinct), ("<u4", blocks), ("<u4", blocks)):
         if at + np.dtype(kind).itemsize * count > len(frame):
             raise ValueError("the frame's head is damaged")
@@ -205,7 +211,7 @@ def decode_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     ids = np.zeros(0, np.uint16)
     if blocks:
         counts = counts.astype(np.int64)
-        out = _run(_Reader(counts, np.frombuffer(frame, "<u2", int(counts.sum()), at + 4)), _sizes(n), None)
+        out = _run(_Reader(counts, np.frombuffer(frame, "<u4", int(counts.sum()), at + 4)), _sizes(n), None)
         # ranks beyond the last come from damage only, which the checksum finds
         ids = used[np.minimum(np.ascontiguousarray(out.T).reshape(-1)[:n], distinct - 1)]
         raw = ids.astype("<u4")

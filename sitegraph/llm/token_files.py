@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,9 @@ from sitegraph.llm.idcodec import decode_frame, frames
 from sitegraph.session import run_folder
 
 #: words whose ids a task remembers
-REMEMBERED = 300_000
-#: bytes of text tokenized at once
-_SLICE = 1 << 21
+REMEMBERED = 800_000
+#: bytes of text whose words are looked up at once
+_SLICE = 1 << 24
 
 
 class WordTokenizer:
@@ -38,31 +39,40 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has."""
+    def _coded(self, keys: list[str]) -> list[bytes]:
+        """The ids of words, as bytes."""
+        got = list(map(self.known.get, keys))
+        new = list({k for k, g in zip(keys, got, strict=True) if g is None})
+        if not new:
+            return got
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        fresh = {k: array("H", e.ids).tobytes() for k, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        self.known.update(fresh)
+        return [fresh[k] if g is None else g for k, g in zip(keys, got, strict=True)]
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        # marks behind an ASCII letter or digit are a word of their own to the tokenizer
+        texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([A-Za-z0-9])([.,;:!?*%$#&]+)(\s|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
-        words = lists.flatten()
-        of_text = np.diff(lists.offsets.to_numpy())
-        coded = words.dictionary_encode()
+        coded = lists.flatten().dictionary_encode()
         # lower case is what the tokenizer makes of ASCII, but for names of special tokens
         names = coded.dictionary
-        keys = pc.if_else(pc.match_substring(names, "<|"), names, pc.ascii_lower(names)).to_pylist()
-        new = list({k for k in keys if k not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(keys))
-        for k, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[k] = np.array(e.ids, dtype="<u2").tobytes()
-        got = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(got), "<u2")
-        place = coded.indices.to_numpy()
-        n = size[place]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(begin[place] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
-        upto = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(of_text)])]
-        return ids, np.diff(upto)
+        got = self._coded(pc.if_else(pc.match_substring(names, "<|"), names, pc.ascii_lower(names)).to_pylist())
+        size = np.fromiter(map(len, got), np.int32, len(got)) // 2
+        begin = np.cumsum(size, dtype=np.int32) - size
+        flat = np.frombuffer(b"".join(got), np.uint16)
+        place, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        for first in range(0, len(texts), 256):
+            upto = offsets[first:first + 257] - offsets[0]
+            own = place[upto[0]:upto[-1]]
+            n = size[own]
+            end = np.cumsum(n, dtype=np.int32)
+            ids = flat[np.repeat(begin[own] - (end - n), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+            cut = np.concatenate([[0], end])[upto - upto[0]]
+            for k in range(len(cut) - 1):
+                yield ids[cut[k]:cut[k + 1]]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -75,7 +85,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(texts):
         done = size[first - 1] if first else 0
@@ -102,13 +112,10 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
             end = np.array([end_id], dtype=np.uint16)
             for batch in batches:
-                texts = pc.fill_null(batch.column(1), "")
                 ids = iter(batch.column(0).to_pylist())
-                for piece in _pieces(texts):
-                    got, n = tokenizer(path).ids(piece)
-                    upto = np.concatenate([[0], np.cumsum(n)])
-                    for k in range(len(piece)):
-                        yield next(ids), np.concatenate([got[upto[k]:upto[k + 1]], end])
+                for piece in _pieces(batch.column(1)):
+                    for got in tokenizer(path).ids(piece):
+                        yield next(ids), np.concatenate([got, end])
 
         for no, (n_ids, frame) in enumerate(frames(each())):
             yield pa.RecordBatch.from_arrays(

@@ -238,7 +238,7 @@ def test_link_tools(spark):
              (2, 2, "q", "add", '{"x":1}', ["p"]), (None, 1, "n", "add", '{"x":1}', []), (3, None, None, "add", '{"x":1}', [])]
     results = [(1, 5, "a", "r1"), (1, 4, "a", "r0"), (1, 6, "b", None), (2, 9, "gone", "r"), (2, 3, "p", "r"), (None, 1, "n", "x")]
     got = rows_of(link_tools(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMA))
-    assert len(got) == 15
+    assert len(got) == 13
     have = {(r[0], r[3], r[4], r[1], tuple(r[5])) for r in got}
     assert have == {
         (1, "a", "linked", 0, ()), (1, "b", "linked", 1, ("$.x: not integer",)), (1, "c", "open", 2, ("$: not JSON",)), (1, "a", "repeated", None, ()),
@@ -250,6 +250,21 @@ def test_link_tools(spark):
     assert empty.count() == 0
 
 
+def test_levels_of_chains_and_joins(spark):
+    from sitegraph.llm.toolchat import CALLS, order_calls
+
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for conv, size, most in ((1, 70, 1), (2, 40, 3), (3, 25, 2)):
+        for k in range(size):
+            on = sorted({int(x) for x in rng.integers(max(0, k - 4), k, rng.integers(1, most + 1))}) if k and (most == 1 or k % 5) else []
+            want[conv, f"c{k}"] = max((want[conv, f"c{j}"] + 1 for j in on), default=0)
+            rows.append((conv, k, f"c{k}", "add", "{}", [f"c{j}" for j in on] + ["none"]))
+    rows += [(4, k, f"c{k}", "add", "{}", [f"c{(k + 1) % 5}"]) for k in range(5)] + [(4, 9, "d", "add", "{}", ["c0", "e"]), (4, 9, "e", "add", "{}", [])]
+    want |= {(4, f"c{k}"): None for k in range(5)} | {(4, "d"): None, (4, "e"): 0}
+    got = {(r.conv_id, r.call_id): r.level for r in order_calls(spark.createDataFrame(rows, CALLS)).collect()}
+    assert got == want
+
+
 # WARC
 
 def test_derivatives(spark):
