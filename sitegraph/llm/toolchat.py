@@ -84,22 +84,47 @@ def parsed(text: str | None) -> tuple[Any, str | None]:
 def order_calls(calls: DataFrame) -> DataFrame:
     """Adds ``level``: calls that wait for none are 0, others one above the highest they wait for.
 
-    A round settles the calls whose awaited ones are settled; there are as many
-    rounds as the longest chain. Calls on a circle, and those that wait for them,
-    get null. Ids that are no call of the conversation are not waited for.
+    Calls that wait for one other are chains: every round doubles how far each
+    looks back, so a chain takes as many rounds as the logarithm of its length.
+    What is left are calls that wait for several; a round settles those whose
+    awaited ones are settled. Calls on a circle, and those that wait for them, get
+    null. Ids that are no call of the conversation are not waited for.
     """
     key = ["conv_id", "call_id"]
     waits = calls.select(*key, F.explode(F.array_distinct("after")).alias("on"))
-    waits = saved(waits.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"), "waits")
-    settled = saved(calls.select(*key).join(waits.select(*key), key, "left_anti").withColumn("level", F.lit(0)), "level")
-    every, level = settled, 0
+    waits = waits.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi")
+    waits = saved(waits.join(waits.groupBy(*key).agg(F.count("*").alias("n")), key), "waits")
+    back = saved(waits.filter("n = 1").select(*key, "on", F.lit(1).cast("bigint").alias("far")), "back")
+    size, seen = back.count(), 1
     while True:
-        met = waits.join(every.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("l")), ["conv_id", "on"], "left")
-        ready = met.groupBy(*key).agg(F.max("l").alias("top"), F.count_if(F.col("l").isNull()).alias("open"))
-        fresh = saved(ready.filter(f"open = 0 AND top = {level}").select(*key, F.lit(level + 1).alias("level")), "level")
+        above = back.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("next"), F.col("far").alias("more"))
+        met = back.join(above, ["conv_id", "on"], "left")
+        open_ = met.filter("next IS NOT NULL").count()
+        if not open_ or seen > size:
+            break
+        back = saved(met.select(*key, F.coalesce("next", "on").alias("on"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")), "back")
+        seen *= 2
+    if open_:
+        # looking back further than there are calls: a circle
+        back = met.filter("next IS NULL").select(*key, "on", "far")
+    # level of a call: that of where its chain begins, and the way from there
+    every = saved(calls.select(*key).join(waits.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("bigint")), "level")
+
+    def behind(heads: DataFrame) -> DataFrame:
+        return back.join(heads.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"]).select(
+            *key, (F.col("level") + F.col("far")).alias("level"))
+
+    every = saved(every.unionByName(behind(every)), "level")
+    several = waits.filter("n > 1").select(*key, "on")
+    while several.head() is not None:
+        met = several.join(every.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("l")), ["conv_id", "on"], "left")
+        ready = met.groupBy(*key).agg((F.max("l") + 1).alias("level"), F.count_if(F.col("l").isNull()).alias("open")).filter("open = 0")
+        fresh = saved(ready.select(*key, "level"), "level")
         if fresh.head() is None:
-            return calls.join(every, key, "left")
-        every, level = every.unionByName(fresh), level + 1
+            break
+        several = saved(several.join(fresh.select(*key), key, "left_anti"), "several")
+        every = saved(every.unionByName(fresh).unionByName(behind(fresh)), "level")
+    return calls.join(every.withColumn("level", F.col("level").cast("int")), key, "left")
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
