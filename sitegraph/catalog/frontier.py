@@ -10,8 +10,10 @@ from sitegraph.catalog.links import _ANCHORS_SQL
 from sitegraph.catalog.tables import EDGES_SQL, graph_edges, pages, table
 from sitegraph.operators import frontier as Q
 from sitegraph.operators.links import Rule, SeekerSpec, extract_links, resolve_links
-from sitegraph.plans.crawl import crawl
-from sitegraph.session import run_folder
+from sitegraph.operators.mine import Field, Group, MineSpec, Step
+from sitegraph.operators.select import sel
+from sitegraph.plans.crawl import crawl, mine_visits
+from sitegraph.session import cut_lineage, run_folder
 from sitegraph.sources.jobs import JobSpec
 
 RULES = (
@@ -139,3 +141,57 @@ def _unseen_links(spark, sf):
 def _dead_links(spark, sf):
     p = pages(spark, sf)
     return Q.dead_links(resolve_links(extract_links(p)), p)
+
+
+# A shop on real markup: index -> nations -> suppliers -> parts. A supplier lists the
+# parts of its own number modulo 97; every tenth part has no page.
+_SHOP = "http://shop.example/"
+_SHOP_RULES = (
+    Rule(r"^http://shop\.example/(?:nation|supplier)\d+\.html$", 5, 0, "snapshot", ("walk",)),
+    Rule(r"^http://shop\.example/part\d+\.html$", 1, 0, "snapshot", (), ("item",)),
+)
+_SHOP_ITEM = MineSpec("shop", (
+    Group("no name; ", (Field("name", (Step(sel("h1")),)),)),
+    Group("no price; ", (Field("price", (Step(sel("div", class_="box")), Step(sel("span", class_="price")))),)),
+))
+
+
+def shop_site(spark, sf):
+    """Pages of the shop: an index, a page per nation and supplier, and most parts."""
+    nation, supplier, part = (table(spark, sf, t) for t in ("nation", "supplier", "part"))
+
+    def address(kind, key):
+        return F.concat(F.lit(f"{kind}"), F.col(key).cast("string"), F.lit(".html"))
+
+    def listing(rows, url, target):
+        anchors = F.concat(F.lit("<li><a href=' "), target, F.lit(" '>x</a><a name='n'>y</a>"))
+        lists = rows.groupBy(url.alias("url")).agg(F.array_join(F.array_sort(F.collect_list(anchors)), "").alias("l"))
+        return lists.select("url", F.concat(F.lit("<html><body><ul>"), "l", F.lit("</ul></body></html>")).alias("html"))
+
+    own = F.concat(F.lit(_SHOP), address("supplier", "s_suppkey"))
+    sold = supplier.select("s_suppkey", (F.col("s_suppkey") % 97).alias("k")).join(part.select("p_partkey", (F.col("p_partkey") % 97).alias("k")), "k")
+    items = part.filter("p_partkey % 10 <> 0").select(F.concat(F.lit(_SHOP), address("part", "p_partkey")).alias("url"), F.concat(
+        F.lit("<html><body><h1>"), "p_name", F.lit("</h1><div class='box'>"),
+        F.when(F.col("p_partkey") % 7 > 0, F.concat(F.lit("<span class='price'>$"), "p_partkey", F.lit("</span>"))).otherwise(F.lit("")),
+        F.lit("</div><a href='index.html'>home</a></body></html>")).alias("html"))
+    pages = (listing(nation, F.lit(_SHOP + "index.html"), address("nation", "n_nationkey"))
+             .unionByName(listing(supplier, F.concat(F.lit(_SHOP), address("nation", "s_nationkey")), address("supplier", "s_suppkey")))
+             .unionByName(listing(sold, own, address("part", "p_partkey"))).unionByName(items))
+    return pages.select(F.xxhash64("url").alias("page_id"), "url", F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"), "html")
+
+
+@query("crawl_pages", f"""
+    WITH sold AS (SELECT DISTINCT p_partkey AS p, p_name FROM part JOIN supplier ON s_suppkey % 97 = p_partkey % 97)
+    SELECT '{_SHOP}index.html' AS url, 0 AS hop, '' AS status_code, NULL AS error, NULL AS name, NULL AS price
+    UNION ALL SELECT '{_SHOP}nation' || n_nationkey || '.html', 1, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN '' ELSE 'HTTP 404' END, NULL, NULL, NULL FROM nation
+    UNION ALL SELECT '{_SHOP}supplier' || s_suppkey || '.html', 2, CASE WHEN s_suppkey % 97 IN (SELECT p_partkey % 97 FROM part) THEN '' ELSE 'HTTP 404' END, NULL, NULL, NULL FROM supplier
+    UNION ALL SELECT '{_SHOP}part' || p || '.html', 3, CASE WHEN p % 10 = 0 THEN 'HTTP 404' ELSE '' END,
+      CASE WHEN p % 10 <> 0 THEN CASE WHEN p % 7 = 0 THEN 'no price; ' ELSE '' END END, CASE WHEN p % 10 <> 0 THEN p_name END,
+      CASE WHEN p % 10 <> 0 AND p % 7 <> 0 THEN '$' || p END FROM sold""")
+def _crawl_pages(spark, sf):
+    site = cut_lineage(shop_site(spark, sf), run_folder(spark, "site"))
+    seed = {"url": _SHOP + "index.html", "seekers": ["walk"], "hop": 0}
+    spec = JobSpec("shop", (seed,), {"walk": SeekerSpec(_SHOP_RULES)}, {"item": _SHOP_ITEM})
+    result = crawl(spark, spec, pages=site)
+    records = mine_visits(result, site, spec)["item"].select("url", "error", "name", "price")
+    return result.visits.select("url", "hop", "status_code").join(records, "url", "left")
