@@ -27,11 +27,11 @@ def _html_tokens(spark, sf):
     return html_tokens(pages(spark, sf)).select("page_id", F.col("pos").cast("bigint"), "kind", "name", "raw")
 
 
-@query("massage_markup", "SELECT page_id, md5(replace(replace(html, '<br>', '<br />'), '<!-- ', '<!-- ')) AS digest FROM pages")
+@query("massage_markup", "SELECT page_id, md5(replace(html, '<br>', '<br />')) AS digest FROM pages")
 def _massage(spark, sf):
-    glued = F.replace(F.replace("html", F.lit("<br>"), F.lit("<br/>")), F.lit("<!-- "), F.lit("<! -- "))
-    fixed = massage_markup(F.replace(glued, F.lit("<! -- "), F.lit("<! --")))
-    return pages(spark, sf).select("page_id", F.md5(F.replace(fixed, F.lit("<!--ad"), F.lit("<!-- ad"))).alias("digest"))
+    # both faults that the fixes are for: a slash glued to the end, a blank behind "<!"
+    faulty = F.replace(F.replace("html", F.lit("<br>"), F.lit("<br/>")), F.lit("<!--"), F.lit("<! \n--"))
+    return pages(spark, sf).select("page_id", F.md5(massage_markup(faulty)).alias("digest"))
 
 
 @query("node_depth", with_tokens("""
@@ -72,14 +72,30 @@ def _squeeze_blank_text(spark, sf):
         F.count_if(F.col("text") == "\n").alias("line_feeds"), F.count_if(F.col("text") == " ").alias("spaces"))
 
 
-@query("dialects", with_nodes("""
-    SELECT d AS dialect, page_id, pre, post, parent_pre, name FROM nodes, (VALUES ('minimal'), ('nestable_inline')) v(d)"""))
+@query("dialects", """
+    SELECT d AS dialect, page_id, pre, parent_pre, name, replace(replace(lifted, '?', page_id::VARCHAR), '!', length(html)::VARCHAR) AS lifted
+    FROM pages, (VALUES
+      ('html', 0, NULL, '[document]', ''), ('html', 1, 0, 'b', ''), ('html', 3, 0, 'b', ''), ('html', 5, 0, 'div', ''),
+      ('html', 7, 5, 'div', ''), ('html', 9, 0, 'foo', ''), ('html', 10, 9, 'bar', ''), ('html', 12, 0, 'br', ''),
+      ('nestable_inline', 0, NULL, '[document]', ''), ('nestable_inline', 1, 0, 'b', ''), ('nestable_inline', 3, 1, 'b', ''), ('nestable_inline', 5, 0, 'div', ''),
+      ('nestable_inline', 7, 5, 'div', ''), ('nestable_inline', 9, 0, 'foo', ''), ('nestable_inline', 10, 9, 'bar', ''), ('nestable_inline', 12, 0, 'br', ''),
+      ('minimal', 0, NULL, '[document]', ''), ('minimal', 1, 0, 'b', ''), ('minimal', 3, 0, 'b', ''), ('minimal', 5, 0, 'div', ''),
+      ('minimal', 7, 0, 'div', ''), ('minimal', 9, 0, 'foo', ''), ('minimal', 10, 9, 'bar', ''), ('minimal', 12, 0, 'br', ''),
+      ('xml', 0, NULL, '[document]', ''), ('xml', 1, 0, 'b', ''), ('xml', 3, 0, 'b', ''), ('xml', 5, 0, 'div', ''),
+      ('xml', 7, 0, 'div', ''), ('xml', 9, 0, 'foo', ''), ('xml', 10, 9, 'bar', ''), ('xml', 12, 0, 'br', ''), ('xml', 13, 12, 'i', ''),
+      ('soap', 0, NULL, '[document]', 'b=?,div=1'), ('soap', 1, 0, 'b', ''), ('soap', 3, 0, 'b', ''), ('soap', 5, 0, 'div', ''),
+      ('soap', 7, 0, 'div', ''), ('soap', 9, 0, 'foo', 'bar=!'), ('soap', 10, 9, 'bar', ''), ('soap', 12, 0, 'br', ''), ('soap', 13, 12, 'i', ''),
+      ('html', 13, 0, 'i', ''), ('nestable_inline', 13, 0, 'i', ''), ('minimal', 13, 0, 'i', '')
+    ) v(d, pre, parent_pre, name, lifted)""")
 def _dialects(spark, sf):
-    out = None
-    for dialect in ("minimal", "nestable_inline"):
-        part = nodes(spark, sf, dialect=dialect).select(
-            F.lit(dialect).alias("dialect"), "page_id", F.col("pre").cast("bigint"), F.col("post").cast("bigint"),
-            F.col("parent_pre").cast("bigint"), "name")
+    # markup on which the dialects differ: equal elements inside each other, an element without end
+    markup = F.concat(F.lit("<b>"), F.col("page_id").cast("string"), F.lit("<b>y</b></b><div>1<div>2</div></div><foo><bar>"),
+                      F.length("html").cast("string"), F.lit("</bar></foo><br><i></i>"))
+    small, out = pages(spark, sf).select("page_id", markup.alias("html")), None
+    for dialect in ("html", "nestable_inline", "minimal", "xml", "soap"):
+        part = html_nodes(small, dialect=dialect).filter("kind = 'tag'").select(
+            F.lit(dialect).alias("dialect"), "page_id", F.col("pre").cast("bigint"), F.col("parent_pre").cast("bigint"), "name",
+            F.array_join(F.transform("attrs", lambda a: F.concat(a["k"], F.lit("="), a["v"])), ",").alias("lifted"))
         out = part if out is None else out.unionByName(part)
     return out
 
