@@ -76,6 +76,8 @@ def test_decoding(spark):
     assert out[4].html == ""
     assert out[5].sniffed_encoding == "utf-16be" and out[5].html == '<?xml version="1.0"?>x'
     assert out[6].sniffed_encoding == "ebcdic"
+    real = D.decode_pages(spark.createDataFrame([(0, b"a\x93b\xff"), (1, b"a\x81\xff")], "page_id INT, data BINARY"), quotes_to=None)
+    assert [(r.html, r.used_encoding) for r in real.orderBy("page_id").collect()] == [("a\u201cb\xff", "windows-1252"), (None, None)]
     bad = D.decode_pages(spark.createDataFrame([(0, b"a\xff")], "page_id INT, data BINARY"), from_encoding="utf-8").first()
     assert bad.html == "a�"
     quotes = spark.range(1).select(D.smart_quotes(F.lit("\x93a\x81\x9f"), "xml")).first()[0]
