@@ -9,7 +9,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitegraph.functions.once import once
@@ -127,11 +126,19 @@ def match_rules(links: DataFrame, rules: Sequence[Rule], url: str = "link") -> D
 
 def match_rule_table(links: DataFrame, rules: DataFrame, url: str = "link", on: str = "rule_set") -> DataFrame:
     """Same with rules from a table, e.g. one rule set per store: links carry the
-    name of their rule set. ``stop_if_matched`` is applied per link."""
-    joined = links.join(rules, on).filter(F.col(url).isNotNull() & F.expr(f"{url} RLIKE concat('^(?:', regex, ')')"))
-    stop_at = F.min(F.when(F.col("stop_if_matched"), F.col("rule_no"))).over(W.partitionBy(*links.columns))
-    limited = joined.withColumn("_stop", stop_at)
-    return limited.filter("_stop IS NULL OR rule_no <= _stop").drop("_stop")
+    name of their rule set. ``stop_if_matched`` is applied per link.
+
+    The rules of a set travel as one row, so a link meets them in one join, and
+    matching and stopping happen inside its row.
+    """
+    fields = ["rule_no", *[c for c in rules.columns if c not in (on, "rule_no")]]
+    packed = rules.groupBy(on).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rules"))
+    hits = F.filter("_rules", lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["regex"], F.lit(")"))))
+    met = once(links.join(packed, on), {"_hits": F.when(F.col(url).isNotNull(), hits)})
+    stop = F.get(F.filter("_hits", lambda r: r["stop_if_matched"]), F.lit(0))["rule_no"]
+    met = met.withColumn("_stop", stop)
+    kept = F.filter("_hits", lambda r: F.col("_stop").isNull() | (r["rule_no"] <= F.col("_stop")))
+    return met.select(on, *[c for c in links.columns if c != on], F.inline(kept))
 
 
 def hop_limit(matched: DataFrame, hop: Column) -> DataFrame:
