@@ -46,10 +46,12 @@ def okaybuy_pages(spark, sf) -> DataFrame:
 
 
 
-def _rows(records: DataFrame, *names: str) -> DataFrame:
+def _rows(records: DataFrame, *names: str, details: bool = False) -> DataFrame:
     r = M.as_products(records)
+    pairs = F.array_join(F.transform("prod_details", lambda d: F.concat(d["attr_name"], F.lit(":"), d["attr_value"])), "|")
     images = F.array_join(F.transform("images", lambda i: F.concat(i["kind"], i["no"].cast("string"), F.lit("="), i["src"])), ";")
-    return r.select("url", "error", *[F.coalesce(n, F.lit("-")).alias(n) for n in names], images.alias("images"))
+    more = [F.coalesce(pairs, F.lit("")).alias("details")] if details else []
+    return r.select("url", "error", *[F.coalesce(n, F.lit("-")).alias(n) for n in names], images.alias("images"), *more)
 
 
 @query("mine_okaybuy", """
@@ -124,10 +126,8 @@ def taobao_pages(spark, sf) -> DataFrame:
       CASE WHEN p_partkey % 17 = 5 THEN '' ELSE 's0=' || p_partkey || '.jpg_40x40.jpg;f0=' || p_partkey || '.jpg;s1=b.jpg;f1=b.jpg' END AS images
     FROM part""")
 def _mine_taobao(spark, sf):
-    records = M.as_products(M.mine(taobao_pages(spark, sf), shops.taobao_miner()))
-    details = F.array_join(F.transform("prod_details", lambda d: F.concat(d["attr_name"], F.lit(":"), d["attr_value"])), "|")
-    rows = _rows(records, "prod_name", "sku_url", "prod_price", "sold_amount", "shipping_cost")
-    return rows.join(records.select("url", F.coalesce(details, F.lit("")).alias("details")), "url")
+    records = M.mine(taobao_pages(spark, sf), shops.taobao_miner())
+    return _rows(records, "prod_name", "sku_url", "prod_price", "sold_amount", "shipping_cost", details=True)
 
 
 _PAGES_SQL = r"""
@@ -213,12 +213,12 @@ def _full_image_url(spark, sf):
 
 
 @query("size_list", """
-    SELECT l_partkey, CASE WHEN bool_or(l_quantity > 49) THEN '-' ELSE string_agg(CAST(CAST(l_quantity AS INT) AS VARCHAR), ', ' ORDER BY CAST(l_quantity AS INT)) END AS sizes
+    SELECT l_partkey, CASE WHEN bool_or(l_quantity > 49) THEN '-' ELSE array_to_string(list_transform(list_sort(list(DISTINCT CAST(l_quantity AS INT))), lambda x: x::VARCHAR), ', ') END AS sizes
     FROM lineitem GROUP BY l_partkey""")
 def _size_list(spark, sf):
-    # sizes seen per part; 50 stands for a size without a label
+    # distinct sizes seen per part, fifty at most; 50 stands for a size without a label
     quantity = F.col("l_quantity").cast("int")
-    seen = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(quantity)).alias("q"))
+    seen = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(quantity)).alias("q"))
     labels = F.transform("q", lambda x: F.when(x < 50, x.cast("string")))
     return seen.select("l_partkey", F.coalesce(M.size_list(labels), F.lit("-")).alias("sizes"))
 
