@@ -20,9 +20,9 @@ from sitegraph.llm.idcodec import decode_frame, frames
 from sitegraph.session import run_folder
 
 #: words whose ids a task remembers
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: bytes of text whose words are looked up at once
-_SLICE = 1 << 24
+_SLICE = 1 << 22
 
 
 class WordTokenizer:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -239,10 +238,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | Non
     second = np.sort(_word_hash(list(SECOND_PERSON)))
     entries, weights = model.entries, model.weights
 
-    @F.pandas_udf("array<double>")
-    def features(text: pd.Series) -> pd.Series:
-        parts = [dense_features(w, entries, weights, second) for w in slices(pa.array(text, pa.string()), NOT_ALNUM)]
-        return pd.Series(list(np.concatenate(parts)) if parts else [])
+    @F.arrow_udf("array<double>")
+    def features(text: pa.Array) -> pa.Array:
+        parts = [dense_features(w, entries, weights, second).reshape(-1) for w in slices(text, NOT_ALNUM)]
+        offsets = np.arange(len(text) + 1, dtype=np.int32) * len(FEATURES)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0)))
 
     names = [F.col("x")[k].alias(f) for k, f in enumerate(FEATURES)]
     rows = docs.select(F.struct(*docs.columns).alias("doc"), features(F.col("text").cast("string")).alias("x")).select("doc", *names)
