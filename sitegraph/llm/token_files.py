@@ -20,7 +20,7 @@ from sitegraph.llm.idcodec import decode_frame, frames
 from sitegraph.session import run_folder
 
 #: words whose ids a task remembers
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: bytes of text whose words are looked up at once
 _SLICE = 1 << 22
 
@@ -75,13 +75,18 @@ class WordTokenizer:
                 yield ids[cut[k]:cut[k + 1]]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+def tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python process, with the words it remembers from earlier tasks.
 
+    This package travels with each task by value, so its own globals start anew;
+    an installed module's do not.
+    """
+    import tokenizers
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    held = vars(tokenizers).setdefault("_sitegraph_held", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
