@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.functions.entities import convert_entities
+from sitegraph.functions.once import once
 from sitegraph.llm.common import table
 
 #: the instant that records without a date of their own get
@@ -26,19 +27,21 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags go, entities become characters.
-
-    Block elements end lines; blanks run together, and so do empty lines.
-    """
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
+def without_markup(html: Column) -> Column:
+    """Scripts, styles, comments and tags go; block elements end lines."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"[\r\n]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{_LINES})\b[^>]*>", "\n")
-    text = convert_entities(F.regexp_replace(text, r"<[^>]*>", ""), "html")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(text, rf"(?i)</?+(?:{_LINES})\b[^>]*+>", "\n")
+    return F.regexp_replace(text, r"<[^>]*+>", "")
+
+
+def plain_text(bare: Column) -> Column:
+    """Entities to characters; blanks run together, and so do empty lines."""
+    text = convert_entities(bare, "html")
+    # single blanks, the most, are not matched
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
+    text = F.replace(F.regexp_replace(text, r"\n[ \n]++", "\n"), F.lit(" \n"), F.lit("\n"))
+    return F.btrim(text, F.lit(" \n"))
 
 
 def record(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -71,7 +74,7 @@ def derive(responses: DataFrame, *keep: str) -> DataFrame:
     digest and its links; a ``conversion`` record is the page's plain text. Both
     refer to the response by its identifier and to each other
     (``WARC-Concurrent-To``), and keep its target and date. ``keep`` names more
-    columns to return.
+    columns to return (not one of the names made here).
 
     Null and empty bodies give an empty text, a null target no target field, a
     null header block empty source fields; a null identifier is replaced by one
@@ -82,8 +85,9 @@ def derive(responses: DataFrame, *keep: str) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     r = responses.select(*keep, "record_id", text("target_uri").alias("uri"), text("date").alias("date"), text("http").alias("http"), text("body").alias("body"))
     r = r.withColumn("source", F.coalesce("record_id", urn(F.lit("response"), "uri", "date", "http", "body"))).drop("record_id")
-    r = r.withColumns({"said": digest(F.col("body")), "text": plain_text(F.col("body"))})
-    ids = {k: urn(F.lit(k), F.col("source"), F.col("said")) for k in ("metadata", "conversion")}
+    # each of these is used in several fields, and computed once
+    r = once(r, {"said": digest(F.col("body")), "bare": without_markup(F.col("body"))})
+    r = once(r, {"text": plain_text(F.col("bare"))})
     links = F.array_join(F.transform(
         F.regexp_extract_all("body", F.lit(r'(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"'), F.lit(1)),
         lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(u, r"[\r\n]", ""), F.lit(_END))), "")
@@ -93,18 +97,22 @@ def derive(responses: DataFrame, *keep: str) -> DataFrame:
         ("source-headers-digest", digest(F.col("http"))), ("source-payload-digest", F.col("said")),
         ("source-payload-length", F.octet_length("body").cast("string")))], links)
 
-    def made(kind: str, block: Column, content: str, more: list[tuple[str, Column]]) -> Column:
-        other = ids["conversion" if kind == "metadata" else "metadata"]
-        length = F.octet_length(block)
-        head = [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", F.col("source")),
-                ("WARC-Concurrent-To", other), ("WARC-Target-URI", F.col("uri")), ("WARC-Date", F.col("date")),
-                *more, ("WARC-Block-Digest", digest(block)), ("Content-Type", F.lit(content)), ("Content-Length", length.cast("string"))]
-        return F.struct(F.lit(kind).alias("kind"), ids[kind].alias("record_id"), F.col("source").alias("refers_to"), F.col("uri").alias("target_uri"),
-                        digest(block).alias("block_digest"), length.cast("bigint").alias("length"), record(head, block).alias("record"))
-
-    return r.withColumn("fields", fields).select(*keep, F.inline(F.array(
-        made("metadata", F.col("fields"), "application/warc-fields", []),
-        made("conversion", F.col("text"), "text/plain; charset=utf-8", [("WARC-Source-Payload-Digest", F.col("said"))]))))
+    ids = {k: urn(F.lit(k), F.col("source"), F.col("said")) for k in ("metadata", "conversion")}
+    r = once(r, {"fields": fields, **{f"{k}_id": v for k, v in ids.items()}})
+    # a row per record, with its block and what differs
+    kinds = F.inline(F.array(
+        F.struct(F.lit("metadata").alias("kind"), F.col("metadata_id").alias("record_id"), F.col("conversion_id").alias("other"),
+                 F.col("fields").alias("block"), F.lit("application/warc-fields").alias("content"), F.lit("").alias("payload")),
+        F.struct(F.lit("conversion").alias("kind"), F.col("conversion_id").alias("record_id"), F.col("metadata_id").alias("other"),
+                 F.col("text").alias("block"), F.lit("text/plain; charset=utf-8").alias("content"), F.col("said").alias("payload"))))
+    r = once(r.select(*keep, "source", "uri", "date", kinds), {"block_digest": digest(F.col("block"))})
+    length = F.octet_length("block")
+    head = [("WARC-Type", F.col("kind")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Refers-To", F.col("source")),
+            ("WARC-Concurrent-To", F.col("other")), ("WARC-Target-URI", F.col("uri")), ("WARC-Date", F.col("date")),
+            ("WARC-Source-Payload-Digest", F.col("payload")), ("WARC-Block-Digest", F.col("block_digest")),
+            ("Content-Type", F.col("content")), ("Content-Length", length.cast("string"))]
+    return r.select(*keep, "kind", "record_id", F.col("source").alias("refers_to"), F.col("uri").alias("target_uri"), "block_digest",
+                    length.cast("bigint").alias("length"), record(head, F.col("block")).alias("record"))
 
 
 def op10_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
