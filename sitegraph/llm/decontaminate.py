@@ -2,8 +2,8 @@
 
 A seed is ``SEED`` following words of a test item. Texts are read once: where a
 text may hold a seed (a fixed-size bitmap of all seeds decides), the words around
-are kept as a passage. Passages meet items by their rarer seeds in an exact
-join, and Smith-Waterman alignment of the words scores how much of the item the
+are kept as a passage. Different passages meet items by all their seeds in an
+exact join, and Smith-Waterman alignment of the words scores how much of the item the
 passage holds, with words changed, dropped or put in.
 """
 
@@ -14,18 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import bitmap, has_bit, saved, table
+from sitegraph.llm.common import bitmap, has_bit, saved, sized, table
 from sitegraph.llm.words import NOT_ALNUM, shingles, slices
 
 SEED = 4
 #: size of the bitmap of seeds, looked up at two places
 BITS = 24
 _OTHER = np.uint64(0x2545F4914F6CDD1D)
-#: of an item's seeds, rarest in the corpus first, so many and this share take part
-RARE, RARE_SHARE = 12, 0.75
 #: gains of the alignment: an equal word, another word, a word too many or missing
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: an item counts as leaked from this share of its full score
@@ -117,7 +114,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """``doc_id, item_id, seeds, score, ends`` of pairs with the words of both sides."""
+    """``p, q, item_id, seeds, score, end`` of pairs with the words of both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,19 +124,18 @@ def scored(pairs: DataFrame) -> DataFrame:
                 item, passage = (v[o[k]:o[k + 1]] for v, o in sides)
                 best, ends[k] = align(item, passage)
                 score[k] = best / (MATCH * len(item))
-            at = batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score), pa.array(at + ends)],
-                                             ["doc_id", "item_id", "seeds", "score", "ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score), pa.array(ends)],
+                                             ["p", "q", "item_id", "seeds", "score", "end"])
 
-    return pairs.select("doc_id", "item_id", "seeds", "at", "item_words", "words").mapInArrow(
-        run, "doc_id BIGINT, item_id BIGINT, seeds BIGINT, score DOUBLE, ends BIGINT")
+    return pairs.select("p", "q", "item_id", "seeds", "item_words", "words").mapInArrow(
+        run, "p BIGINT, q BIGINT, item_id BIGINT, seeds BIGINT, score DOUBLE, end BIGINT")
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
     """``doc_id, item_id, seeds, score, ends``: which of ``docs(doc_id, text)`` hold which of ``items(item_id, text)``.
 
     ``score`` is the alignment's share of the item's full score, ``least`` or
-    more; ``seeds`` the rare seeds that met, ``ends`` the number of the word
+    more; ``seeds`` the different seeds that met, ``ends`` the number of the word
     behind the aligned stretch. Words are letters and digits, without case in
     ASCII. An item that is in a text at several places is returned once, by its
     best place, the first of equal ones.
@@ -157,19 +153,16 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
     seeds = words.select("item_id", F.explode(F.array_distinct("seeds")).alias("t"))
     twice = seeds.select(F.inline(F.expr(f"array(struct(t as t), struct(t ^ {int(_OTHER.view(np.int64))}L as t))")))
     held = saved(passages(docs, bitmap(twice, "t", BITS), sorted(facts.widths), facts.longest + facts.longest // 4 + SEED), "passages")
-    held = held.withColumn("passage", F.xxhash64("words", "hits"))
-    hits = held.select("doc_id", "at", "passage", F.explode(F.array_distinct("hits")).alias("t"))
-    # how often the corpus has each seed, and each item's rarer ones
-    often = hits.groupBy("t").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy("often", "t"))
-    every = F.count("*").over(W.partitionBy("item_id"))
-    rare = seeds.join(often, "t").withColumn("rank", rank).withColumn("every", every).filter(
-        (F.col("rank") <= RARE) | (F.col("rank") <= F.col("every") * RARE_SHARE)).select("t", "item_id")
-    met = hits.join(rare, "t").groupBy("doc_id", "at", "passage", "item_id").agg(F.count("*").alias("seeds"))
-    place = ["doc_id", "at", "passage"]
-    pairs = met.join(held.select(*place, "words").dropDuplicates(place), place).join(
+    # the alignment depends on the words alone: equal passages meet the items once
+    held = held.withColumn("p", F.xxhash64("words")).withColumn("q", F.xxhash64(F.lit(1), "words"))
+    own = saved(held.select("p", "q", "words", "hits").dropDuplicates(["p", "q"]), "different")
+    met = own.select("p", "q", F.explode(F.array_distinct("hits")).alias("t")).join(seeds, "t").groupBy("p", "q", "item_id").agg(
+        F.count("*").alias("seeds"))
+    pairs = met.join(own.select("p", "q", "words"), ["p", "q"]).join(
         words.select("item_id", F.col("words").alias("item_words")), "item_id")
-    best = scored(pairs).filter(F.col("score") >= least).groupBy("doc_id", "item_id").agg(
+    found = saved(scored(pairs).filter(F.col("score") >= least), "aligned")
+    places = held.select("doc_id", "at", "p", "q").join(sized(found), ["p", "q"]).withColumn("ends", F.col("at") + F.col("end"))
+    best = places.groupBy("doc_id", "item_id").agg(
         F.max_by(F.struct("seeds", "score", "ends"), F.struct("score", -F.col("ends"), "seeds")).alias("b"))
     return best.select("doc_id", "item_id", "b.seeds", "b.score", "b.ends")
 

@@ -212,6 +212,17 @@ def test_leaks(spark):
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_many_equal_edits(spark):
+    """The copies make their own seeds the commonest of an item that also stands unedited."""
+    item = [f"v{k}" for k in range(38)]
+    copy = [x if k < 12 or k % 3 else "other" for k, x in enumerate(item)]
+    docs = [(0, " ".join(item))] + [(k, f"doc {k} says " + " ".join(copy)) for k in range(1, 40)] + [(k, " ".join(copy)) for k in range(40, 80)]
+    got = rows_of(leaks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"),
+                        spark.createDataFrame([(7, " ".join(item))], "item_id BIGINT, text STRING")))
+    assert sorted(r[0] for r in got) == list(range(80)) and {r[1] for r in got} == {7}
+    assert {r[4] for r in got if r[0] in (1, 40)} == {41, 38}
+
+
 # licenses
 
 def test_license_inheritance(spark):
