@@ -223,6 +223,26 @@ def test_leaks_of_many_equal_edits(spark):
     assert {r[4] for r in got if r[0] in (1, 40)} == {41, 38}
 
 
+def test_leaks_equal_brute_force_without_seeds(spark):
+    """Every document against every item: copies changed at random, every fourth word, or with a word put in everywhere."""
+    rng = np.random.default_rng(8)
+    word = lambda n: list((60 * rng.random(n) ** 2).astype(int))
+    items = {k: word(n) for k, n in enumerate([4, 5, 6, 7, 8, 10, 12, 15, 20, 30] * 3)}
+    items[90] = list(range(200, 215))
+    docs = {0: [x if k % 4 < 3 else 999 for k, x in enumerate(items[90])], 1: [y for x in items[90] for y in (x, 900 + x)][:-1], 2: []}
+    for k in range(3, 90):
+        copy = []
+        for x in items[k % 30]:
+            kind = rng.random() * 4
+            copy += [x] if kind > 1.2 else [int(rng.integers(0, 60))] if kind > 0.7 else [x, int(rng.integers(0, 60))] if kind > 0.3 else []
+        docs[k] = word(int(rng.integers(0, 40))) + copy + word(int(rng.integers(0, 40)))
+    want = {(d, i): s for d, w in docs.items() for i, item in items.items()
+            if (s := align(np.array(item), np.array(w, dtype=int))[0] / (2 * len(item))) >= 0.5}
+    text = lambda rows: spark.createDataFrame([(k, " ".join(f"w{x}" for x in w)) for k, w in rows.items()], "id BIGINT, text STRING")
+    got = {(r[0], r[1]): r[3] for r in rows_of(leaks(text(docs).withColumnRenamed("id", "doc_id"), text(items).withColumnRenamed("id", "item_id")))}
+    assert got == pytest.approx(want) and {(0, 90), (1, 90)} <= set(want) and len(want) > 90
+
+
 # licenses
 
 def test_license_inheritance(spark):
