@@ -15,6 +15,12 @@ _END = "\r\n"
 #: elements whose end or beginning starts a new line of text
 _LINES = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|body|html|head|blockquote|pre"
 
+#: an attribute, passed whole so that nothing inside a quoted value counts
+_ATTRIBUTE = r"""(?:[^\s"'>=<][^\s>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+|["'=<])"""
+_BETWEEN = r"""(?:[\s/]++|(?<=["']))"""
+#: an anchor up to the value of its first ``href``, which has double, single or no quotes
+_HREF = rf"""(?i)<a(?=[\s/])(?:{_BETWEEN}(?!href\s*+=){_ATTRIBUTE})*+{_BETWEEN}href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+
 
 def urn(*parts: Column) -> Column:
     """A record identifier that depends on the parts alone, so that reruns agree."""
@@ -60,6 +66,16 @@ def as_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
                         uri.alias("target_uri"), F.lit(date).alias("date"), http.alias("http"), body.alias("body"))
 
 
+def outlinks(html: Column) -> Column:
+    """The ``href`` of every anchor that has one, without quotes, entities to characters, on one line."""
+    def url(value: Column) -> Column:
+        quoted = value.startswith('"') | value.startswith("'")
+        bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.regexp_replace(convert_entities(bare, "xhtml"), r"[\r\n]", "")
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), url)
+
+
 def http_field(http: Column, name: str) -> Column:
     """A field of a header block, by its name in any case; empty where it is missing."""
     return F.regexp_extract(http, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
@@ -88,9 +104,7 @@ def derive(responses: DataFrame, *keep: str) -> DataFrame:
     # each of these is used in several fields, and computed once
     r = once(r, {"said": digest(F.col("body")), "bare": without_markup(F.col("body"))})
     r = once(r, {"text": plain_text(F.col("bare"))})
-    links = F.array_join(F.transform(
-        F.regexp_extract_all("body", F.lit(r'(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"'), F.lit(1)),
-        lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(u, r"[\r\n]", ""), F.lit(_END))), "")
+    links = F.array_join(F.transform(outlinks(F.col("body")), lambda u: F.concat(F.lit("outlink: "), u, F.lit(_END))), "")
     status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     fields = F.concat(*[F.concat(F.lit(f"{k}: "), v, F.lit(_END)) for k, v in (
         ("source-status", status), ("source-content-type", http_field(F.col("http"), "content-type")),

@@ -330,6 +330,19 @@ def test_derivatives(spark):
     assert derive(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("anchor,links", [
+    ('<a href="x?a=1&amp;b=2">', ["x?a=1&b=2"]),
+    ("<a class=k href='x&#38;y \"z\"'>", ['x&y "z"']),
+    ("<A HREF=/x/y?q=1&lang=en>t</A>", ["/x/y?q=1&lang=en"]),
+    ("<a title='a > b href=no' data-href=no href = yes>", ["yes"]),
+    ('<a id="k"href="x"><a name=top><a href="x&#13;&#10;WARC-Type: y">', ["x", "xWARC-Type: y"]),
+])
+def test_outlinks_of_every_attribute_form(spark, anchor, links):
+    df = spark.createDataFrame([("<urn:r>", "u", "d", "h", f"<p>{anchor}</p>")], "record_id STRING, target_uri STRING, date STRING, http STRING, body STRING")
+    meta = next(r for r in derive(df).collect() if r.kind == "metadata")
+    assert re.findall("outlink: ([^\r]*)\r\n", meta.record) == links
+
+
 # nearest neighbours
 
 def test_neighbours_of_odd_rows(spark):
