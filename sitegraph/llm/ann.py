@@ -157,26 +157,37 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, h
 
 
 def _top(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int) -> pa.Table:
-    """The ``k`` best of the points for each query, some queries at a time."""
+    """The ``k`` best of the points for each query, some queries at a time.
+
+    A product of matrices finds all points that may be among them, up to twice
+    the rounding of a sum of so many terms; their own scores then decide, and the id.
+    """
     out = [[], [], []]
     p = p.astype(np.float64)
+    length = np.linalg.norm(p, axis=1)
     for at in range(0, len(qid), 256):
         ids, part = qid[at:at + 256], q[at:at + 256].astype(np.float64)
         s = part @ p.T
+        slack = 2 * p.shape[1] * (np.finfo(np.float64).eps * np.linalg.norm(part, axis=1)[:, None] * length[None, :] + 5e-324)
         s[ids[:, None] == pid[None, :]] = -np.inf
         m = min(k, len(pid))
-        # everything as good as the k-th, so that ties are decided by id later
-        least = -np.partition(-s, m - 1, axis=1)[:, m - 1:m]
-        i, j = np.nonzero((s >= least - 1e-9) & (s > -np.inf))
-        if len(i) > 4 * m * len(ids):
-            # many equal points: the smallest ids of each query are enough
-            order = np.lexsort((pid[j], -np.round(s[i, j], 9), i))
-            i, j = i[order], j[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[nth < 2 * m], j[nth < 2 * m]
-        out[0].append(ids[i])
-        out[1].append(pid[j])
-        out[2].append(np.einsum("nd,nd->n", part[i], p[j]))
+        least = -np.partition(slack - s, m - 1, axis=1)[:, m - 1:m]
+        i, j = np.nonzero((s + slack >= least) & (s > -np.inf))
+        score = np.zeros(len(i))
+        for few in (slice(n, n + 65536) for n in range(0, len(i), 65536)):
+            score[few] = np.einsum("nd,nd->n", part[i[few]], p[j[few]])
+        # a repeated id with its largest score, then the best of each query
+        order = np.lexsort((-score, pid[j], i))
+        i, j, score = i[order], j[order], score[order]
+        new = np.ones(len(i), dtype=bool)
+        new[1:] = (i[1:] != i[:-1]) | (pid[j[1:]] != pid[j[:-1]])
+        i, j, score = i[new], j[new], score[new]
+        order = np.lexsort((pid[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < m
+        out[0].append(ids[i[best]])
+        out[1].append(pid[j[best]])
+        out[2].append(score[best])
     return pa.table([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
 

@@ -368,6 +368,18 @@ def test_neighbours_of_odd_rows(spark):
     assert sorted((r[0], r[1]) for r in rows_of(few)) == [(0, 1), (0, 2)]
 
 
+def test_neighbours_of_tiny_vectors(spark):
+    """Scores far below 1e-9, and more near ties than are asked for."""
+    rng = np.random.default_rng(6)
+    for x in (rng.normal(size=(300, 8)) * 1e-6, np.c_[np.ones(300), 1e-12 * rng.permutation(300)]):
+        df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+        got = {(q, r): v for q, r, v, _ in rows_of(nearest(df, "vec_id IN (299, 100)", k=5, how=Hashing(probes=200)))}
+        for q in (299, 100):
+            s = np.einsum("nd,nd->n", x[[q] * 300], x)
+            best = [k for k in np.lexsort((np.arange(300), -s)) if k != q][:5]
+            assert [got[q, r + 1] for r in range(5)] == best
+
+
 def test_hot_cell_is_dealt_in_blocks(spark, monkeypatch):
     from sitegraph.llm import ann
 
