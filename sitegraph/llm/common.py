@@ -25,13 +25,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, run_folder(df.sparkSession, name))
 
 
-#: a join side of so many ids is copied to all tasks; beyond it, both sides are shuffled
-COPIED_IDS = 2_000_000
+#: a join side of so many bytes is copied to all tasks; beyond it, both sides are shuffled
+COPIED_BYTES = 8 << 20
 
+#: bytes of a value of fixed width in a row, and what others are taken for
+WIDTHS = {"bigint": 8, "double": 8, "int": 8, "boolean": 8}
+OTHER_WIDTH = 64
 
-def sized(ids: DataFrame) -> DataFrame:
-    """A saved side of a join, copied to all tasks if its rows were counted to be few."""
-    return F.broadcast(ids) if ids.count() <= COPIED_IDS else ids
+
+def sized(side: DataFrame) -> DataFrame:
+    """A saved side of a join, copied to all tasks if its rows were counted to be small."""
+    width = 16 + sum(WIDTHS.get(kind, OTHER_WIDTH) for _, kind in side.dtypes)
+    return F.broadcast(side) if side.count() * width <= COPIED_BYTES else side
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,11 +53,16 @@ def bit_places(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix(values.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+#: words of 64 bits of a bitmap that are merged at once
+SLICE = 1 << 16
+
+
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with a bit set for each value of a BIGINT column.
 
     Its size is fixed, whatever the table's: a full bitmap lets more rows pass to
-    the exact join behind it, and loses none.
+    the exact join behind it, and loses none. Tasks send the words they have set,
+    slice by slice; merged slices reach the driver as one binary value each.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +71,29 @@ def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
             at = bit_places(batch.column(0).to_numpy(zero_copy_only=False), bits)
             np.bitwise_or.at(got, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         full = np.flatnonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(got[full].view(np.int64))], ["w", "b"])
+        for k in np.unique(full // SLICE).tolist():
+            at = full[(full >= k * SLICE) & (full < (k + 1) * SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(at - k * SLICE).astype("<u4").tobytes()], pa.binary()),
+                                              pa.array([got[at].tobytes()], pa.binary())], names=["slice", "w", "b"])
 
-    parts = df.select(F.col(column).cast("bigint").alias("v")).filter("v IS NOT NULL").mapInArrow(words, "w BIGINT, b BIGINT")
-    rows = parts.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
-    return out
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole = None, None
+        for batch in batches:
+            for k, w, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if k != now:
+                    if whole is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([whole.tobytes()], pa.binary())], names=["slice", "b"])
+                    now, whole = k, np.zeros(SLICE, dtype=np.uint64)
+                whole[np.frombuffer(w, "<u4")] |= np.frombuffer(b, np.uint64)
+        if whole is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([whole.tobytes()], pa.binary())], names=["slice", "b"])
+
+    parts = df.select(F.col(column).cast("bigint").alias("v")).filter("v IS NOT NULL").mapInArrow(words, "slice INT, w BINARY, b BINARY")
+    parts = parts.repartition(max(1, (1 << (bits - 6)) // SLICE), "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice INT, b BINARY")
+    out = np.zeros(max(SLICE, 1 << (bits - 6)), dtype=np.uint64)
+    for row in parts.collect():
+        out[row.slice * SLICE:(row.slice + 1) * SLICE] = np.frombuffer(row.b, np.uint64)
+    return out[:1 << (bits - 6)]
 
 
 def has_bit(words: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:

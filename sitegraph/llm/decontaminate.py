@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,9 +100,8 @@ def _possible(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return hit[has_bit(bits, s[hit] ^ _OTHER, BITS)]
 
 
-def counted(docs: DataFrame, seeds: np.ndarray, widths: list[int]) -> DataFrame:
+def counted(docs: DataFrame, shared: Broadcast, widths: list[int]) -> DataFrame:
     """``t, often``: how often the texts hold each possible seed."""
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +113,11 @@ def counted(docs: DataFrame, seeds: np.ndarray, widths: list[int]) -> DataFrame:
     return _texts(docs).mapInArrow(run, "t BIGINT, n BIGINT").groupBy("t").agg(F.sum("n").alias("often"))
 
 
-def passages(docs: DataFrame, seeds: np.ndarray, widths: list[int], around: int) -> DataFrame:
+def passages(docs: DataFrame, shared: Broadcast, widths: list[int], around: int) -> DataFrame:
     """``doc_id, at, words, hits``: stretches of words around possible seeds, ``at`` the first word's number.
 
     Hits closer than twice ``around`` words share a stretch.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,11 +217,13 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
     seeds = words.select(
         "item_id", F.xxhash64("words").alias("own"), "width", F.size("words").alias("n"), F.inline(F.arrays_zip(F.col("seeds").alias("t"), F.col("spots").alias("spot"))))
 
-    def bits(some: DataFrame) -> np.ndarray:
-        return bitmap(some.select(F.inline(F.expr(f"array(struct(t as t), struct(t ^ {int(_OTHER.view(np.int64))}L as t))"))), "t", BITS)
+    def bits(some: DataFrame) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(bitmap(some.select(F.inline(F.expr(f"array(struct(t as t), struct(t ^ {int(_OTHER.view(np.int64))}L as t))"))), "t", BITS))
 
     # how often the corpus has each seed, and each item's rarer first words
-    seeds = saved(seeds.join(counted(docs, bits(seeds), widths), "t", "left").withColumn("often", F.coalesce("often", F.lit(0))), "seeds")
+    possible = bits(seeds)
+    seeds = saved(seeds.join(counted(docs, possible, widths), "t", "left").withColumn("often", F.coalesce("often", F.lit(0))), "seeds")
+    possible.destroy()
     sure = F.greatest(F.lit(1), F.ceil(F.lit(float(least)) * F.col("n") - 1 - 1e-9))
     rank = F.row_number().over(W.partitionBy("item_id", "own").orderBy("often", "spot"))
     place = ["item_id", "own", "spot"]
@@ -231,7 +232,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
     seeds = saved(seeds.filter(F.col("width") == SEED).join(rare.select(place), place, "left_semi")
                   .select("item_id", "t").unionByName(short).distinct(), "looked_for")
     around = math.ceil(max(1.0, 3 - 2 * least) * facts.longest)
-    held = saved(passages(docs, bits(seeds), widths, around), "passages")
+    wanted = bits(seeds)
+    held = saved(passages(docs, wanted, widths, around), "passages")
+    wanted.destroy()
     # the alignment depends on the words alone: equal passages meet the items once
     held = held.withColumn("p", F.xxhash64("words")).withColumn("q", F.xxhash64(F.lit(1), "words"))
     own = saved(held.select("p", "q", "words", "hits").dropDuplicates(["p", "q"]), "different")

@@ -170,7 +170,7 @@ def repeated_lines(docs: DataFrame, copies: int = COPIES, bits: int = BITS) -> D
     """
     found = suspects(marked(docs), bits)
     last = found.groupBy("key").agg(F.countDistinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("last"))
-    last = last.filter(F.col("n") >= copies).select("key", "last")
+    last = saved(last.filter(F.col("n") >= copies).select("key", "last"), "often-lines")
     gone = found.join(last, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     return gone.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 

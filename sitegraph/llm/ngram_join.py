@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import bitmap, components, has_bit, saved, sized, table, without
+from sitegraph.llm.common import bitmap, components, has_bit, saved, sized, table
 from sitegraph.llm.words import bounds, distinct, mix, shingles, slices
 
 #: a token among the first of so many sets is hot
@@ -91,8 +92,13 @@ def _lists(values: np.ndarray, lengths: np.ndarray, mask: np.ndarray | None = No
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)), mask=nulls)
 
 
+def text_mark() -> Column:
+    """What tells rows of one doc_id and different texts apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
 def sketches(docs: DataFrame, width: int, limits: Limits) -> DataFrame:
-    """``doc_id, n, node, firsts``: set size, hash of the set, its first tokens (null where the same task gave them before)."""
+    """``doc_id, mark, n, node, firsts``: hash of the text, set size, hash of the set, its first tokens (null where the same task gave them before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,16 +112,15 @@ def sketches(docs: DataFrame, width: int, limits: Limits) -> DataFrame:
                 keep = np.where(again, 0, limits.kept(n))
                 pick = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(keep, n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(node), _lists(h[pick], keep, again)],
-                    ["doc_id", "n", "node", "firsts"])
+                    [ids.slice(first, len(n)), batch.column(2).slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(node), _lists(h[pick], keep, again)],
+                    ["doc_id", "mark", "n", "node", "firsts"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id BIGINT, n BIGINT, node BIGINT, firsts ARRAY<BIGINT>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark()).mapInArrow(
+        run, "doc_id BIGINT, mark BIGINT, n BIGINT, node BIGINT, firsts ARRAY<BIGINT>")
 
 
-def _postings(sk: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _postings(sk: DataFrame, words: Broadcast) -> DataFrame:
     """``node, n, pos, t`` of the first tokens that are in the bitmap."""
-    words = sk.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +138,8 @@ def _postings(sk: DataFrame, wanted: np.ndarray) -> DataFrame:
     return sk.select("node", "n", "firsts").mapInArrow(run, "node BIGINT, n BIGINT, pos INT, t BIGINT")
 
 
-def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
+def whole_sets(docs: DataFrame, width: int, words: Broadcast) -> DataFrame:
     """``node, n, tokens`` of the documents whose id is in the bitmap (or null)."""
-    words = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -258,7 +262,7 @@ def _verify(jobs: DataFrame, limits: Limits) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, node`` of every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, node, root, mark`` of every row of ``docs(doc_id, text)``.
 
     A row's set holds the shingles of ``width`` words of its lower-cased text (of
     all words where there are fewer). Rows link when
@@ -269,13 +273,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     nothing: their own doc_id is the component. Rows with null doc_id take part
     and have no say in the smallest id. Repeated rows and equal sets are one node
     and come back as often as they came in. An empty table gives no rows. Other
-    columns are not looked at. ``node`` is a 64-bit hash of the set.
+    columns are not looked at. ``node`` is a 64-bit hash of the set, ``root`` that of
+    one set of the component (two components can have the same smallest id, where an
+    id repeats with another text), ``mark`` a hash of the text.
     """
-    limits = Limits(num, den)
+    limits, context = Limits(num, den), docs.sparkSession.sparkContext
     sk = saved(sketches(docs, width, limits), "sketch")
     filled = sk.filter("n > 0 AND firsts IS NOT NULL")
     counts = saved(filled.select(F.explode("firsts").alias("t")).groupBy("t").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "tokens")
-    shared = saved(_postings(filled, bitmap(counts, "t", TOKEN_BITS)).join(counts, "t"), "shared")
+    wanted = context.broadcast(bitmap(counts, "t", TOKEN_BITS))
+    shared = saved(_postings(filled, wanted).join(counts, "t"), "shared")
+    wanted.destroy()
     hot, live = shared.filter(F.col("cnt") >= HOT), shared.filter(F.col("cnt") < HOT)
 
     # candidates by the first order
@@ -301,17 +309,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     classes = saved(sk.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     members = families.join(classes, "node")
-    sets = whole_sets(docs, width, bitmap(members, "doc_id", BITS))
-    links = _verify(_jobs(members.select("node", "root", "n"), sets, limits), limits)
+    wanted = context.broadcast(bitmap(members, "doc_id", BITS))
+    sets = whole_sets(docs, width, wanted)
+    links = saved(_verify(_jobs(members.select("node", "root", "n"), sets, limits), limits), "found")
+    wanted.destroy()
     found = components(links, "links")
 
     root = F.coalesce("root", "node")
     named = classes.filter("n > 0").join(found, "node", "left").select("node", root.alias("root"), "doc_id")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "root").select("node", "component_id")
-    return (sk.select("doc_id", "n", "node").join(named, "node", "left")
+    named = named.join(smallest, "root").select("node", "component_id", "root")
+    return (sk.select("doc_id", "mark", "n", "node").join(named, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node"))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", root.alias("root"), "mark"))
 
 
 def _jobs(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
@@ -343,13 +353,27 @@ def _jobs(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id. Rows without doc_id stay."""
-    found = saved(jaccard_components(docs, width, num, den).select("doc_id", "component_id"), "groups")
-    kept = without(docs, found.filter("doc_id <> component_id"))
-    again = saved(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    """``docs`` with one row of each group: that of the smallest doc_id, null ids last.
+
+    A group is a component of ``jaccard_components``; rows count by doc_id and text, so
+    unlike texts of one id are rows of their own. Of several texts of a group's smallest
+    id one stays, and of rows that are equal in both the one with the smallest other
+    columns. Rows with null text, or without words, are in no group and all stay. An
+    empty table gives no rows.
+    """
+    found = saved(jaccard_components(docs, width, num, den).filter("n_shingles > 0").select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"), "root"), "groups")
+    first = F.min(F.struct(F.col("g_id").isNull().alias("none"), "g_id", "g_mark")).alias("first")
+    first = saved(found.groupBy("root").agg(first), "first")
+    met = found.join(first, "root").withColumn("stays", F.expr("g_id <=> first.g_id AND g_mark = first.g_mark"))
+    gone = saved(met.filter("NOT stays").select("g_id", "g_mark").distinct(), "gone")
+    again = saved(met.filter("stays").groupBy("g_id", "g_mark").agg(F.count("*").alias("n")).filter("n > 1").select("g_id", "g_mark"), "again")
+    rows, same = docs.select(F.struct(*docs.columns).alias("d"), text_mark()), F.expr("d.doc_id <=> g_id AND mark = g_mark")
+    kept = rows.join(sized(gone), same, "left_anti")
     if again.head() is None:
-        return kept
-    return without(kept, again).unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        return kept.select("d.*")
+    alone = kept.join(sized(again), same, "left_anti").select("d")
+    one = kept.join(sized(again), same, "left_semi").groupBy("d.doc_id", "mark").agg(F.min("d").alias("d")).select("d")
+    return alone.unionByName(one).select("d.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
