@@ -48,40 +48,54 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     )
 
 
+#: a source is cut into blocks of ``block`` words, a smaller one into about so many
+BLOCKS = 256
+
+#: multipliers (primes) of which one shares no factor with a number of blocks below 10**17
+STEPS = (1_000_003, 999_983, 1_000_033)
+
+
 def quotas(sources: DataFrame, block: int, most: float) -> DataFrame:
-    """Adds each source's ``quota`` of blocks.
+    """Adds each source's size of a ``block``, its ``blocks``, its ``aim`` and its ``quota``, both in blocks.
 
-    Seats go to the highest quotients ``target / (2 s + 1)``. All quotients from
-    ``block / 2`` up are served, and no others, so a source gets its target over
-    the block, rounded half down; the house has as many seats as that makes.
+    The blocks of a source hold equal numbers of words, but for its last: ``block``
+    words, or fewer in a source so small that a block would be a large part of it.
+    Seats go to the highest quotients ``aim / (2 s + 1)``: all from one half up are
+    served, and no others, so a source gets its aim rounded half down, ``most`` times
+    its blocks at most; the house has as many seats as that makes.
     """
-    seats = F.ceil(F.col("target") / F.lit(float(block)) - 0.5)
-    return sources.withColumn("quota", F.least(seats, F.floor(F.lit(most) * F.col("source_size") / F.lit(block))).cast("bigint"))
+    words = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {BLOCKS}")))
+    return (
+        sources.withColumn("block", words.cast("bigint"))
+        .withColumn("blocks", F.expr("(source_size + block - 1) div block"))
+        .withColumn("aim", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0))
+        .withColumn("quota", F.least(F.ceil(F.col("aim") - 0.5), F.floor(F.lit(most) * F.col("blocks"))).cast("bigint"))
+    )
 
 
-def shard_quotas(sources: DataFrame, n_shards: int, block: int) -> DataFrame:
-    """``src, shard, blocks``: each source's integer quota of every output shard.
+def shard_quotas(sources: DataFrame, n_shards: int) -> DataFrame:
+    """``src, shard, blocks, upto``: each source's integer quota of every output shard, and that of all up to it.
 
     Seats in the order of their quotients fill the shards one after another:
-    after shard j a source has what the same rule gives for j/n of its target. The
+    after shard j a source has what the same rule gives for j/n of its aim. The
     parts sum to the whole quota, and every shard is a proportional mix itself.
     """
-    share = F.least(F.col("quota"), F.ceil(F.col("target") * F.col("j") / F.lit(float(n_shards * block)) - 0.5).cast("bigint"))
+    share = F.least(F.col("quota"), F.ceil(F.col("aim") * F.col("j") / F.lit(float(n_shards)) - 0.5).cast("bigint"))
     upto = sources.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(n_shards)))).withColumn(
         "upto", F.when(F.col("j") == n_shards, F.col("quota")).otherwise(F.greatest(F.lit(0), share)))
     before = F.lag("upto", 1, 0).over(W.partitionBy("src").orderBy("j"))
-    return upto.select("src", (F.col("j") - 1).alias("shard"), (F.col("upto") - before).alias("blocks"))
+    return upto.select("src", (F.col("j") - 1).alias("shard"), (F.col("upto") - before).alias("blocks"), "upto")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-                block: int = 16, seed: int = 6) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` of every row of ``docs(doc_id, text, source)``.
+                block: int = 16, seed: int = 6, n_shards: int = 16) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, shard`` of every row of ``docs(doc_id, text, source)``.
 
-    Each source's rows are put in seeded order, end to end, as a circle. Its quota
-    of blocks, each of exactly ``block`` words, is laid along the circle, going
-    round again where the quota exceeds it: ``taken`` counts the words of a row
-    inside blocks, ``most`` (an integer) times its size at most. Seeded order
-    makes what lies ahead a random choice; only two rows a source are cut.
+    Each source's rows are put in seeded order, end to end, and cut into blocks. Every
+    output shard has an integer quota of blocks of each source; the quotas, shard after
+    shard, are served by the blocks in seeded order, all of them once before any comes
+    again. ``taken`` counts a row's words in blocks served, ``most`` (an integer) times
+    its size at most; ``shard`` is where the first of its blocks goes (null: none).
 
     Null text and text without words have size 0 and give nothing; null source is
     a source, the last; null doc_id is a key like others. Repeated rows follow
@@ -95,25 +109,31 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     rows = rows.groupBy("doc_id", "src", "size").agg(F.count("*").alias("n"))
     place = seeded(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     rows = saved(rows.withColumn("place", place).withColumn("stretch", F.expr(f"place div {(1 << 48) // STRETCHES}").cast("int")), "mix")
-    # from here to the join: a row per source and stretch
+    # from here to the join: a row per source and stretch, or per source and shard
     parts = rows.groupBy("src", "stretch").agg(F.sum(F.col("size") * F.col("n")).alias("part"))
     parts = parts.withColumn("part_start", F.sum("part").over(
         W.partitionBy("src").orderBy("stretch").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("part"))
-    by_source = quotas(targets(parts.groupBy("src").agg(F.sum("part").alias("source_size")), weights, share, most), block, most)
+    by_source = saved(quotas(targets(parts.groupBy("src").agg(F.sum("part").alias("source_size")), weights, share, most), block, most), "quotas")
+    ends = shard_quotas(by_source, n_shards).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("ends"))
+    by_source = by_source.alias("q").join(ends.alias("e"), F.expr("q.src <=> e.src")).select("q.*", F.expr("e.ends.upto").alias("ends"))
     parts = parts.alias("p").join(by_source.alias("s"), F.expr("p.src <=> s.src")).select(
-        F.col("p.src").alias("p_src"), F.col("p.stretch").alias("p_stretch"), "part_start",
-        "source_size", "target", "quota")
+        F.col("p.src").alias("p_src"), F.col("p.stretch").alias("p_stretch"), "part_start", "source_size", "target", "block", "blocks", "quota", "ends")
     order = W.partitionBy("src", "stretch").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
     rows = rows.join(parts, F.expr("src <=> p_src AND stretch = p_stretch"))
     rows = rows.withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
     start = F.col("part_start") + F.col("before") + (F.col("copy") - 1) * F.col("size")
-    rows = rows.withColumn("start", start)
-    words = F.col("quota") * block
-    rounds = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
-    again = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), words - rounds * F.col("source_size")) - F.col("start"))
-    taken = F.when(F.col("size") > 0, rounds * F.col("size") + again).otherwise(0)
-    return rows.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    rows = rows.withColumn("start", start).withColumn("again", F.expr("IF(blocks > 0, quota % blocks, 0)"))
+    # the place of a block in the seeded order is a number times a prime, modulo the number of blocks
+    step = F.coalesce(*[F.when(F.col("blocks") % p != 0, p) for p in STEPS])
+    rows = rows.withColumn("step", F.when(F.col("size") > 0, step).cast("bigint"))
+    met = F.expr("transform(sequence(start div block, (start + size - 1) div block), b -> struct("
+                 f"(b % blocks * step + {seed}) % blocks AS seat, least(start + size, (b + 1) * block) - greatest(start, b * block) AS words))")
+    rows = rows.withColumn("met", F.when(F.col("size") > 0, met))
+    taken = F.expr("IF(size > 0, quota div blocks * size + aggregate(met, 0L, (s, m) -> s + IF(m.seat < again, m.words, 0L)), 0L)")
+    first = F.expr("array_min(met.seat)")
+    shard = F.when((F.col("quota") >= F.col("blocks")) | (first < F.col("again")), F.size(F.filter("ends", lambda u: u <= first)))
+    return rows.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", taken.alias("taken"), shard.alias("shard"))
 
 
 def mixed(docs: DataFrame, block: int = 16, seed: int = 6) -> DataFrame:
@@ -138,12 +158,12 @@ def mixed(docs: DataFrame, block: int = 16, seed: int = 6) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents: weights 5, 2, 1 by source, 150 % of all words."""
     out = mix_sources(table(spark, sf, "documents"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "shard")
 
 
-OP6_SQL = """
+OP6_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          CAST('0x' || substr(md5('6-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS place
   FROM documents),
 sized AS (
@@ -158,12 +178,28 @@ levels AS (
 aimed AS (
   SELECT *, least(2.0::DOUBLE * source_size, coalesce(weight * (SELECT level FROM levels WHERE ratio > level ORDER BY ratio LIMIT 1), 2.0::DOUBLE * source_size)) AS target
   FROM levels),
+cut AS (
+  SELECT *, greatest(1, least(16, source_size // 256)) AS block FROM aimed),
+counted AS (
+  SELECT *, (source_size + block - 1) // block AS blocks FROM cut),
+shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size * blocks ELSE 0 END AS aim FROM counted),
 seats AS (
-  SELECT *, 16 * least(CAST(ceil(target / 16.0::DOUBLE - 0.5) AS BIGINT), 2 * source_size // 16) AS words FROM aimed),
+  SELECT *, least(CAST(ceil(aim - 0.5) AS BIGINT), 2 * blocks) AS quota,
+    CASE WHEN blocks % 1000003 <> 0 THEN 1000003 WHEN blocks % 999983 <> 0 THEN 999983 ELSE 1000033 END AS step FROM shares),
 placed AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM rows)
+  FROM rows),
+met AS (
+  SELECT *, CASE WHEN size > 0 THEN list_transform(range(start // block, (start + size - 1) // block + 1),
+    lambda b: {'seat': (b % blocks * step + 6) % blocks, 'words': least(start + size, (b + 1) * block) - greatest(start, b * block)}) ELSE [] END AS m
+  FROM placed p JOIN seats s ON p.src IS NOT DISTINCT FROM s.src),
+firsts AS (
+  SELECT *, list_min(list_transform(m, lambda x: x.seat)) AS seat FROM met)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
-  CAST(CASE WHEN size > 0 THEN words // source_size * size + greatest(0, least(start + size, words % source_size) - start) ELSE 0 END AS BIGINT) AS taken
-FROM placed p JOIN seats s ON p.src IS NOT DISTINCT FROM s.src
+  CAST(CASE WHEN size > 0 THEN quota // blocks * size
+    + coalesce(list_sum(list_transform(m, lambda x: CASE WHEN x.seat < quota % blocks THEN x.words ELSE 0 END)), 0) ELSE 0 END AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND (quota >= blocks OR seat < quota % blocks) THEN len(list_filter(range(1, 17),
+    lambda j: seat >= CASE j WHEN 16 THEN quota ELSE greatest(0, least(quota, CAST(ceil(aim * j / 16.0::DOUBLE - 0.5) AS BIGINT))) END)) END AS shard
+FROM firsts
 """
