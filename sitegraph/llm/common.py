@@ -101,29 +101,59 @@ def has_bit(words: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
+#: nodes whose edges a task joins up before it sends them on
+FOREST = 1 << 20
+
+
+def local_forest(edges: DataFrame) -> DataFrame:
+    """Edges ``a, b`` of the same components, a > b: what a task reads becomes stars around smallest nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while root.setdefault(top, top) != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        def stars() -> pa.RecordBatch:
+            found = [(x, find(x)) for x in list(root)]
+            found = [(x, top) for x, top in found if x != top]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([top for _, top in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+            if len(root) > FOREST:
+                yield stars()
+        yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "a BIGINT, b BIGINT")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, root``: the smallest node reachable over edges ``a, b`` (BIGINT).
 
-    Stars are joined in turn: every node hands its larger neighbours to its
-    smallest one, then its smaller ones. Each turn is an aggregate with map-side
-    combine and a join; a written table cuts the lineage. It ends when a turn
-    changes nothing; the number of turns grows with the logarithm of the path length.
+    Each task first joins up the edges it reads. Then stars are joined in turn: every
+    node hands its larger neighbours to its smallest one, then its smaller ones. Each
+    turn is an aggregate with map-side combine and a join; a written table cuts the
+    lineage. It ends when no node has a smaller neighbour and another one; the number
+    of turns grows with the logarithm of the path length.
     """
-    now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = None
+    now = saved(local_forest(edges), name)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.inline(F.array(
-            F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
-            F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))))
-        now = saved(small.filter("a <> b").distinct(), name)
-        found = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).head()
-        if found == state:
-            break
-        state = found
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        seen = saved(both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")), name)
+        low = seen.select("a", F.least("low", "a").alias("m"))
+        if seen.filter("low < a AND high <> low").head() is None:
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.inline(F.array(
+            F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+        now = saved(local_forest(small), name)

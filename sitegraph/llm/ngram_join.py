@@ -365,8 +365,8 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     first = F.min(F.struct(F.col("g_id").isNull().alias("none"), "g_id", "g_mark")).alias("first")
     first = saved(found.groupBy("root").agg(first), "first")
     met = found.join(first, "root").withColumn("stays", F.expr("g_id <=> first.g_id AND g_mark = first.g_mark"))
-    gone = saved(met.filter("NOT stays").select("g_id", "g_mark").distinct(), "gone")
-    again = saved(met.filter("stays").groupBy("g_id", "g_mark").agg(F.count("*").alias("n")).filter("n > 1").select("g_id", "g_mark"), "again")
+    fates = saved(met.groupBy("g_id", "g_mark", "stays").agg(F.count("*").alias("n")).filter("NOT stays OR n > 1"), "fates")
+    gone, again = (fates.filter(which).select("g_id", "g_mark") for which in ("NOT stays", "stays"))
     rows, same = docs.select(F.struct(*docs.columns).alias("d"), text_mark()), F.expr("d.doc_id <=> g_id AND mark = g_mark")
     kept = rows.join(sized(gone), same, "left_anti")
     if again.head() is None:
