@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import nodes, saved_nodes, with_nodes
+from sitegraph.catalog.tables import nodes, saved_nodes, trees, with_nodes
 from sitegraph.operators import edit as E
-from sitegraph.operators.render import prettify, render, render_special
+from sitegraph.operators.render import render, render_pages, render_special
 from sitegraph.operators.select import sel
 
 
@@ -39,7 +39,7 @@ def _kept(sql: str) -> str:
 
 @query("render", with_nodes(_RENDERED, _kept("SELECT * FROM nodes"), _RENDER))
 def _render(spark, sf):
-    return _digest(render(saved_nodes(spark, sf)))
+    return _digest(render_pages(trees(spark, sf)))
 
 
 @query("prettify", with_nodes(r"""
@@ -47,7 +47,7 @@ def _render(spark, sf):
       SELECT page_id, string_agg(repeat(' ', CAST(depth - 1 AS INT)) || CASE WHEN kind = 'tag' THEN piece ELSE trim(piece, ' ') END, chr(10) ORDER BY a, b, c) AS html
       FROM pieces WHERE trim(piece, ' ') <> '' GROUP BY page_id)""", _kept("SELECT * FROM nodes"), _RENDER))
 def _prettify(spark, sf):
-    return _digest(prettify(saved_nodes(spark, sf)))
+    return _digest(render_pages(trees(spark, sf), pretty=True))
 
 
 @query("render_special", with_nodes("""

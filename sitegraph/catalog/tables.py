@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.operators.html_nodes import html_nodes
+from sitegraph.operators.page_tree import page_nodes
 from sitegraph.session import cut_lineage, run_folder
 
 
@@ -18,9 +19,16 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, by: str) -> DataFrame:
-    """Rows dealt out by a key before they are parsed: a stored file may be one split,
-    and parsing a row costs far more than moving it once."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    """Rows as the scan splits them. Only where it gives fewer splits than there are cores
+    (a small stored file is one split, whatever the session asks for) are they dealt out by a key
+    before they are parsed; the result is the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+
+
+def trees(spark: SparkSession, sf: str, **options: object) -> DataFrame:
+    """The pages with their nodes as an array in the row."""
+    return page_nodes(pages(spark, sf), **options)
 
 
 def nodes(spark: SparkSession, sf: str, **options: object) -> DataFrame:

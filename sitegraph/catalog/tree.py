@@ -7,9 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import nodes, saved_nodes, with_nodes
+from sitegraph.catalog.tables import nodes, saved_nodes, trees, with_nodes
+from sitegraph.operators import page_tree as P
 from sitegraph.operators import tree as T
-from sitegraph.operators.select import attr_get, attr_has, sel
+from sitegraph.operators.select import ANY, attr_get, attr_has, sel
+from sitegraph.session import cut_lineage, run_folder
 
 
 def _hits(found):
@@ -35,8 +37,8 @@ _BELOW = "d.pre > c.pre AND d.pre <= c.post"
 
 @query("find_all", _pairs(f"{_BELOW} AND d.name IN ('a', 'b', 'br')", "'body', 'article', 'ul', 'li', 'p', 'b'"))
 def _find_all(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.find_all(n, sel(["a", "b", "br"]), _of(n, "body", "article", "ul", "li", "p", "b")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.find_all(t, sel(["a", "b", "br"]), sel(["body", "article", "ul", "li", "p", "b"])))
 
 
 @query("find_all_limit", with_nodes("""
@@ -48,8 +50,8 @@ def _find_all_limit(spark, sf):
 
 @query("find", _one(f"{_BELOW} AND d.name = 'b'", "'p', 'article', 'ul'"))
 def _find(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.find(n, sel("b"), _of(n, "p", "article", "ul")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.find(t, sel("b"), sel(["p", "article", "ul"])))
 
 
 @query("find_children", _pairs("d.parent_pre = c.pre AND d.kind = 'tag'", "'article', 'ul', 'p', 'head'"))
@@ -66,26 +68,26 @@ def _find_text(spark, sf):
 
 @query("next_elements", _pairs("d.pre > c.pre AND d.name = 'p'", "'h1', 'p'"))
 def _next_elements(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.next_elements(n, _of(n, "h1", "p"), sel("p")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.next_elements(t, sel("p"), sel(["h1", "p"])))
 
 
 @query("next_element", _one("d.pre > c.pre AND d.name = 'b'", "'h1', 'p'"))
 def _next_element(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.next_element(n, _of(n, "h1", "p"), sel("b")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.next_element(t, sel("b"), sel(["h1", "p"])))
 
 
 @query("previous_elements", _pairs("d.pre < c.pre AND d.name IN ('li', 'body')", "'footer', 'h1', 'a'"))
 def _previous_elements(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.previous_elements(n, _of(n, "footer", "h1", "a"), sel(["li", "body"])))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.previous_elements(t, sel(["li", "body"]), sel(["footer", "h1", "a"])))
 
 
 @query("previous_element", _one("d.pre < c.pre AND d.name = 'div'", "'footer', 'h1', 'a'", "max"))
 def _previous_element(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.previous_element(n, _of(n, "footer", "h1", "a"), sel("div")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.previous_element(t, sel("div"), sel(["footer", "h1", "a"])))
 
 
 _SAME = "d.parent_pre = c.parent_pre"
@@ -93,26 +95,26 @@ _SAME = "d.parent_pre = c.parent_pre"
 
 @query("next_siblings", _pairs(f"{_SAME} AND d.pre > c.pre AND d.kind = 'tag'", "'li', 'title', 'p'"))
 def _next_siblings(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.next_siblings(n, _of(n, "li", "title", "p"), sel(True)))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.next_siblings(t, sel(True), sel(["li", "title", "p"])))
 
 
 @query("next_sibling", _one(f"{_SAME} AND d.pre > c.pre AND d.kind = 'tag'", "'li', 'title', 'p'"))
 def _next_sibling(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.next_sibling(n, _of(n, "li", "title", "p"), sel(True)))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.next_sibling(t, sel(True), sel(["li", "title", "p"])))
 
 
 @query("previous_siblings", _pairs(f"{_SAME} AND d.pre < c.pre AND d.name = 'li'", "'li'"))
 def _previous_siblings(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.previous_siblings(n, _of(n, "li"), sel("li")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.previous_siblings(t, sel("li"), sel(["li"])))
 
 
 @query("previous_sibling", _one(f"{_SAME} AND d.pre < c.pre AND d.kind = 'tag'", "'li', 'article', 'br'", "max"))
 def _previous_sibling(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.previous_sibling(n, _of(n, "li", "article", "br")))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.previous_sibling(t, ANY, sel(["li", "article", "br"])))
 
 
 _ABOVE = "d.pre < c.pre AND d.post >= c.pre"
@@ -200,8 +202,8 @@ def _node_string(spark, sf):
     FROM nodes c LEFT JOIN nodes x ON x.page_id = c.page_id AND x.kind <> 'tag' AND x.pre > c.pre AND x.pre <= c.post
     WHERE c.name IN ('[document]', 'nav', 'li', 'article', 'p', 'br', 'head') GROUP BY ALL"""))
 def _node_text(spark, sf):
-    n = saved_nodes(spark, sf)
-    text = T.node_text(n, _of(n, "[document]", "nav", "li", "article", "p", "br", "head"), "|")
+    t = trees(spark, sf, attributes=False)
+    text = P.node_text(t, sel(["[document]", "nav", "li", "article", "p", "br", "head"]), "|")
     return text.select("page_id", F.col("ctx_pre").cast("bigint"), F.md5("text").alias("digest"))
 
 
@@ -222,8 +224,8 @@ def _child_index(spark, sf):
       ON l.page_id = u.page_id AND l.pre > u.pre AND l.pre <= u.post AND l.name = 'li' WHERE u.name = 'ul'
     QUALIFY row_number() OVER (PARTITION BY u.page_id, u.pre ORDER BY l.pre) = 3"""))
 def _nth_child(spark, sf):
-    n = saved_nodes(spark, sf)
-    return _hits(T.nth_match(n, _of(n, "ul"), sel("li"), 2))
+    t = trees(spark, sf, texts=False, attributes=False)
+    return _hits(P.nth_match(t, sel("li"), sel(["ul"]), 2))
 
 
 @query("contains_child", with_nodes("""
@@ -240,7 +242,9 @@ def _contains_child(spark, sf):
       FROM nodes c JOIN nodes d ON d.page_id = c.page_id AND d.pre BETWEEN c.pre AND c.post
       WHERE c.name IN ('li', 'style', 'script', 'nav', 'b', 'div') GROUP BY ALL)"""))
 def _subtree_equal(spark, sf):
-    n = saved_nodes(spark, sf)
-    prints = T.subtree_fingerprint(n, _of(n, "li", "style", "script", "nav", "b", "div"))
-    return prints.join(T.equal_subtrees(prints), "fingerprint").select(
+    prints = P.subtree_fingerprint(trees(spark, sf), sel(["li", "style", "script", "nav", "b", "div"]))
+    # digests are read twice; written, both sides of the join are plain and a hot one can be split
+    prints = cut_lineage(prints, run_folder(spark, "prints"))
+    groups = cut_lineage(T.equal_subtrees(prints), run_folder(spark, "groups"))
+    return prints.join(groups, "fingerprint").select(
         "page_id", F.col("ctx_pre").cast("bigint"), "first_page", "copies")

@@ -65,26 +65,19 @@ def _opening(rules: nesting.Dialect) -> str:
     return rf"<({'|'.join(sorted(rules.literal))})(?=[\s/>]){_ATTR_RUN}[^<>]*+>"
 
 
-def _pattern(rules: nesting.Dialect, heads: bool) -> tuple[str, int]:
-    """The token pattern; with ``heads`` its last group holds each token's head."""
-    names = "|".join(sorted(rules.literal))
-    tokens, options, group = _TOKENS, list(_HEADS), 1
-    if names:
-        tokens = rf"{_opening(rules)}.*?(?=</\{2 if heads else 1}\s*+>|\z)|{tokens}"
-        filled = rf"(?=[\s/>])(?={_ATTR_RUN}[^<>]*+>(?!</(?:{names})\s*+>|\z))"
-        options[:0] = [rf"<(?:{names}){filled}", rf"<(?:{names})[\s/>]"]
-    if not heads:
-        return f"(?is){tokens}", 0
-    return f"(?is)(?=({'|'.join(options)}))(?:{tokens})", group
-
-
 def _pieces(html: Column, rules: nesting.Dialect) -> Column:
-    return F.regexp_extract_all(html, F.lit(_pattern(rules, False)[0]), F.lit(0))
+    tokens = f"{_opening(rules)}.*?(?=</\\1\\s*+>|\\z)|{_TOKENS}" if rules.literal else _TOKENS
+    return F.regexp_extract_all(html, F.lit(f"(?is){tokens}"), F.lit(0))
 
 
-def _heads(html: Column, rules: nesting.Dialect) -> Column:
-    pattern, group = _pattern(rules, True)
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+def _heads(tokens: Column, rules: nesting.Dialect) -> Column:
+    """What tells a token's kind and name: its first characters. After the name of a literal
+    element whose content is empty stands one more."""
+    options = list(_HEADS)
+    if rules.literal:
+        names = "|".join(sorted(rules.literal))
+        options[:0] = [rf"<(?:{names})(?=[\s/>])(?={_ATTR_RUN}[^<>]*+>(?!\z))", rf"<(?:{names})[\s/>]"]
+    return F.transform(tokens, lambda t: F.regexp_extract(t, f"(?is)^({'|'.join(options)})", 1))
 
 
 def _token_kind(raw: Column) -> Column:
@@ -101,7 +94,7 @@ def _token_kind(raw: Column) -> Column:
     )
 
 
-def _tag_name(raw: Column) -> Column:
+def tag_name(raw: Column) -> Column:
     return F.lower(F.regexp_extract(raw, f"^<({_NAME})", 1))
 
 
@@ -132,7 +125,7 @@ def html_tokens(pages: DataFrame, dialect: str = "html", html: str = "html",
     rows = rows.select(*keep, "pos", F.when(body, "raw").otherwise(_token_kind(F.col("piece"))).alias("kind"),
                        raw.alias("raw"))
     end_name = F.lower(F.trim(F.regexp_extract("raw", r"^</\s*([^<>]*?)\s*>?$", 1)))
-    name = F.when(F.col("kind") == "start", _tag_name(F.col("raw"))).when(F.col("kind") == "end", end_name)
+    name = F.when(F.col("kind") == "start", tag_name(F.col("raw"))).when(F.col("kind") == "end", end_name)
     return rows.select(*keep, "pos", "kind", F.coalesce(name, F.lit("")).alias("name"), "raw") \
         .filter("kind <> 'drop'")
 
@@ -209,25 +202,18 @@ def _inner(raw: Column, head: int, tail: str) -> Column:
     return F.regexp_replace(F.substring(raw, head + 1, 2**31 - 1 - head), tail, "")
 
 
-def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
-               keep: Iterable[str] = ("page_id",), entities: str | None = None,
-               massage: Massage = DEFAULT_MASSAGE, void: Iterable[str] = (),
-               squeeze_blanks: bool = True, slash_closes: bool = False,
-               names: Iterable[str] | None = None, strings: bool = False) -> DataFrame:
-    """Node table of tolerant markup, one row per element or string.
-
-    ``names`` keeps only those elements, all strings and the root; attributes of
-    others are never computed. ``slash_closes`` treats ``<x/>`` as an element
-    without content; by default only void elements are. ``strings`` adds
-    ``string``: the text of an element whose only child is a string.
-    """
+def dialect_rules(dialect: str, void: Iterable[str] = ()) -> nesting.Dialect:
     rules = nesting.DIALECTS[dialect]
-    if void:
-        rules = nesting.replace(rules, void=rules.void | frozenset(void))
+    return nesting.replace(rules, void=rules.void | frozenset(void)) if void else rules
+
+
+def placed_tokens(pages: DataFrame, rules: nesting.Dialect, html: str, keep: Iterable[str], massage: Massage,
+                  slash_closes: bool, strings: bool) -> DataFrame:
+    """A row per page with ``z``: its nodes in document order, each its token and its place."""
     structure = _structure_udf(rules)
     source = pages.select(*keep, massage_markup(F.col(html), massage).alias("markup"))
-    cut = source.select(*keep, _pieces(F.col("markup"), rules).alias("tokens"),
-                        _heads(F.col("markup"), rules).alias("heads"))
+    cut = once(source, {"tokens": _pieces(F.col("markup"), rules)})
+    cut = once(cut.select(*keep, "tokens"), {"heads": _heads(F.col("tokens"), rules)})
     last = F.try_element_at("tokens", F.lit(-1))
     open_end = F.coalesce(~last.rlike(_CLOSED), F.lit(False)) & ~last.rlike(f"(?is)^{_opening(rules)}" if rules.literal else r"^\z")
     heads = F.when(open_end, F.slice("heads", F.lit(1), F.size("heads") - 1)).otherwise(F.col("heads"))
@@ -247,42 +233,74 @@ def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
                 F.get("tokens", F.get("s.token", end)).alias("token"), F.get("s.raw", end).alias("raw"),
                 F.get("s.keep_blank", end).alias("keep_blank")))).alias("child"))
         fields.append("child")
-    zipped = placed.select(*keep, F.arrays_zip(*columns).alias("z"))
+    return placed.select(*keep, F.arrays_zip(*columns).alias("z"))
+
+
+def node_kind(token: Column, raw: Column) -> Column:
+    """The kind of a node from its token; the root has none."""
+    tag = token.rlike("^<[a-zA-Z]") & ~raw
+    return F.when(token.isNull() | tag, "tag").when(raw, "text").otherwise(_token_kind(token))
+
+
+def node_attrs(kind: Column, name: Column, token: Column) -> Column:
+    pairs = F.when(kind == "tag", F.coalesce(attr_pairs(token, name), F.array().cast(ATTRS)))
+    return F.when(name == "meta", _charset_slot(pairs)).otherwise(pairs)
+
+
+def node_content(rules: nesting.Dialect, entities: str | None, squeeze_blanks: bool,
+                 kind: Column, token: Column, raw: Column, keep_blank: Column) -> Column:
+    """The text of a string node."""
+    body = F.regexp_replace(token, f"(?is)^{_opening(rules)}", "") if rules.literal else token
+    text = complete_references(token) if entities is None else convert_entities(token, entities)
+    text = F.when(raw, body).otherwise(text)
+    if squeeze_blanks:
+        text = F.when(keep_blank, text).otherwise(squeeze(text))
+    return (
+        F.when(kind == "text", text)
+        .when(kind == "comment", _inner(token, 4, r"--\s*>$"))
+        .when(kind == "cdata", _inner(token, 9, r"\]\]>$"))
+        .when(token.startswith("<?xml"), F.lit(f"xml version='1.0' encoding='{ENCODING_SLOT}'"))
+        .when(kind.isin("pi", "decl"), _inner(token, 2, ">$"))
+    )
+
+
+def child_kind(child: Column, raw: Column) -> Column:
+    """The kind of an element's only child, null where it has none or several."""
+    return F.when(raw, "text").when(child.rlike("^<[a-zA-Z]"), "tag").when(child.isNotNull(), _token_kind(child))
+
+
+def html_nodes(pages: DataFrame, dialect: str = "html", html: str = "html",
+               keep: Iterable[str] = ("page_id",), entities: str | None = None,
+               massage: Massage = DEFAULT_MASSAGE, void: Iterable[str] = (),
+               squeeze_blanks: bool = True, slash_closes: bool = False,
+               names: Iterable[str] | None = None, strings: bool = False) -> DataFrame:
+    """Node table of tolerant markup, one row per element or string.
+
+    ``names`` keeps only those elements, all strings and the root; attributes of
+    others are never computed. ``slash_closes`` treats ``<x/>`` as an element
+    without content; by default only void elements are. ``strings`` adds
+    ``string``: the text of an element whose only child is a string.
+    """
+    rules = dialect_rules(dialect, void)
+    zipped = placed_tokens(pages, rules, html, keep, massage, slash_closes, strings)
     rows = zipped.select(*keep, F.posexplode_outer("z").alias("pre", "n")).select(*keep, "pre", "n.*")
     place = [*keep, "pre", "post", "depth", "parent_pre", "sib_no"]
 
-    root, token = F.col("token").isNull(), F.col("token")
-    tag = token.rlike("^<[a-zA-Z]") & ~F.col("raw")
-    kinds = once(rows, {
-        "kind": F.when(root | tag, "tag").when(F.col("raw"), "text").otherwise(_token_kind(token)),
-        "name": F.when(root, ROOT_NAME).when(tag, _tag_name(token)),
-    })
+    root, token, raw = F.col("token").isNull(), F.col("token"), F.col("raw")
+    tag = token.rlike("^<[a-zA-Z]") & ~raw
+    kinds = once(rows, {"kind": node_kind(token, raw), "name": F.when(root, ROOT_NAME).when(tag, tag_name(token))})
     if names is not None:
         kinds = kinds.filter((F.col("kind") != "tag") | F.col("name").isin(*names, ROOT_NAME))
 
-    def content(kind: Column, token: Column, raw: Column, keep_blank: Column) -> Column:
-        body = F.regexp_replace(token, f"(?is)^{_opening(rules)}", "") if rules.literal else token
-        text = complete_references(token) if entities is None else convert_entities(token, entities)
-        text = F.when(raw, body).otherwise(text)
-        if squeeze_blanks:
-            text = F.when(keep_blank, text).otherwise(squeeze(text))
-        return (
-            F.when(kind == "text", text)
-            .when(kind == "comment", _inner(token, 4, r"--\s*>$"))
-            .when(kind == "cdata", _inner(token, 9, r"\]\]>$"))
-            .when(token.startswith("<?xml"), F.lit(f"xml version='1.0' encoding='{ENCODING_SLOT}'"))
-            .when(kind.isin("pi", "decl"), _inner(token, 2, ">$"))
-        )
+    def content(*of: Column) -> Column:
+        return node_content(rules, entities, squeeze_blanks, *of)
 
     kind = F.col("kind")
     extra = []
     if strings:
-        child = F.col("child.token")
-        child_kind = F.when(F.col("child.raw"), "text").when(child.rlike("^<[a-zA-Z]"), "tag") \
-            .when(child.isNotNull(), _token_kind(child))
-        extra = [F.when(kind == "tag", content(child_kind, child, F.col("child.raw"), F.col("child.keep_blank"))).alias("string")]
-    pairs = F.when(kind == "tag", F.coalesce(attr_pairs(token, F.col("name")), F.array().cast(ATTRS)))
-    nodes = once(kinds, {"attrs": F.when(F.col("name") == "meta", _charset_slot(pairs)).otherwise(pairs)})
+        child, child_raw = F.col("child.token"), F.col("child.raw")
+        extra = [F.when(kind == "tag", content(child_kind(child, child_raw), child, child_raw, F.col("child.keep_blank"))).alias("string")]
+    nodes = once(kinds, {"attrs": node_attrs(kind, F.col("name"), token)})
     nodes = nodes.select(*place, "kind", "name", "attrs", attr_map(F.col("attrs")).alias("attr"),
                          content(kind, token, F.col("raw"), F.col("keep_blank")).alias("text"), *extra)
     if rules.child_attributes:

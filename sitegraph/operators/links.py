@@ -5,7 +5,7 @@ Everything here is local to a page row or a link row: no shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from sitegraph.functions.once import once
 from sitegraph.functions.text import pretty_json, strip
 from sitegraph.functions.urls import resolve_url
-from sitegraph.operators.html_nodes import attr_pairs, html_nodes, html_tokens
+from sitegraph.operators.html_nodes import attr_pairs, html_tokens
+from sitegraph.operators.page_tree import page_nodes
 from sitegraph.operators.select import Selector
 from sitegraph.schemas import TASK_COLUMNS
 
@@ -60,27 +61,18 @@ def extract_links(pages: DataFrame, scope: Selector | None = None,
 
 
 def _scoped_anchors(pages: DataFrame, scope: Selector, keep: list[str], html: str) -> DataFrame:
-    """Scope and anchors of a page meet in one aggregated row per page, which the
-    map side builds completely: a page's nodes never leave their task before."""
-    # the row's number: pages may share all of ``keep``, as snapshots of a URL do
-    pages, row = pages.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"]
-    names = ["a"]
-    if isinstance(scope.name, str):
-        names.append(scope.name)
-    nodes = html_nodes(pages, html=html, keep=row, names=names if len(names) > 1 else None)
-    nodes = nodes.filter((F.col("kind") == "tag") & (F.col("pre") > 0))
-    is_scope = scope.on()
-    href = F.when(F.col("name") == "a", F.col("attr")["href"])
-    flat = once(nodes, {"is_scope": is_scope, "href": href}).select(*row, "pre", "post", "is_scope", "name", "href") \
-        .filter(F.col("is_scope") | (F.col("name") == "a"))
-    per_page = flat.groupBy(*row).agg(
-        F.min_by(F.struct("pre", "post"), F.when(F.col("is_scope"), F.col("pre"))).alias("scope"),
-        F.array_sort(F.collect_list(F.when(F.col("name") == "a", F.struct("pre", "href")))).alias("anchors"),
-    )
-    inside = F.filter("anchors", lambda a: F.col("scope").isNull() | (
-        (a["pre"] > F.col("scope.pre")) & (a["pre"] <= F.col("scope.post"))))
-    return per_page.select(*keep, F.posexplode_outer(inside).alias("pos", "a")) \
-        .select(*keep, "pos", "a.href")
+    """Scope and anchors of a page are looked for in its own row; attributes are computed
+    for elements that may be either."""
+    def wanted(row: Callable[[str], Column]) -> Column:
+        named = row("name").isin("a", scope.name) if isinstance(scope.name, str) else F.lit(True)
+        return (row("kind") == "tag") & (row("pre") > 0) & named
+
+    trees = page_nodes(pages, html=html, keep=keep, only=wanted, texts=False)
+    first = F.get(F.filter("nodes", lambda n: F.coalesce(scope.on(lambda c: n[c]), F.lit(False))), F.lit(0))
+    trees = once(trees, {"_scope": first})
+    anchors = F.filter("nodes", lambda n: (n["name"] == "a") & (F.col("_scope").isNull() | (
+        (n["pre"] > F.col("_scope.pre")) & (n["pre"] <= F.col("_scope.post")))))
+    return trees.select(*keep, F.posexplode_outer(F.transform(anchors, lambda n: n["attr"]["href"])).alias("pos", "href"))
 
 
 def resolve_links(links: DataFrame, base: str = "url") -> DataFrame:

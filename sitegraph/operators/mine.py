@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.functions.once import once
 from sitegraph.functions.text import indent_json, pretty_json
-from sitegraph.operators.html_nodes import html_nodes
+from sitegraph.operators.page_tree import page_nodes
 from sitegraph.operators.select import Selector
 from sitegraph.schemas import DETAILS, IMAGES, PRODUCT_FIELDS
 
@@ -166,16 +166,26 @@ class _Plan:
         self.selectors.append(selector)
         return len(self.selectors) - 1
 
-    def masks(self) -> Column:
+    def masks(self, row: Callable[[str], Column]) -> Column:
         """Which selectors a node meets: a bit each, ``_WORD`` to a number."""
         words = []
         for first in range(0, max(1, len(self.selectors)), _WORD):
             word = F.lit(0).cast("bigint")
             for n, s in enumerate(self.selectors[first:first + _WORD]):
-                word = word + F.when(s.on(), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
+                word = word + F.when(s.on(row), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
             words.append(word)
         return F.array(*words)
 
+    def possible(self) -> Callable[[Callable[[str], Column]], Column] | None:
+        """The root and elements of the names that selectors ask for; None where one asks for anything else."""
+        names: set[str] = set()
+        for s in self.selectors:
+            wanted = [s.name] if isinstance(s.name, str) else s.name
+            if s.text is not None or not isinstance(wanted, (list, tuple, set, dict)):
+                return None
+            names.update(map(str, wanted))
+        return lambda row: (row("pre") == 0) | ((row("kind") == "tag") & row("name").isin(*sorted(names)))
+
     def attr(self, key: str) -> str:
         if key not in self.attrs:
             self.attrs.append(key)
@@ -312,16 +322,17 @@ def mine(pages: DataFrame, spec: MineSpec, keep: Iterable[str] = ("page_id", "ur
             fine = fine & ok
         failed.append((~fine, group.error))
 
-    # the row's number: pages may share all of ``keep``, as snapshots of a URL do
-    pages, row = pages.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"]
-    nodes = html_nodes(pages, html=html, keep=row, strings=True)
-    wanted = once(nodes, {"mask": plan.masks()}).select(
-        *row, "pre", "post", "mask",
-        F.when(F.col("kind") == "tag", F.col("string")).otherwise(F.col("text")).alias("s"),
-        *[F.col("attr")[k].alias(f"a{i}") for i, k in enumerate(plan.attrs)],
-    ).filter("exists(mask, m -> m <> 0) OR pre = 0")
-    fields = ["pre", "post", "mask", "s", *[f"a{i}" for i in range(len(plan.attrs))]]
-    page = wanted.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
+    # a page stays one row: pages may share all of ``keep``, as snapshots of a URL do
+    def candidate(n: Column) -> Column:
+        return F.struct(
+            n["pre"].alias("pre"), n["post"].alias("post"), plan.masks(lambda c: n[c]).alias("mask"),
+            F.when(n["kind"] == "tag", n["string"]).otherwise(n["text"]).alias("s"),
+            *[n["attr"][k].alias(f"a{i}") for i, k in enumerate(plan.attrs)])
+
+    trees = page_nodes(pages, html=html, keep=keep, strings=True, only=plan.possible())
+    met = once(trees, {"all": F.transform("nodes", candidate)})
+    wanted = F.filter("all", lambda n: F.exists(n["mask"], lambda m: m != 0) | (n["pre"] == 0))
+    page = once(met.select(*keep, "all"), {"c": wanted}).select(*keep, "c")
     for name, column in plan.stages:
         page = page.withColumn(name, column)
     return page.select(

@@ -3,10 +3,13 @@ a page's pieces are joined in document order."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions.entities import escape_entities
+from sitegraph.functions.once import once
 from sitegraph.functions.text import strip
 from sitegraph.operators.html_nodes import ENCODING_SLOT
 from sitegraph.functions.nesting import HTML
@@ -37,28 +40,47 @@ def _attributes(attrs: Column, encoding: str) -> Column:
     return F.array_join(F.transform(attrs, one), "")
 
 
-def _tags(void: tuple[str, ...], encoding: str) -> tuple[Column, Column]:
-    name, is_void = F.col("name"), F.col("name").isin(*void) if void else F.lit(False)
-    start = F.concat(F.lit("<"), name, _attributes(F.col("attrs"), encoding),
+def _tags(row: Callable[[str], Column], void: tuple[str, ...], encoding: str) -> tuple[Column, Column]:
+    name, is_void = row("name"), row("name").isin(*void) if void else F.lit(False)
+    start = F.concat(F.lit("<"), name, _attributes(row("attrs"), encoding),
                      F.when(is_void, F.lit(" />")).otherwise(F.lit(">")))
     end = F.when(~is_void, F.concat(F.lit("</"), name, F.lit(">")))
     return start, end
 
 
-def _pieces(nodes: DataFrame, void: tuple[str, ...], encoding: str, pretty: bool) -> DataFrame:
-    """``at`` orders pieces: an opening by ``pre``; a closing after the last
-    descendant, inner elements first."""
-    start, end = _tags(void, encoding)
-    tag = (F.col("kind") == "tag") & (F.col("pre") > 0)
-    text = F.replace(render_special(F.col("kind"), F.col("text")), F.lit(ENCODING_SLOT), F.lit(encoding))
+def _pieces_of(row: Callable[[str], Column], void: tuple[str, ...], encoding: str, pretty: bool) -> Column:
+    """The pieces of one node. ``a, b, c`` order them: an opening by ``pre``; a closing
+    after the last descendant, inner elements first."""
+    start, end = _tags(row, void, encoding)
+    tag = (row("kind") == "tag") & (row("pre") > 0)
+    text = F.replace(render_special(row("kind"), row("text")), F.lit(ENCODING_SLOT), F.lit(encoding))
     if pretty:
         text = strip(text)
-    opening = F.struct(F.col("pre").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"),
-                       F.col("depth").alias("depth"), F.when(tag, start).otherwise(text).alias("piece"))
-    closing = F.struct(F.col("post").alias("a"), F.lit(1).alias("b"), (-F.col("depth")).alias("c"),
-                       F.col("depth").alias("depth"), F.when(tag, end).alias("piece"))
-    pieces = F.filter(F.array(opening, closing), lambda p: F.coalesce(p["piece"], F.lit("")) != "")
-    return nodes.filter("pre > 0").select(PAGE, F.explode(pieces).alias("p"))
+    opening = F.struct(row("pre").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"),
+                       row("depth").alias("depth"), F.when(tag, start).otherwise(text).alias("piece"))
+    closing = F.struct(row("post").alias("a"), F.lit(1).alias("b"), (-row("depth")).alias("c"),
+                       row("depth").alias("depth"), F.when(tag, end).alias("piece"))
+    return F.filter(F.array(opening, closing), lambda p: F.coalesce(p["piece"], F.lit("")) != "")
+
+
+def _pieces(nodes: DataFrame, void: tuple[str, ...], encoding: str, pretty: bool) -> DataFrame:
+    return nodes.filter("pre > 0").select(PAGE, F.explode(_pieces_of(F.col, void, encoding, pretty)).alias("p"))
+
+
+def render_pages(trees: DataFrame, void: tuple[str, ...] = VOID, encoding: str = "utf-8", pretty: bool = False) -> DataFrame:
+    """The same as ``render``, or ``prettify``, of pages whose ``nodes`` are an array in their row
+    (``page_tree.page_nodes``): no exchange. All columns but ``nodes`` stay."""
+    keep = [c for c in trees.columns if c != "nodes"]
+    inner = F.filter("nodes", lambda n: n["pre"] > 0)
+    pieces = F.array_sort(F.flatten(F.transform(inner, lambda n: _pieces_of(lambda c: n[c], void, encoding, pretty))))
+    if not pretty:
+        return trees.select(*keep, F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("html"))
+    top = F.element_at(F.filter(inner, lambda n: n["parent_pre"] == 0), -1)
+    rows = once(trees, {"_p": pieces, "_t": F.when(F.exists("nodes", lambda n: n["parent_pre"] == 0), top)})
+    lines = F.array_join(F.transform("_p", lambda p: F.concat(F.repeat(F.lit(" "), p["depth"] - 1), p["piece"])), "\n")
+    closes = (F.col("_t.kind") == "tag") & ~F.col("_t.name").isin(*void)
+    html = F.when(F.size("_p") == 0, "").otherwise(F.concat(lines, F.when(closes, F.lit("")).otherwise(F.lit("\n"))))
+    return rows.select(*keep, html.alias("html"))
 
 
 def render(nodes: DataFrame, void: tuple[str, ...] = VOID, encoding: str = "utf-8") -> DataFrame:
