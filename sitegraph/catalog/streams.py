@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from sitegraph.catalog import query
 from sitegraph.catalog.history import STATE_ROWS, state_rows, state_sql, stamp, with_events
 from sitegraph.catalog.tables import FETCH_EVENTS_SQL, as_fetch_events, table
-from sitegraph.schemas import LINK_STATE
 from sitegraph.session import run_folder
-from sitegraph.sources.sinks import custom_output, read_run
+from sitegraph.sources.sinks import custom_output
 from sitegraph.streaming import history as H
 
 
@@ -30,7 +29,7 @@ def _finish(writer) -> None:
 def _link_state_stream(spark, sf):
     root = run_folder(spark, "stream")
     _finish(H.link_state_stream(_stream(spark, sf), f"{root}/state", f"{root}/checkpoint"))
-    return state_rows(read_run(spark, f"{root}/state", LINK_STATE))
+    return state_rows(H.read_states(spark, f"{root}/state"))
 
 
 @query("link_state_updates", with_events(STATE_ROWS + "state", state_sql("fetch_events")))
@@ -40,7 +39,7 @@ def _link_state_updates(spark, sf):
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    updates = H.link_state_updates(_stream(spark, sf))
+    updates = H.link_states(_stream(spark, sf))
     _finish(custom_output(updates, save, f"{root}/checkpoint").outputMode("update"))
     rows = spark.read.parquet(f"{root}/out")
     latest = rows.groupBy("url").agg(F.max_by(F.struct(*rows.columns[1:]), "batch").alias("s")).select("url", "s.*")

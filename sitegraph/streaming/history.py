@@ -2,96 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from sitegraph.operators.linkstate import merge_events
 from sitegraph.operators.report import fetch_counts
-from sitegraph.schemas import LINK_STATE
-from sitegraph.sources.sinks import read_run, save_run
-
-
-def link_state_stream(events: DataFrame, root: str, checkpoint: str):
-    """Keep link state up to date from a stream of fetch events.
-
-    Each batch is folded by the batch operator and merged with the state after the
-    batch before. A batch that is run again after a failure starts from the same
-    state and replaces its own output. Read the result with ``read_run``.
-    """
-    spark = events.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        state = read_run(spark, root, LINK_STATE, number - 1) if number else spark.createDataFrame([], LINK_STATE)
-        save_run(merge_events(state, batch), root, number)
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-
-
-def link_state_updates(events: DataFrame) -> DataFrame:
-    """Same fold as a stateful operator: emits a URL's new state per batch.
-
-    Events of a URL must arrive in time order across batches. Within a batch the
-    rows of a URL come in chunks in any order, so a chunk only adds what can be
-    combined in any order: latest times, and the failure times after the newest
-    success, as arrays of numbers. A URL with a very large share of events is
-    better served by ``link_state_stream``.
-    """
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, status, failed = state.get if state.exists else (None, None, "", 0)
-        ok_at, fails = None, []
-        for chunk in chunks:
-            starts = chunk.loc[chunk["kind"] == "start", "ts"]
-            if len(starts):
-                start = max(filter(None, (start, starts.max().to_pydatetime())))
-            ends = chunk[chunk["kind"] == "end"]
-            if not len(ends):
-                continue
-            last = ends.loc[ends["ts"].idxmax()]
-            if end is None or last["ts"].to_pydatetime() >= end:
-                end, status = last["ts"].to_pydatetime(), last["status_code"]
-            good = ends.loc[ends["status_code"] == "", "ts"]
-            if len(good) and (ok_at is None or good.max() > ok_at):
-                ok_at, failed = good.max(), 0
-            fails.append(ends.loc[ends["status_code"] != "", "ts"].to_numpy())
-        failed += sum(int((t > np.datetime64(ok_at)).sum()) if ok_at is not None else len(t) for t in fails)
-        state.update((start, end, status, failed))
-        yield pd.DataFrame([(key[0], start, end, status, failed)],
-                           columns=["url", "last_start_ts", "last_end_ts", "last_status_code", "failed_cnt"])
-
-    stored = LINK_STATE.replace("url STRING, ", "")
-    return events.groupBy("url").applyInPandasWithState(fold, LINK_STATE, stored, "update", "NoTimeout")
-
-
-def revisit_stream(tasks: DataFrame, interval: int, time: str = "ts") -> DataFrame:
-    """Tasks to visit: a URL is due at its first task, and again at the first one more
-    than ``interval`` seconds after the last due one.
-
-    The last due time of a URL is the state. Within a batch a URL's times are
-    combined and taken in order, so batches may be cut anywhere; tasks older than
-    the last due one are not due. Of equal times one is due. Rows without URL or
-    time are never due.
-    """
-    def due(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = np.unique(np.concatenate([c["at"].dropna().unique() for c in chunks]))
-        found = []
-        at = 0 if last is None else int(np.searchsorted(times, last + interval * 1_000_000, side="right"))
-        while at < len(times):
-            last = int(times[at])
-            found.append(last)
-            at = int(np.searchsorted(times, last + interval * 1_000_000, side="right"))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"url": [key[0]] * len(found), "at": found})
+from sitegraph.streaming.keyed import link_state_stream, link_states, read_states, revisit_stream
 
-    rows = tasks.filter(f"url IS NOT NULL AND {time} IS NOT NULL").select("url", F.unix_micros(time).alias("at"))
-    found = rows.groupBy("url").applyInPandasWithState(due, "url STRING, at BIGINT", "last BIGINT", "append", "NoTimeout")
-    return found.select("url", F.timestamp_micros("at").alias(time))
+__all__ = ["link_state_stream", "link_states", "read_states", "revisit_stream", "status_stream", "write_products_stream"]
 
 
 def status_stream(events: DataFrame, every: str = "3 seconds", late: str = "1 minute") -> DataFrame:

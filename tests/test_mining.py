@@ -10,7 +10,7 @@ from sitegraph.operators import mine as M
 from sitegraph.operators import report as R
 from sitegraph.operators.select import sel
 from sitegraph.plans import shops
-from sitegraph.schemas import FETCH_EVENT, LINK_STATE
+from sitegraph.schemas import FETCH_EVENT
 from sitegraph.session import run_folder
 from sitegraph.sources import decode as D
 from sitegraph.sources.sinks import check_json_lines, read_json_lines, read_run, save_run, write_products
@@ -179,15 +179,44 @@ def run_in_batches(spark, start):
 
 def test_stream_equals_batch(spark):
     root, rows = run_in_batches(spark, lambda s, root: H.link_state_stream(s, f"{root}/state", f"{root}/check"))
-    assert as_dict(read_run(spark, f"{root}/state", LINK_STATE)) == brute_state(rows)
+    assert as_dict(H.read_states(spark, f"{root}/state")) == brute_state(rows)
+    # a batch writes the states of its own URLs only
+    parts = spark.read.parquet(f"{root}/state").groupBy("batch").agg(F.countDistinct("url").alias("urls")).orderBy("batch").collect()
+    assert [r.urls for r in parts] == [len({e[0] for e in rows[n * 80:(n + 1) * 80]}) for n in range(5)]
 
 
+def test_hot_and_late_events_of_one_batch(spark):
+    """A URL with nearly all events, several at one time, in one batch and out of order."""
+    t0 = datetime(2024, 1, 1)
+    rows = [("hot", t0 + timedelta(seconds=(7 * n) % 50), "start" if n % 3 == 0 else "end", "" if n % 3 == 0 or n % 50 == 20 else f"HTTP {n % 2}") for n in range(900)]
+    rows += [("cold", t0, "start", ""), ("bad", t0, "end", "HTTP 500"), ("bad", t0, "end", "HTTP 404"), (None, t0, "end", ""), ("none", None, "end", "")]
+    root = run_folder(spark, "hot")
+    spark.createDataFrame(rows, FETCH_EVENT).repartition(6).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(FETCH_EVENT).parquet(f"{root}/in")
+    H.link_state_stream(stream, f"{root}/state", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    good = spark.createDataFrame([r for r in rows if r[0] and r[1]], FETCH_EVENT)
+    assert as_dict(H.read_states(spark, f"{root}/state")) == as_dict(S.link_state_fold(good))
+
+
+def test_state_of_quiet_urls_goes(spark):
+    """Once the watermark is past a URL's interval, a timer takes its state away."""
+    t0, root = datetime(2024, 1, 1), run_folder(spark, "quiet")
+    kept = []
+    for n, part in enumerate([[(f"u{k}", t0) for k in range(50)], [("u0", t0 + timedelta(days=9))], [("u0", t0 + timedelta(days=18))], [("u0", t0 + timedelta(days=27))]]):
+        spark.createDataFrame(part, "url STRING, ts TIMESTAMP").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        due = H.revisit_stream(spark.readStream.schema("url STRING, ts TIMESTAMP").parquet(f"{root}/in"), 86400)
+        run = due.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
+        kept.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert spark.read.parquet(f"{root}/out").count() == 53
+    assert kept[-1] < kept[0] / 5
+
 def test_stateful_operator_equals_batch(spark):
     def start(stream, root):
         def save(batch, number):
             batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-        return H.link_state_updates(stream).writeStream.outputMode("update").foreachBatch(save) \
+        return H.link_states(stream).writeStream.outputMode("update").foreachBatch(save) \
             .option("checkpointLocation", f"{root}/check")
 
     root, rows = run_in_batches(spark, start)
