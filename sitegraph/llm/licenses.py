@@ -13,16 +13,54 @@ from pyspark.sql import functions as F
 
 from sitegraph.llm.common import saved, table
 
-#: fixed values: license identifiers and the statements that grant them
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License "
+        "as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.")
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+
+#: fixed values: license identifiers, and what grants them: statements, the paragraphs of standard
+#: headers and of licence texts, titles. SPDX tags are added by rule.
+GRANTS = {
+    "AGPL-3.0": (_GNU.format("Affero General Public", 3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+                 "This work is licensed under the GNU Affero General Public License, version 3."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004",
+                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+                   "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": (_BSD + ".", _BSD + " provided that the following conditions are met:", "BSD 3-Clause License",
+                     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+                     "software without specific prior written permission."),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+                  "Creative Commons Attribution 4.0 International"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+                     "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+                     "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "CC0-1.0": ("Creative Commons CC0 1.0 Universal", "Released under CC0 1.0."),
+    "GPL-2.0": (_GNU.format("General Public", 2).replace("program is free software: you", "program is free software; you"),
+                "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This work is licensed under the GNU General Public License, version 2."),
+    "GPL-3.0": (_GNU.format("General Public", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+                "This work is licensed under the GNU General Public License, version 3."),
+    "ISC": ("ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+            "the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-3.0": (_GNU.format("Lesser General Public", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+                 "This work is licensed under the GNU Lesser General Public License, version 3."),
+    "MIT": ("Released under the MIT License.", "The MIT License (MIT)", "MIT License",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+            "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+            "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions:",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0",
+                "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",
+                  "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
 }
 
+#: template name (license#number) to its words; several templates of a license compete with those of all others
+TEMPLATES = {f"{name}#{k}": text for name, texts in GRANTS.items() for k, text in enumerate((*texts, f"SPDX-License-Identifier: {name}"))}
+
 #: a statement of this cosine or more has the template's license
 LEAST = 0.75
 #: a text is a licence file if this share of its words or more is in such statements
@@ -34,8 +72,17 @@ def words_of(text: str) -> list[str]:
 
 
 def statements(text: Column) -> Column:
-    """A text's lines, cut behind sentence marks."""
-    return F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "\n")
+    """A text's lines, cut behind sentence marks; and the sentences and blocks of wrapped headers
+    and licence texts: those of several lines, as one, without the marks that begin comment lines."""
+    lines = F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "\n")
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*(?:[#*;%]+|//+|/\*+|--+)[ \t]?", "")
+    blocks = F.split(F.regexp_replace(bare, r"([.!?;])[ \t\n]+|\n[ \t]*\n[ \t\n]*", "$1\u0001"), "\u0001")
+    wrapped = F.filter(blocks, lambda b: F.btrim(b, F.lit(" \t\n")).contains("\n"))
+    return F.concat(lines, F.transform(wrapped, lambda b: F.replace(b, F.lit("\n"), F.lit(" "))))
+
+
+def license_of(template: Column) -> Column:
+    return F.substring_index(template, "#", 1)
 
 
 def _words(text: Column) -> Column:
@@ -107,7 +154,7 @@ def own_licenses(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     by_file = by_file.join(size, ["path", "file"]).withColumn("share", F.col("stated") / F.col("words"))
     # rows that repeat a path are one file: the best of them speaks
     one = by_file.groupBy("path").agg(F.max(F.struct("best", "share")).alias("b"))
-    named = F.element_at(F.array(*[F.lit(m) for m in names]), (1 - F.col("b.best.k")).cast("int"))
+    named = license_of(F.element_at(F.array(*[F.lit(m) for m in names]), (1 - F.col("b.best.k")).cast("int")))
     return one.select("path", named.alias("license"), F.col("b.best.score").alias("score"), F.col("b.share").alias("share"))
 
 
@@ -183,7 +230,9 @@ unit AS (SELECT license, w, x / sqrt(sum(x * x) OVER (PARTITION BY license)) AS
 lines AS (
   SELECT path, no, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> '') AS ws
   FROM (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (
-    SELECT path, string_split(regexp_replace(text, '([.!?;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM files))),
+    SELECT path, string_split(regexp_replace(text, '([.!?;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) || list_transform(list_filter(string_split(
+      regexp_replace(regexp_replace(text, '(?m)^[ \\t]*(?:[#*;%]+|//+|/\\*+|--+)[ \\t]?', '', 'g'), '([.!?;])[ \\t\\n]+|\\n[ \\t]*\\n[ \\t\\n]*', '\\1' || chr(1), 'g'), chr(1)),
+      lambda b: contains(trim(b, ' ' || chr(9) || chr(10)), chr(10))), lambda b: replace(b, chr(10), ' ')) AS ls FROM files))),
 wordy AS (SELECT path, no, len(ws) AS n, unnest(ws) AS w FROM lines),
 weighed AS (
   SELECT path, no, n, w, count(*) * coalesce(any_value(idf), 1 + ln((SELECT n FROM total) + 1)) AS x FROM wordy LEFT JOIN idf USING (w) GROUP BY path, no, n, w),
@@ -193,7 +242,7 @@ met AS (
   SELECT path, no, any_value(n) AS n, max(round(dot / norm, 9)) AS score, arg_min(license, (-round(dot / norm, 9), license)) AS license
   FROM dots JOIN norms USING (path, no) GROUP BY path, no HAVING max(round(dot / norm, 9)) >= {LEAST}),
 own AS (
-  SELECT path, max(score) AS score, arg_min(license, (-score, license)) AS license,
+  SELECT path, max(score) AS score, split_part(arg_min(license, (-score, license)), '#', 1) AS license,
     sum(n) / (SELECT sum(len(ws)) FROM lines l WHERE l.path = m.path) AS share FROM met m GROUP BY path),
 granted AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, arg_min(license, (-score, path)) AS license FROM own WHERE share >= {FILE_SHARE} GROUP BY 1),

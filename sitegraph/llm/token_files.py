@@ -20,7 +20,7 @@ from sitegraph.llm.idcodec import decode_frame, frames
 from sitegraph.session import run_folder
 
 #: words whose ids a task remembers
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: bytes of text whose words are looked up at once
 _SLICE = 1 << 22
 
@@ -75,20 +75,6 @@ class WordTokenizer:
                 yield ids[cut[k]:cut[k + 1]]
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this Python process, with the words it remembers from earlier tasks.
-
-    This package travels with each task by value, so its own globals start anew;
-    an installed module's do not.
-    """
-    import tokenizers
-
-    held = vars(tokenizers).setdefault("_sitegraph_held", {})
-    if path not in held:
-        held[path] = WordTokenizer(path)
-    return held[path]
-
-
 def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     first = 0
@@ -115,11 +101,11 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
         part = TaskContext.get().partitionId()
 
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
-            end = np.array([end_id], dtype=np.uint16)
+            own, end = WordTokenizer(path), np.array([end_id], dtype=np.uint16)
             for batch in batches:
                 ids = iter(batch.column(0).to_pylist())
                 for piece in _pieces(batch.column(1)):
-                    for got in tokenizer(path).ids(piece):
+                    for got in own.ids(piece):
                         yield next(ids), np.concatenate([got, end])
 
         for no, (n_ids, frame) in enumerate(frames(each())):

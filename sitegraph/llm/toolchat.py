@@ -238,6 +238,16 @@ def as_tools(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def message_lines(messages: DataFrame) -> DataFrame:
+    """The turns that are neither call nor result (other roles, or none) as lines of ``link_tools``:
+    state ``message``, without level and call, in canonical JSON (keys in order, no blanks)."""
+    others = messages.filter("role IS NULL OR role NOT IN ('user', 'assistant')")
+    line = F.to_json(F.struct(F.col("conv_id").alias("conversation"), F.struct("role", "text", "turn").alias("message"), F.lit("message").alias("state")), {"ignoreNullFields": "false"})
+    return others.select("conv_id", F.lit(None).cast("int").alias("level"), "turn", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("state"),
+                         F.array().cast("array<string>").alias("errors"), line.alias("json"))
+
+
 def op9_tool_chat(spark: SparkSession, sf: str) -> DataFrame:
-    """All conversations, read as tool use."""
-    return link_tools(*as_tools(table(spark, sf, "conversations")), SCHEMAS)
+    """All conversations, read as tool use; turns of other roles as messages."""
+    messages = table(spark, sf, "conversations")
+    return link_tools(*as_tools(messages), SCHEMAS).unionByName(message_lines(messages))

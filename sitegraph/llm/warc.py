@@ -33,12 +33,21 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def without_markup(html: Column) -> Column:
-    """Scripts, styles, comments and tags go; block elements end lines."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"[\r\n]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?+(?:{_LINES})\b[^>]*+>", "\n")
-    return F.regexp_replace(text, r"<[^>]*+>", "")
+#: the rest of a tag up to its end, which is not inside quotes where these are closed
+_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+#: what a reader does not see: scripts, styles and comments, up to the end where they are not closed
+_HIDDEN = rf"(?is)<script\b{_REST}.*?(?:</script\s*>|\z)|<style\b{_REST}.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+
+
+def visible(html: Column) -> Column:
+    return F.regexp_replace(html, _HIDDEN, " ")
+
+
+def without_markup(shown: Column) -> Column:
+    """Tags go; block elements end lines. Takes what ``visible`` leaves."""
+    text = F.regexp_replace(shown, r"[\r\n]+", " ")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{_LINES})\b{_REST}", "\n")
+    return F.regexp_replace(text, f"<{_REST}", "")
 
 
 def plain_text(bare: Column) -> Column:
@@ -67,7 +76,7 @@ def as_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def outlinks(html: Column) -> Column:
-    """The ``href`` of every anchor that has one, without quotes, entities to characters, on one line."""
+    """The ``href`` of every anchor of a ``visible`` page that has one, without quotes, entities to characters, on one line."""
     def url(value: Column) -> Column:
         quoted = value.startswith('"') | value.startswith("'")
         bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
@@ -102,9 +111,10 @@ def derive(responses: DataFrame, *keep: str) -> DataFrame:
     r = responses.select(*keep, "record_id", text("target_uri").alias("uri"), text("date").alias("date"), text("http").alias("http"), text("body").alias("body"))
     r = r.withColumn("source", F.coalesce("record_id", urn(F.lit("response"), "uri", "date", "http", "body"))).drop("record_id")
     # each of these is used in several fields, and computed once
-    r = once(r, {"said": digest(F.col("body")), "bare": without_markup(F.col("body"))})
+    r = once(r, {"said": digest(F.col("body")), "shown": visible(F.col("body"))})
+    r = once(r, {"bare": without_markup(F.col("shown"))})
     r = once(r, {"text": plain_text(F.col("bare"))})
-    links = F.array_join(F.transform(outlinks(F.col("body")), lambda u: F.concat(F.lit("outlink: "), u, F.lit(_END))), "")
+    links = F.array_join(F.transform(outlinks(F.col("shown")), lambda u: F.concat(F.lit("outlink: "), u, F.lit(_END))), "")
     status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     fields = F.concat(*[F.concat(F.lit(f"{k}: "), v, F.lit(_END)) for k, v in (
         ("source-status", status), ("source-content-type", http_field(F.col("http"), "content-type")),
@@ -141,6 +151,9 @@ def _urn_sql(*parts: str) -> str:
 
 _N = "chr(13) || chr(10)"
 
+# the same without possessive quantifiers, which only save going back
+_SQL_REST, _SQL_HIDDEN = (x.replace("'", "''").replace("++", "").replace("*+", "*") for x in (_REST, _HIDDEN))
+
 OP10_SQL = rf"""
 WITH src AS (
   SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS body,
@@ -148,19 +161,24 @@ WITH src AS (
   FROM pages),
 named AS (
   SELECT *, {_urn_sql("'response'", "uri", f"'{DATE}'", "sha256(body)")} AS source, 'sha256:' || sha256(body) AS said,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
-      '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '[\r\n]+', ' ', 'g'),
-      '(?i)</?(?:{_LINES})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t
+    regexp_replace(body, '{_SQL_HIDDEN}', ' ', 'g') AS shown
   FROM src),
+bared AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(shown, '[\r\n]+', ' ', 'g'),
+      '(?i)</?(?:{_LINES})\b{_SQL_REST}', chr(10), 'g'), '<{_SQL_REST}', '', 'g') AS t,
+    list_filter(list_transform(regexp_extract_all(shown, '(?i)<a[\s/]{_SQL_REST}'),
+      lambda a: regexp_extract(a, '(?i)[\s/"'']href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)', 1)), lambda h: h <> '') AS hrefs
+  FROM named),
 texts AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(
       replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
       '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text,
     'source-status: 200' || {_N} || 'source-content-type: text/html; charset=utf-8' || {_N} || 'source-headers-digest: sha256:' || sha256(http) || {_N}
       || 'source-payload-digest: ' || said || {_N} || 'source-payload-length: ' || octet_length(encode(body)) || {_N}
-      || array_to_string(list_transform(regexp_extract_all(body, '(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1), lambda u: 'outlink: ' || u || {_N}), '') AS fields,
+      || array_to_string(list_transform(hrefs, lambda h: 'outlink: ' || replace(replace(replace(replace(
+           CASE WHEN h[1] IN ('"', chr(39)) THEN h[2:-2] ELSE h END, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || {_N}), '') AS fields,
     {_urn_sql("'metadata'", "source", "said")} AS meta_id, {_urn_sql("'conversion'", "source", "said")} AS conv_id
-  FROM named),
+  FROM bared),
 made AS (
   SELECT page_id, 'metadata' AS kind, meta_id AS record_id, conv_id AS other, source, uri, said, fields AS block, 'application/warc-fields' AS content FROM texts
   UNION ALL SELECT page_id, 'conversion', conv_id, meta_id, source, uri, said, text, 'text/plain; charset=utf-8' FROM texts)

@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from sitegraph.llm.decontaminate import LEAK, MATCH, align
 from sitegraph.llm.queries import ORACLES, QUERIES
+from sitegraph.llm.toolchat import canonical
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,14 +81,11 @@ def test_decontamination(spark, documents, duck):
     names = {}
     number = lambda t: np.array([names.setdefault(w, len(names)) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate(LOWER))])
     items = {i: number(t) for i, t in duck.execute("SELECT item_id, text FROM benchmark").fetchall()}
-    grams = lambda w: {tuple(w[k:k + 4]) for k in range(len(w) - 3)}
-    seeds = {i: grams(w) for i, w in items.items()}
     want = {}
     for d, t, _ in documents:
         w = number(t)
-        own = grams(w)
         for i, item in items.items():
-            if own & seeds[i] and (s := align(item, w)[0] / (MATCH * len(item))) >= LEAK:
+            if np.isin(item, w).sum() >= LEAK * len(item) and (s := align(item, w)[0] / (MATCH * len(item))) >= LEAK:
                 want[d, i] = s
     got = {(r.doc_id, r.item_id): r.score for r in QUERIES["op1_decontamination"](spark, SF).collect()}
     assert got == pytest.approx(want) and want
@@ -150,6 +148,13 @@ def test_neighbours_recall(spark, duck):
 def test_tool_chat(spark, duck):
     turns = duck.execute("SELECT count(*) FILTER (role = 'user') FROM conversations").fetchone()[0]
     rows = QUERIES["op9_tool_chat"](spark, SF).collect()
+    others = duck.execute("SELECT conv_id, turn, role, text FROM conversations WHERE role NOT IN ('user', 'assistant')").fetchall()
+    said = [r for r in rows if r.state == "message"]
+    assert sorted((r.conv_id, r.turn) for r in said) == sorted((c, t) for c, t, _, _ in others) and others
+    assert sorted(r.json for r in said) == sorted(canonical({"conversation": c, "message": {"role": r, "text": x, "turn": t}, "state": "message"}) for c, t, r, x in others)
+    # every turn is in a line: as a call, a result or a message
+    assert sum((r.state != "orphan") + ('"result"' in r.json) for r in rows) == duck.execute("SELECT count(*) FROM conversations").fetchone()[0]
+    rows = [r for r in rows if r.state != "message"]
     assert sum(r.state != "orphan" for r in rows) == turns and {r.state for r in rows} <= {"linked", "open", "orphan"}
     pairs = set(duck.execute("SELECT conv_id, turn FROM conversations WHERE role = 'user' INTERSECT SELECT conv_id, turn - 1 FROM conversations WHERE role = 'assistant'").fetchall())
     assert {(r.conv_id, r.turn) for r in rows if r.state == "linked"} == pairs

@@ -282,6 +282,29 @@ def test_license_inheritance(spark):
     assert scan_licenses(df).count() == len(files) and scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_texts_headers_and_tags(spark):
+    """Whole licence files, wrapped headers in comments, SPDX tags, and siblings that share most words."""
+    mit = """MIT License\n\nCopyright (c) 2020 Someone\n
+Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"""
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"
+    agpl = """# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n""" + "x = 1\n" * 300
+    code = "value = compute(other)\n" * 50
+    files = [("m/LICENSE", mit), ("m/src/a.c", code), ("g/COPYING", gpl), ("g/x/y/z.c", code), ("s/one.py", "# SPDX-License-Identifier: MIT\n" + code),
+             ("s/two.py", "// SPDX-License-Identifier: LGPL-3.0\n" + code), ("a/app.py", agpl), ("l/x", "This work is licensed under the GNU Lesser General Public License, version 3."),
+             ("c/by", "Licensed under CC BY 4.0."), ("c/nc", "Licensed under CC BY-NC 4.0."), ("c/sa", "Licensed under CC BY-SA 4.0."), ("n/none", code),
+             ("t/tie", "ISC License\nMIT License"), ("v/long", code * 4000 + "Released under the MIT License.")]
+    got = {r.path: (r.own, r.license, r.inherited_from) for r in scan_licenses(spark.createDataFrame(files, "path STRING, text STRING")).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", "MIT", None), "m/src/a.c": (None, "MIT", "m"), "g/COPYING": ("GPL-3.0", "GPL-3.0", None), "g/x/y/z.c": (None, "GPL-3.0", "g"),
+        "s/one.py": ("MIT", "MIT", None), "s/two.py": ("LGPL-3.0", "LGPL-3.0", None), "a/app.py": ("AGPL-3.0", "AGPL-3.0", None), "l/x": ("LGPL-3.0", "LGPL-3.0", None),
+        "c/by": ("CC-BY-4.0", "CC-BY-4.0", None), "c/nc": ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), "c/sa": ("CC-BY-SA-4.0", "CC-BY-SA-4.0", None),
+        "n/none": (None, None, None), "t/tie": ("ISC", "ISC", None), "v/long": ("MIT", "MIT", None)}
+
+
 # tool chat
 
 SCHEMA = {"add": {"type": "object", "required": ["x"], "additionalProperties": False,
@@ -366,6 +389,21 @@ def test_outlinks_of_every_attribute_form(spark, anchor, links):
     assert re.findall("outlink: ([^\r]*)\r\n", meta.record) == links
 
 
+@pytest.mark.parametrize("body,text,links", [
+    ('<script>var a="<a href=x.html>";</script><!-- <a href="c.html"> --><a href="y.html">y</a>', "y", ["y.html"]),
+    ('<p>head<img alt="a > b" src="x">tail</p>', "headtail", []),
+    ('<p title="open>text</p>more', "text\nmore", []),
+    ("<p>seen</p><script>var x = 1; <a href=no.html>", "seen", []),
+    ("<p>seen</p><!-- <a href=no.html> never closed", "seen", []),
+    ("<style media='>'>p {}</style><!-- > <script> --><a href=z>z</a>", "z", ["z"]),
+    ("<p>" + "word " * 200000 + "<br>end", "word " * 199999 + "word\nend", []),
+])
+def test_hidden_parts_and_broken_markup(spark, body, text, links):
+    df = spark.createDataFrame([("<urn:r>", "u", "d", "h", body)], "record_id STRING, target_uri STRING, date STRING, http STRING, body STRING")
+    got = {r.kind: r.record.split("\r\n\r\n", 1)[1].removesuffix("\r\n\r\n") for r in derive(df).collect()}
+    assert got["conversion"] == text and re.findall("outlink: ([^\r]*)\r\n", got["metadata"]) == links
+
+
 # nearest neighbours
 
 def test_neighbours_of_odd_rows(spark):
