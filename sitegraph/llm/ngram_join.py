@@ -331,16 +331,15 @@ def _jobs(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     the similarity, so only sets of the same or the next step can link; steps are
     dealt into blocks, and every two blocks are a job.
     """
-    size = members.groupBy("root").agg(F.count("*").alias("m"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-1.000001 * np.log(1 - limits.loss)))).cast("int")
-    members = members.join(size, "root").withColumn("step", F.when(F.col("m") <= BLOCK, 0).otherwise(step))
-    units = saved(members.groupBy("root", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "units")
-
-    def beside(d: int, name: str) -> DataFrame:
-        return units.select("root", (F.col("step") + d).alias("step"), F.col("k").alias(name))
-
-    members = (members.join(units, ["root", "step"]).join(beside(-1, "k_next"), ["root", "step"], "left")
-               .join(beside(1, "k_prev"), ["root", "step"], "left"))
+    members = members.withColumn("step", step)
+    # a row per family: its sets, and the blocks of each step
+    units = members.groupBy("root", "step").agg(F.count("*").alias("c")).groupBy("root").agg(
+        F.sum("c").alias("m"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("c") / BLOCK).cast("int")))).alias("ks"))
+    members = members.join(saved(units, "units"), "root").withColumn("small", F.col("m") <= BLOCK)
+    beside = lambda d: F.when(~F.col("small"), F.try_element_at("ks", F.col("step") + d))
+    members = members.withColumns({"k": F.coalesce(beside(0), F.lit(1)), "k_next": beside(1), "k_prev": beside(-1)})
+    members = members.withColumn("step", F.when(F.col("small"), 0).otherwise(F.col("step")))
     job = lambda s1, b1, s2, b2: f"xxhash64(root, {s1}, {b1}, {s2}, {b2})"
     members = members.withColumn("b", F.expr("cast(pmod(xxhash64(node), k) as int)"))
     jobs = members.select("node", F.inline(F.expr(f"""
