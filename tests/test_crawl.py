@@ -1,6 +1,7 @@
 """Links, rules, frontier and the whole crawl on small fixtures."""
 
 import json
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from sitegraph.operators import links as L
 from sitegraph.operators import linkstate as S
 from sitegraph.operators.intervals import stab_join
 from sitegraph.operators.select import sel
+from sitegraph.plans import crawl as plans
 from sitegraph.plans import shops
 from sitegraph.plans.crawl import crawl, mine_visits
 from sitegraph.schemas import LINK_STATE, RULE
@@ -249,3 +251,97 @@ def test_templates_meet_stores_of_their_family(spark):
     templates = spark.createDataFrame([(0, "^{store}/", 1), (0, "x{store}{store}", 2), (1, "y", 3)], "family INT, regex STRING, max_hop INT")
     got = sorted(map(tuple, jobs.rule_template(stores, templates).collect()))
     assert got == [("a", "^a/", 1), ("a", "xaa", 2), ("b", "y", 3)]
+
+
+def _ring(spark, n=40):
+    """A start page that links to all of a ring of pages, each of which links to the next two."""
+    links = [("/", "s", i, f"/{i}") for i in range(0, n, 8)]
+    links += [(f"/{i}", "s", k, f"/{(i + k + 1) % n}") for i in range(n) for k in (0, 1, 1)]
+    spec = jobs.JobSpec("ring", ({"url": "/", "seekers": ["s"]},), {"s": L.SeekerSpec((L.Rule("/", 99, 0, "snapshot", ("s",)),))})
+    return spark.createDataFrame(links, "src_url STRING, seeker STRING, pos INT, link STRING"), spec
+
+
+def _visited(result):
+    return sorted((r.round, r.url, r.hop, list(r.seekers)) for r in result.visits.collect())
+
+
+@pytest.mark.parametrize("lost", ["links", "rounds/round=0", "rounds/round=3", "log/round=2"])
+def test_a_crawl_goes_on_after_its_driver_was_lost(spark, monkeypatch, lost):
+    links, spec = _ring(spark)
+    whole = crawl(spark, spec, links=links)
+    folder, written = run_folder(spark, "lost"), []
+    plain_cut, plain_commit = plans.cut_lineage, plans.CrawlLog.commit
+
+    def cut(df, path):
+        if path.endswith(f"/{lost}"):
+            # the round's files are there, its line in the log is not
+            plain_cut(df, path)
+            raise KeyboardInterrupt
+        written.append(path.removeprefix(folder))
+        return plain_cut(df, path)
+
+    def commit(log, number, value):
+        if lost == "links" and number == -1 or lost == f"log/round={number}":
+            raise KeyboardInterrupt
+        plain_commit(log, number, value)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plans, "cut_lineage", cut)
+        patch.setattr(plans.CrawlLog, "commit", commit)
+        with pytest.raises(KeyboardInterrupt):
+            crawl(spark, spec, links=links, folder=folder)
+    before = set(written)
+    written.clear()
+    with monkeypatch.context() as patch:
+        patch.setattr(plans, "cut_lineage", lambda df, path: written.append(path.removeprefix(folder)) or plain_cut(df, path))
+        again = crawl(spark, spec, links=links, folder=folder)
+    assert _visited(again) == _visited(whole) and again.rounds == whole.rounds
+    if "/rounds/round=1" in before:
+        # neither the links nor a committed round are made a second time
+        assert not {"/tasks", "/rounds/round=0", "/rounds/round=1"} & set(written)
+    assert _visited(crawl(spark, spec, links=links, folder=folder)) == _visited(whole)
+    other = jobs.JobSpec("ring", ({"url": "/1", "seekers": ["s"]},), spec.seekers)
+    with pytest.raises(ValueError):
+        crawl(spark, other, links=links, folder=folder)
+
+
+def test_rounds_of_one_crawl_may_be_asked_for_in_turn(spark):
+    links, spec = _ring(spark)
+    whole, folder = crawl(spark, spec, links=links), run_folder(spark, "turns")
+    for n in range(1, whole.rounds + 2):
+        part = crawl(spark, spec, links=links, folder=folder, max_rounds=n)
+        assert part.rounds == min(n, whole.rounds)
+    assert _visited(part) == _visited(whole) and part.pending.count() == 0
+
+
+def test_hubs_lie_in_pieces_and_lose_no_link(spark, monkeypatch):
+    links, spec = _ring(spark)
+    want = sorted((r.url, r.hop, r.n) for r in crawl(spark, spec, links=links).tasks.collect())
+    folder = run_folder(spark, "hubs")
+    buckets = plans.lay_out(links, spec.seekers, folder, hub=2)
+    graph = plans.link_graph(spark, spec.seekers, folder, buckets)
+    assert [(r.src_url, r.pieces) for r in graph.hubs.collect()] == [("/", 3)]
+    assert graph.links.filter("source LIKE '%/'").select("source").distinct().count() > 1
+    monkeypatch.setattr(plans, "lay_out", lambda *a: buckets)
+    monkeypatch.setattr(plans, "FEW_SOURCES", 3)
+    result = crawl(spark, spec, links=links, folder=folder)
+    assert sorted((r.url, r.hop, r.n) for r in result.tasks.collect()) == want
+
+
+def test_a_round_does_not_move_links(spark):
+    links, spec = _ring(spark)
+    folder = run_folder(spark, "plan")
+    graph = plans.link_graph(spark, spec.seekers, folder, plans.lay_out(links, spec.seekers, folder))
+    visits = spark.range(5000).select(
+        F.concat(F.lit("/"), F.col("id").cast("string")).alias("url"), F.col("id").alias("seq"), F.lit(0).alias("hop"),
+        F.array(F.lit("s")).alias("seekers"), F.lit("").alias("status_code"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans._next_tasks(visits, graph)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # the one exchange is that of the frontier
+    assert plan.count("Exchange hashpartitioning(source") == 1 and "Bucketed: true" in plan
+    few = plans._next_tasks(visits.filter("seq < 2"), graph)._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: [^\]]*In\(source", few)
