@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import pages, with_nodes
+from sitegraph.catalog.tables import pages, table
 from sitegraph.functions.urls import resolve_url
 from sitegraph.operators import links as L
 from sitegraph.operators.mine import custom_seeker
@@ -180,3 +180,28 @@ def _match_rule_table(spark, sf):
     links = _links(spark, sf).withColumn("rule_set", F.concat(F.lit("set"), (F.col("page_id") % 3).cast("string")))
     matched = L.match_rule_table(links, spark.createDataFrame(rows, RULE))
     return matched.select("page_id", F.col("pos").cast("bigint"), "rule_no")
+
+
+@query("match_many_rules", """
+    SELECT l_orderkey, l_linenumber, CAST(l_partkey AS INT) AS rule_no FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 2000000000 FROM lineitem WHERE l_partkey % 3 <> 0 OR l_partkey % 100 = 0""")
+def _match_many_rules(spark, sf):
+    # a rule for each part, a thousand to a set, and one that all links of a set match;
+    # every third stops, every hundredth begins with no literal text
+    key = F.col("p_partkey").cast("string")
+    part = table(spark, sf, "part")
+    open_end, free = F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 100 == 0
+    regex = F.when(free, F.concat(F.lit(".*/"), key, F.lit("$"))).when(
+        open_end, F.concat(F.lit("^/part/"), key, F.lit(r"(?:\?.*|/.*)?$"))).otherwise(F.concat(F.lit("/part/"), key, F.lit("$")))
+    thousand = F.floor(F.col("p_partkey") / 1000).cast("string")
+
+    def rule(no, pattern, stop):
+        return F.struct(no.cast("int").alias("rule_no"), pattern.alias("regex"), stop.alias("stop_if_matched"))
+
+    own = part.select(thousand.alias("rule_set"), F.inline(F.array(rule(F.col("p_partkey"), regex, ~open_end & ~free))))
+    shared = part.select(thousand.alias("rule_set")).distinct().select(
+        "rule_set", F.inline(F.array(rule(F.lit(2000000000), F.lit("/part/"), F.lit(False)))))
+    links = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.floor(F.col("l_partkey") / 1000).cast("string").alias("rule_set"),
+        F.concat(F.lit("/part/"), F.col("l_partkey").cast("string")).alias("link"))
+    return L.match_rule_table(links, own.unionByName(shared)).select("l_orderkey", "l_linenumber", "rule_no")

@@ -116,17 +116,61 @@ def match_rules(links: DataFrame, rules: Sequence[Rule], url: str = "link") -> D
         .select(*links.columns, "rule.*").drop("stop")
 
 
+_META = r"\\\[\](){}.*+?^$|"
+_LITERAL = rf"^\^?((?:(?:[^{_META}]|\\[^A-Za-z0-9])(?![*?{{]))*)"
+
+
+def literal_prefix(regex: Column) -> Column:
+    """Text with which every match must begin; empty where the pattern names none, or
+    where alternatives stand outside of groups."""
+    outer = F.regexp_replace(F.regexp_replace(regex, r"(?s)\\.", ""), r"\[[^\]]*\]", "")
+    for _ in range(6):
+        outer = F.regexp_replace(outer, r"\([^()]*\)", "")
+    found = F.regexp_replace(F.regexp_extract(regex, _LITERAL, 1), r"(?s)\\(.)", "$1")
+    unclear = outer.contains("|") | regex.contains("\\Q") | regex.isNull()
+    return F.when(unclear, "").otherwise(found)
+
+
+def rule_index(rules: DataFrame, on: str = "rule_set") -> DataFrame:
+    """One row per rule set: its rules in as many slots (``_slots``) as there are rules, by
+    the hash of their literal prefix, and the lengths that prefixes have."""
+    fields = ["rule_no", *[c for c in rules.columns if c not in (on, "rule_no")]]
+    sized = rules.groupBy(on).agg(F.count("*").alias("_m"))
+    placed = rules.select(on, F.struct(*fields).alias("_rule"), literal_prefix(F.col("regex")).alias("_prefix"))
+    placed = placed.join(sized, on).withColumn("_slot", _slot(F.col("_prefix"), F.col("_m")))
+    held = placed.groupBy(on, "_slot").agg(
+        F.collect_list(F.struct("_rule", "_prefix")).alias("_held"), F.collect_set(F.length("_prefix")).alias("_sizes"))
+    every = sized.select(on, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)).alias("_slot"))
+    slots = every.join(held, [on, "_slot"], "left").groupBy(on).agg(
+        F.array_sort(F.collect_list(F.struct("_slot", "_held"))).alias("_all"),
+        F.array_distinct(F.flatten(F.collect_list("_sizes"))).alias("_lengths"))
+    return slots.select(on, F.col("_all._held").alias("_slots"), "_lengths")
+
+
+def _slot(prefix: Column, slots: Column) -> Column:
+    return F.pmod(F.xxhash64(prefix), slots.cast("bigint"))
+
+
 def match_rule_table(links: DataFrame, rules: DataFrame, url: str = "link", on: str = "rule_set") -> DataFrame:
     """Same with rules from a table, e.g. one rule set per store: links carry the
     name of their rule set. ``stop_if_matched`` is applied per link.
 
     The rules of a set travel as one row, so a link meets them in one join, and
-    matching and stopping happen inside its row.
+    matching and stopping happen inside its row. A link is compared with those rules
+    only whose literal prefix it begins with: one look into the set's slots for each
+    length that prefixes have. Rules without such a prefix meet every link.
     """
-    fields = ["rule_no", *[c for c in rules.columns if c not in (on, "rule_no")]]
-    packed = rules.groupBy(on).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rules"))
-    hits = F.filter("_rules", lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["regex"], F.lit(")"))))
-    met = once(links.join(packed, on), {"_hits": F.when(F.col(url).isNotNull(), hits)})
+    met = links.join(rule_index(rules, on), on)
+
+    def begun(length: Column) -> Column:
+        head = F.left(F.col(url), length)
+        slot = F.get("_slots", _slot(head, F.size("_slots")).cast("int"))
+        return F.coalesce(F.filter(slot, lambda r: r["_prefix"] == head)["_rule"], F.array())
+
+    likely = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length(url)), begun))
+    met = once(met, {"_likely": F.when(F.col(url).isNotNull(), likely)})
+    hits = F.filter("_likely", lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["regex"], F.lit(")"))))
+    met = once(met, {"_hits": F.array_sort(hits)})
     stop = F.get(F.filter("_hits", lambda r: r["stop_if_matched"]), F.lit(0))["rule_no"]
     met = met.withColumn("_stop", stop)
     kept = F.filter("_hits", lambda r: F.col("_stop").isNull() | (r["rule_no"] <= F.col("_stop")))

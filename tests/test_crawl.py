@@ -135,6 +135,42 @@ def test_rule_tables_stop_per_link(spark):
     assert sorted((h.rule_set, h.link, h.rule_no) for h in hits) == [("q", "/ab", 0), ("r", "/ab", 0), ("r", "/b", 1)]
 
 
+PREFIXES = {
+    "http://a.example/x": "http://a", r"http://a\.example/x": "http://a.example/x", "^/a": "/a", "/ab?c": "/a", "/ab*": "/a", "/ab+c": "/ab",
+    "/ab{0}": "/a", "/a|/b": "", "/a(b|c)": "/a", "/a(b|(c|d))x|y": "", "/a[|]b": "/a", r"/a\|b": "/a|b", "(?i)/a": "", r"/a\d": "/a",
+    r"\Q/a|b\E": "", ".*x": "", "": "", "/ü-é/?": "/ü-é", r"/a\.?b": "/a", r"/a\\|b": "", "/a$": "/a", "(/a)?/b": "",
+}
+
+
+def test_literal_prefix(spark):
+    rows = spark.createDataFrame([(r,) for r in [*PREFIXES, None]], "regex STRING")
+    got = {r.regex: r.prefix for r in rows.select("regex", L.literal_prefix(F.col("regex")).alias("prefix")).collect()}
+    assert got == {**PREFIXES, None: ""}
+
+
+def test_indexed_rules_match_as_each_rule_alone(spark):
+    import random
+
+    rnd, parts = random.Random(5), ["/a", "/b", "/ab", "x", "é", ".h", "|", "?q", "/a/b"]
+    patterns = [p for p in PREFIXES if not p.startswith("\\Q")] + [
+        re.escape("".join(rnd.choices(parts, k=rnd.randint(1, 3)))) + rnd.choice(["", "$", ".*", "?", "+", "(/.*)?$", "|/b"]) for _ in range(300)]
+    urls = [None, "", "/ü-é", "http://a.example/x"] + ["".join(rnd.choices(parts, k=rnd.randint(1, 5))) for _ in range(120)]
+    stops = [rnd.random() < 0.02 for _ in patterns]
+    rules = spark.createDataFrame(
+        [(f"s{n % 2}", n, p, 1, 0, "f", ["s"], [], stops[n]) for n, p in enumerate(patterns)] + [("s0", 9999, None, 1, 0, "f", [], [], False)], RULE)
+    links = spark.createDataFrame([(f"s{k}", i, u) for k in (0, 1, 2) for i, u in enumerate(urls)], "rule_set STRING, i INT, link STRING")
+    got = sorted((r.rule_set, r.i, r.rule_no) for r in L.match_rule_table(links, rules).collect())
+    want = []
+    for k in (0, 1):
+        for i, u in enumerate(urls):
+            for n in range(k, len(patterns), 2):
+                if u is not None and re.match(f"(?:{patterns[n]})" if not patterns[n].startswith("(?i)") else f"(?i:{patterns[n][4:]})", u):
+                    want.append((f"s{k}", i, n))
+                    if stops[n]:
+                        break
+    assert got == sorted(want) and len(want) > 500
+
+
 def test_scope(spark, page):
     pages = page("<a href=1></a><div class=x><a href=2></a></div><div class=x><a href=3></a></div>", "<a href=4></a>", "<div class=x></div><a href=5></a>")
     links = L.extract_links(pages, sel("div", class_="x")).collect()
