@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
-from sitegraph.catalog.tables import pages, table
+from sitegraph.catalog.tables import dealt, pages, table
 from sitegraph.functions.urls import resolve_url
 from sitegraph.operators import links as L
 from sitegraph.operators.mine import custom_seeker
@@ -201,7 +201,7 @@ def _match_many_rules(spark, sf):
     own = part.select(thousand.alias("rule_set"), F.inline(F.array(rule(F.col("p_partkey"), regex, ~open_end & ~free))))
     shared = part.select(thousand.alias("rule_set")).distinct().select(
         "rule_set", F.inline(F.array(rule(F.lit(2000000000), F.lit("/part/"), F.lit(False)))))
-    links = table(spark, sf, "lineitem").select(
+    links = dealt(table(spark, sf, "lineitem"), "l_orderkey").select(
         "l_orderkey", "l_linenumber", F.floor(F.col("l_partkey") / 1000).cast("string").alias("rule_set"),
         F.concat(F.lit("/part/"), F.col("l_partkey").cast("string")).alias("link"))
     return L.match_rule_table(links, own.unionByName(shared)).select("l_orderkey", "l_linenumber", "rule_no")
