@@ -147,6 +147,10 @@ def rule_index(rules: DataFrame, on: str = "rule_set") -> DataFrame:
     return slots.select(on, F.col("_all._held").alias("_slots"), "_lengths")
 
 
+#: characters of all rules, as JSON, up to which every executor gets them
+COPIED = 8 << 20
+
+
 def _slot(prefix: Column, slots: Column) -> Column:
     return F.pmod(F.xxhash64(prefix), slots.cast("bigint"))
 
@@ -158,9 +162,13 @@ def match_rule_table(links: DataFrame, rules: DataFrame, url: str = "link", on:
     The rules of a set travel as one row, so a link meets them in one join, and
     matching and stopping happen inside its row. A link is compared with those rules
     only whose literal prefix it begins with: one look into the set's slots for each
-    length that prefixes have. Rules without such a prefix meet every link.
+    length that prefixes have. Rules without such a prefix meet every link. The rules'
+    size is summed up first: up to ``COPIED`` characters they go to the links, or a small
+    link table would go to the few tasks that hold rules; beyond it Spark chooses.
     """
-    met = links.join(rule_index(rules, on), on)
+    index = rule_index(rules, on)
+    size = rules.agg(F.sum(F.length(F.to_json(F.struct(*rules.columns))))).head()[0]
+    met = links.join(F.broadcast(index) if (size or 0) <= COPIED else index, on)
 
     def begun(length: Column) -> Column:
         head = F.left(F.col(url), length)
