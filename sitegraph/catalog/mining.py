@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from sitegraph.catalog import query
@@ -246,7 +248,9 @@ def _mine_report(spark, sf):
 
 @query("custom_miner", "SELECT url, length(html) AS size, CAST((length(html) - length(replace(html, '<a ', ''))) / 3 AS BIGINT) AS links FROM pages")
 def _custom_miner(spark, sf):
-    def extract(page: dict) -> list[dict]:
-        return [{"url": page["url"], "size": len(page["html"]), "links": page["html"].count("<a ")}]
+    def extract(batch: pa.RecordBatch) -> pa.Table:
+        html = batch.column("html")
+        links = pc.count_substring(html, "<a ").cast(pa.int64())
+        return pa.table([batch.column("url"), pc.utf8_length(html).cast(pa.int64()), links], ["url", "size", "links"])
 
-    return M.custom_miner(pages(spark, sf), extract, "url STRING, size BIGINT, links BIGINT")
+    return M.custom_miner(pages(spark, sf).select("url", "html"), extract, "url STRING, size BIGINT, links BIGINT")

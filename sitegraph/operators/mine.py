@@ -8,9 +8,10 @@ are Column expressions on that row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -396,18 +397,16 @@ def record_report(records: DataFrame) -> DataFrame:
     return records.select(pretty_json(F.struct(*sorted(records.columns))).alias("record"))
 
 
-def custom_miner(pages: DataFrame, extract: Callable[[dict], list[dict]], schema: str) -> DataFrame:
-    """Hook for a miner in Python: ``extract(page row) -> records``, batch by batch."""
-    names = [f.strip().split()[0] for f in schema.split(",")]
+def custom_miner(pages: DataFrame, extract: Callable[[pa.RecordBatch], pa.Table], schema: str) -> DataFrame:
+    """Hook for a miner in Python, as a table function: ``extract`` gets a batch of page rows and
+    gives the table of their records, any number per page, with the columns of ``schema``."""
 
-    def run(batches):
-        import pandas as pd
+    @F.arrow_udtf(returnType=schema)
+    class Miner:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            yield extract(batch)
 
-        for batch in batches:
-            records = [r for row in batch.to_dict("records") for r in extract(row)]
-            yield pd.DataFrame([[r.get(n) for n in names] for r in records], columns=names)
-
-    return pages.mapInPandas(run, schema)
+    return Miner(pages.asTable())
 
 
 def custom_seeker(pages: DataFrame, inspect: Callable[[DataFrame], DataFrame]) -> DataFrame:
