@@ -3,8 +3,8 @@
 Each table cuts space by ``hashes`` random directions into cells of a width. A
 query visits its own cell and cells beside it, in the order of how near its
 projections lie to the borders that must be crossed, which is the order of the
-estimated chance to hold a neighbour. What the visited cells hold is compared
-exactly.
+estimated chance to hold a neighbour. What the visited cells of all tables hold
+is merged, and each vector found is compared once, exactly.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from sitegraph.llm.common import saved, table
 from sitegraph.llm.words import mix
 
-#: vectors, and queries, that meet in one task at most
+#: vectors, and queries, that meet in one task: about so many at most
 BLOCK = 8192
+ASKED = 32768
+
+#: stretches of the first direction by which vectors are laid out, at most; fuller ones are dealt out by hash
+STRETCHES = 4096
 
 
 @dataclass(frozen=True)
@@ -47,11 +51,15 @@ class Hashing:
 
     def buckets(self, cells: np.ndarray) -> np.ndarray:
         """One number per cell (last axis), each table's apart from the others'."""
-        out = np.zeros(cells.shape[:-1], dtype=np.uint64)
+        out = np.zeros(cells.shape[:-1], dtype=np.uint64) + np.arange(self.tables, dtype=np.uint64).reshape(-1, *[1] * (cells.ndim - 2))
         for k in range(cells.shape[-1]):
             out = mix(out + cells[..., k].astype(np.int64).view(np.uint64))
         return out.view(np.int64)
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """Tables x vectors: the bucket of each vector."""
+        return self.buckets(np.floor(self.places(x)))
+
     def visits(self, x: np.ndarray) -> np.ndarray:
         """Tables x vectors x probes: the buckets to visit, likeliest first."""
         place = self.places(x)
@@ -86,6 +94,34 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (size.n if size else 0)).withColumn("v", F.col("v").cast("array<float>" if "float" in kind else "array<double>"))
 
 
+class Layout:
+    """Blocks of at most about ``size`` rows that lie near each other: stretches of equal numbers of
+    rows along the first direction (column ``along``), the fuller ones dealt out by column ``deal``."""
+
+    def __init__(self, rows: DataFrame, size: int) -> None:
+        n = min(STRETCHES, max(1, -(-rows.count() // size)))
+        cuts = rows.agg(F.percentile_approx("along", [k / n for k in range(1, n)], 10 * n)).head()[0] if n > 1 else []
+        self.cuts = np.unique(np.array(cuts, dtype=np.float64))
+        at = self.stretch(F.col("along"))
+        counts = {r.at: r.n for r in rows.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}
+        self.parts = np.array([-(-counts.get(k, 1) // size) for k in range(len(self.cuts) + 1)], dtype=np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.total = int(self.parts.sum())
+
+    def stretch(self, along: F.Column) -> F.Column:
+        cuts = self.cuts
+
+        @F.arrow_udf("int")
+        def find(x: pa.Array) -> pa.Array:
+            return pa.array(np.searchsorted(cuts, x.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+        return find(along)
+
+    def blocks(self, along: np.ndarray, deal: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.cuts, along, side="right")
+        return self.first[at] + deal.astype(np.int64) % self.parts[at]
+
+
 def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, how: Hashing | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of largest inner product found for each query row.
 
@@ -99,65 +135,98 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, h
     query's cells hold fewer than ``k`` it is compared with every vector. An
     empty table gives no rows. Other columns are not looked at.
 
-    All rows are indexed. Cells that hold many vectors, or are visited by many
-    queries, are dealt into blocks of at most about ``BLOCK`` on either side.
+    All rows are indexed. Vectors and queries are laid out in blocks. A join of cells
+    and block numbers, without vectors, tells which blocks meet: those of which one
+    holds a cell that a query of the other visits. Each block goes once to every block
+    it meets, and there the candidates of all tables are one set before they are compared.
     """
     how = how or Hashing()
-    rows = saved(usable(vectors), "vectors")
-    element = "FLOAT" if "float" in dict(rows.dtypes)["v"] else "DOUBLE"
-    first = rows.select(F.size("v").alias("n")).head()
-    if first is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    dim = first.n
+    found = usable(vectors)
+    element = "FLOAT" if "float" in dict(found.dtypes)["v"] else "DOUBLE"
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = rows.agg(F.sqrt(F.max(norm))).head()[0]
-
-    def place(query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
-                    ids, v = part.column(0), part.column(1)
-                    x = unit_ball(_matrix(v, dim).astype(np.float64), longest, query)
-                    found = how.visits(x) if query else how.buckets(np.floor(how.places(x)))[:, :, None]
-                    for t in range(how.tables):
-                        for p in range(found.shape[2]):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(ids), t, dtype=np.int32)), pa.array(found[t, :, p]), ids, v],
-                                ["tab", "bucket", "id", "v"])
-        return run
-
-    schema = f"tab INT, bucket BIGINT, id BIGINT, v ARRAY<{element}>"
+    first = found.agg(F.max(F.size("v")).alias("dim"), F.sqrt(F.max(norm)).alias("longest")).head()
+    if first.dim is None:
+        return found.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    dim, longest = first.dim, first.longest
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            for part in (batch.slice(n, 1024) for n in range(0, batch.num_rows, 1024)):
+                ids, v = part.column(0), part.column(1)
+                along = how.places(unit_ball(_matrix(v, dim).astype(np.float64), longest, False))[0, :, 0]
+                # written once: repeated rows are dealt apart by where they were read
+                deal = mix(ids.to_numpy().view(np.uint64) + np.arange(at, at + len(ids), dtype=np.uint64)) >> np.uint64(33)
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([ids, v, pa.array(along), pa.array(deal.astype(np.int64))], ["vec_id", "v", "along", "deal"])
+
+    rows = saved(found.mapInArrow(lay, f"vec_id BIGINT, v ARRAY<{element}>, along DOUBLE, deal BIGINT"), "vectors")
     asked = rows.filter(queries)
-    points = saved(rows.mapInArrow(place(False), schema), "points")
-    visits = saved(asked.mapInArrow(place(True), schema), "visits")
-    key = ["tab", "bucket"]
+    p, q = Layout(rows, BLOCK), Layout(asked, ASKED)
+
+    def placed(df: DataFrame, layout: Layout, name: str) -> DataFrame:
+        @F.arrow_udf("bigint")
+        def block(along: pa.Array, deal: pa.Array) -> pa.Array:
+            return pa.array(layout.blocks(along.to_numpy(zero_copy_only=False), deal.to_numpy(zero_copy_only=False)))
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        return df.select(F.col("vec_id").alias("id"), "v", block("along", "deal").alias(name))
 
-    # visited cells that hold something, with the blocks of either side
-    units = saved(parts(points, "np").join(parts(visits, "nq"), key), "cells")
+    points, seekers = placed(rows, p, "p"), placed(asked, q, "q")
 
-    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        df = df.join(units, key).withColumn(mine, F.expr(f"cast(pmod(xxhash64(id), {own}) as int)"))
-        return df.withColumn(theirs, F.explode(F.expr(f"sequence(0, {other} - 1)"))).select(*key, "p", "q", "id", "v")
+    def cells(query: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in (batch.slice(n, 1024) for n in range(0, batch.num_rows, 1024)):
+                    x = unit_ball(_matrix(part.column(1), dim).astype(np.float64), longest, query)
+                    got = how.visits(x) if query else how.home(x)[:, :, None]
+                    block = np.broadcast_to(part.column(2).to_numpy()[None, :, None], got.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), pa.array(block.reshape(-1))], ["cell", "block"])
+        return run
 
-    group = [*key, "p", "q"]
-    scored = _scores(dealt(visits, "nq", "np", "q", "p").groupBy(*group), dealt(points, "np", "nq", "p", "q").groupBy(*group), dim, k)
-    scored = saved(scored, "scored")
+    held = points.mapInArrow(cells(False), "cell BIGINT, block BIGINT").select("cell", F.col("block").alias("p")).distinct()
+    visited = seekers.mapInArrow(cells(True), "cell BIGINT, block BIGINT").select("cell", F.col("block").alias("q")).distinct()
+    meet = saved(held.join(visited, "cell").select("p", "q").distinct(), "meet")
+    scored = saved(_scores(seekers.join(meet, "q"), points.join(meet, "p"), dim, k, how, longest), "scored")
     found = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     # fewer than k found: all vectors are fewer, or the cells were thin
     thin = asked.select("vec_id").distinct().join(
         found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("c")), "vec_id", "left").filter(f"coalesce(c, 0) < {k}")
-    rest = asked.join(thin.select("vec_id"), "vec_id", "left_semi").select("vec_id", "v")
+    rest = saved(asked.join(thin.select("vec_id"), "vec_id", "left_semi").select("vec_id", "v", "along", "deal"), "thin")
     if rest.head() is not None:
-        found = found.unionByName(_against_all(rest, rows, dim, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        again = Layout(rest, ASKED)
+        few = placed(rest, again, "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(p.total - 1))))
+        every = points.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(again.total - 1))))
+        more = _scores(few, every, dim, k)
+        found = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _top(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int) -> pa.Table:
-    """The ``k`` best of the points for each query, some queries at a time.
+class Cells:
+    """The points of a block by the cells of every table, to be asked for candidates."""
+
+    def __init__(self, how: Hashing, longest: float, points: np.ndarray) -> None:
+        self.how, self.longest, self.n = how, longest, len(points)
+        home = how.home(unit_ball(points, longest, False))
+        self.order = np.argsort(home, axis=1, kind="stable")
+        self.held = np.take_along_axis(home, self.order, axis=1)
+
+    def candidates(self, queries: np.ndarray) -> np.ndarray:
+        """Queries x points: whether a cell that the query visits in any table holds the point."""
+        out = np.zeros((len(queries), self.n), dtype=bool)
+        visits = self.how.visits(unit_ball(queries, self.longest, True))
+        who = np.repeat(np.arange(len(queries)), visits.shape[2])
+        for table_visits, held, order in zip(visits, self.held, self.order, strict=True):
+            wanted = table_visits.reshape(-1)
+            low = np.searchsorted(held, wanted)
+            size = np.searchsorted(held, wanted, side="right") - low
+            at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+            out[np.repeat(who, size), order[at]] = True
+        return out
+
+
+def _top(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int, cells: Cells | None = None) -> pa.Table:
+    """The ``k`` best of the points (with ``cells``: of the candidates) for each query, some queries at a time.
 
     A product of matrices finds all points that may be among them, up to twice
     the rounding of a sum of so many terms; their own scores then decide, and the id.
@@ -170,6 +239,8 @@ def _top(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int)
         s = part @ p.T
         slack = 2 * p.shape[1] * (np.finfo(np.float64).eps * np.linalg.norm(part, axis=1)[:, None] * length[None, :] + 5e-324)
         s[ids[:, None] == pid[None, :]] = -np.inf
+        if cells is not None:
+            s[~cells.candidates(part)] = -np.inf
         m = min(k, len(pid))
         least = -np.partition(slack - s, m - 1, axis=1)[:, m - 1:m]
         i, j = np.nonzero((s + slack >= least) & (s > -np.inf))
@@ -194,26 +265,18 @@ def _top(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int)
 _FOUND = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
 
 
-def _scores(visits, points, dim: int, k: int) -> DataFrame:
+def _scores(seekers: DataFrame, points: DataFrame, dim: int, k: int, how: Hashing | None = None, longest: float = 1.0) -> DataFrame:
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
         if not q.num_rows or not p.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
         q, p = q.combine_chunks(), p.combine_chunks()
         ids = [t.column("id").to_numpy() for t in (q, p)]
         v = [_matrix(t.column("v").combine_chunks(), dim) for t in (q, p)]
-        return _top(ids[0], v[0], ids[1], v[1], k)
-
-    return visits.cogroup(points).applyInArrow(run, _FOUND)
-
+        return _top(ids[0], v[0], ids[1], v[1], k, how and Cells(how, longest, v[1].astype(np.float64)))
 
-def _against_all(asked: DataFrame, rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """Each of the few queries against all vectors: blocks of queries meet every block of vectors."""
-    blocks = max(1, -(-rows.count() // BLOCK))
-    groups = max(1, -(-asked.count() // BLOCK))
-    key = lambda n, name: F.expr(f"cast(pmod(xxhash64(vec_id), {n}) as int)").alias(name)
-    q = asked.select(F.col("vec_id").alias("id"), "v", key(groups, "q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"))
-    p = rows.select(F.col("vec_id").alias("id"), F.col("v").alias("v"), key(blocks, "p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
-    return _scores(q.groupBy("p", "q"), p.groupBy("p", "q"), dim, k)
+    # both sides come from one table: columns of their own keep them apart
+    sides = [side.select(*[F.col(c).alias(c) for c in ("id", "v", "p", "q")]).groupBy("p", "q") for side in (seekers, points)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, _FOUND)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:

@@ -449,3 +449,26 @@ def test_hot_cell_is_dealt_in_blocks(spark, monkeypatch):
     got = sorted(rows_of(ann.nearest(df, k=4)))
     want = [(q, r + 1, v) for q in range(0, 100, 20) for r, v in enumerate([v for v in range(2, 100, 3) if v != q][:4])]
     assert [r[:3] for r in got] == want
+
+
+def test_blocks_change_no_neighbour(spark, monkeypatch):
+    """Candidates are those of the cells, however vectors are laid out; repeated rows are dealt apart."""
+    from sitegraph.llm import ann
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(200, 8)), np.tile(rng.normal(size=8), (150, 1))])
+    rows = [(k, [float(y) for y in v]) for k, v in enumerate(x)] + [(20, [float(y) for y in x[20]])] * 100
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    how = Hashing(probes=60)
+    whole = sorted(rows_of(nearest(df, k=3, how=how)))
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "ASKED", 4)
+    assert sorted(rows_of(nearest(df, k=3, how=how))) == whole
+    # against the cells themselves
+    ball = [ann.unit_ball(x, np.sqrt((x * x).sum(1).max()), query) for query in (False, True)]
+    home, visits = how.home(ball[0]), how.visits(ball[1])
+    for q in range(0, 350, 20):
+        near = np.array([k for k in range(350) if k != q and any(home[t, k] in visits[t, q] for t in range(how.tables))])
+        if len(near) >= 3:
+            s = np.einsum("nd,nd->n", x[near], x[[q] * len(near)])
+            assert [r[2] for r in whole if r[0] == q] == [near[k] for k in np.lexsort((near, -s))[:3]]
