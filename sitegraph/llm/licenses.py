@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import saved, table
+from sitegraph.llm.common import saved, sized, table
 
 _GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License "
         "as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.")
@@ -162,6 +162,21 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+#: parts that the files of a directory are dealt into
+PARTS = 32
+
+
+def with_nearest(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows with what is near their directory. A few directories are copied to all tasks; of many,
+    each is there once per part, so that one with a third of all files is no task of its own."""
+    copied = sized(near)
+    if copied is not near:
+        return rows.join(copied, "dir", "left")
+    part = F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")
+    parts = near.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", part).join(parts, ["dir", "_part"], "left").drop("_part")
+
+
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """``path, own, score, license, inherited_from`` of every row of ``files(path, text)``.
 
@@ -192,7 +207,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
     near = up.join(granted.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(
         F.max_by(F.struct("license", "up"), "depth").alias("near"))
     rows = files.select("path", directory(F.col("path")).alias("dir"))
-    out = rows.join(own.select("path", F.col("license").alias("own"), "score"), "path", "left").join(near, "dir", "left")
+    out = with_nearest(rows.join(own.select("path", F.col("license").alias("own"), "score"), "path", "left"), saved(near, "near"))
     return out.select("path", "own", "score", F.coalesce("own", "near.license").alias("license"),
                       F.when(F.col("own").isNull(), F.col("near.up")).alias("inherited_from"))
 

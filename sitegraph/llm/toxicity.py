@@ -163,11 +163,13 @@ def dense_features(w: Words, entries: np.ndarray, weights: np.ndarray, second: n
     bang = (w.raw == 33) | (w.raw == 63)
     # a digit or mark between letters, as in a disguised word
     odd = np.zeros(len(w.raw), dtype=bool)
+    # three bytes of one document
+    one = of_byte[2:] == of_byte[:-2]
     if len(w.raw) > 2:
-        odd[1:-1] = letters[:-2] & letters[2:] & (marks | _DIGITS[w.raw])[1:-1]
+        odd[1:-1] = one & letters[:-2] & letters[2:] & (marks | _DIGITS[w.raw])[1:-1]
     same = np.zeros(len(w.raw), dtype=bool)
     if len(w.raw) > 2:
-        same[2:] = letters[2:] & (w.raw[2:] == w.raw[1:-1]) & (w.raw[1:-1] == w.raw[:-2])
+        same[2:] = one & letters[2:] & (w.raw[2:] == w.raw[1:-1]) & (w.raw[1:-1] == w.raw[:-2])
     return np.stack([
         count(doc[hit]), count(doc[hit], weight[hit]) / n, count(kinds), count(doc, (stem > 0).astype(float)) / n, heaviest,
         count(doc[hit[near]]), count(doc[you]) / n,
