@@ -1,8 +1,9 @@
 """Keyed state of links in Spark's state store: history, and revisits with event-time timers.
 
 Rows of a batch are combined by (URL, second or time) inside the tasks that read them, so
-a URL that owns half of all rows sends its distinct times only. State lives in RocksDB,
-and a batch touches the state of its own URLs only.
+a URL that owns half of all rows sends its distinct times only. State lives in RocksDB.
+A call of Python per URL costs tens of milliseconds, so link history is kept by buckets
+of URLs, each folded as columns; a batch touches the buckets of its own URLs only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sitegraph.schemas import LINK_STATE
 
@@ -34,7 +36,10 @@ def _combined(by: list[str], how: dict[str, str]):
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            held = rows.groupby(by, as_index=False, sort=False).agg(how)
+            # texts go by the numbers of their order: pandas takes the greatest of numbers much faster
+            code, names = pd.factorize(rows["status"], sort=True)
+            held = rows.assign(status=code).groupby(by, as_index=False, sort=False).agg(how)
+            held["status"] = np.asarray(names, dtype=object)[held["status"]]
             if len(held) > COMBINED:
                 yield held
                 held = None
@@ -44,39 +49,47 @@ def _combined(by: list[str], how: dict[str, str]):
     return run
 
 
-class _History(StatefulProcessor):
-    """Last start, last end, last status and failures in a row of a URL."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.link = handle.getValueState("link", "started BIGINT, ended BIGINT, status STRING, failed INT")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        started, ended, status, failed = self.link.get() if self.link.exists() else (None, None, "", 0)
-        # chunks come in any order: only what can be combined in any order is kept of them
-        ok_at, times, counts = None, [], []
-        for chunk in rows:
-            at = chunk["at"].to_numpy()
-            begun, done = chunk["starts"].to_numpy() > 0, chunk["ends"].to_numpy() > 0
-            if begun.any():
-                started = max(int(at[begun].max()), -(1 << 63) if started is None else started)
-            if done.any():
-                last = int(at[done].max())
-                if ended is None or last >= ended:
-                    named = max(chunk["status"][(at == last) & done])
-                    ended, status = last, max(named, status) if last == ended else named
-            good = chunk["good"].to_numpy() > 0
-            if good.any():
-                ok_at = max(int(at[good].max()), -(1 << 63) if ok_at is None else ok_at)
-            bad = chunk["bad"].to_numpy()
-            times.append(at[bad > 0])
-            counts.append(bad[bad > 0])
-        times, counts = np.concatenate(times), np.concatenate(counts)
-        failed = int(counts[times > ok_at].sum()) if ok_at is not None else failed + int(counts.sum())
-        self.link.update((started, ended, status, failed))
-        yield pd.DataFrame({"url": [key[0]], "started": pd.array([started], "Int64"), "ended": pd.array([ended], "Int64"), "status": [status], "failed": [failed]})
-
-    def close(self) -> None:
-        pass
+#: groups of URLs that share a state, by the URL's hash; part of a checkpoint's layout
+BUCKETS = 4096
+#: the time of what has not been yet, among times in microseconds
+_NEVER = -(1 << 63)
+_LINK = "url STRING, started BIGINT, ended BIGINT, status STRING, failed INT"
+_LINKS = "url ARRAY<STRING>, started ARRAY<BIGINT>, ended ARRAY<BIGINT>, status ARRAY<STRING>, failed ARRAY<BIGINT>"
+
+
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per URL: last times, and the greatest status of its last end."""
+    last = rows["ended"] == rows.groupby("url", sort=False)["ended"].transform("max")
+    code, names = pd.factorize(rows["status"].where(last, ""), sort=True)
+    found = rows.assign(status=code).groupby("url", as_index=False, sort=False).max()
+    return found.assign(status=np.asarray(names, dtype=object)[found["status"]])
+
+
+def _history(key: tuple, chunks: Iterator[pd.DataFrame], links: GroupState) -> Iterator[pd.DataFrame]:
+    """Last start, last end, last status and failures in a row of the URLs of a bucket."""
+    # chunks come in any order: only what can be combined in any order is kept of them
+    new, bad = None, []
+    for chunk in chunks:
+        at = chunk["at"].to_numpy()
+        rows = pd.DataFrame({"url": chunk["url"], "status": chunk["status"], **{
+            to: np.where(chunk[c].to_numpy() > 0, at, _NEVER) for c, to in (("starts", "started"), ("ends", "ended"), ("good", "ok"))}})
+        new = _newest(rows if new is None else pd.concat([new, rows], ignore_index=True))
+        bad.append(chunk.loc[chunk["bad"] > 0, ["url", "at", "bad"]])
+    bad, ok = pd.concat(bad, ignore_index=True), new.set_index("url")["ok"]
+    bad = bad[bad["at"].to_numpy() > ok.reindex(bad["url"]).to_numpy()].groupby("url")["bad"].sum()
+    failed = bad.reindex(new["url"], fill_value=0).to_numpy()
+    new = new.assign(fresh=1, failed=failed)
+    if links.exists:
+        old = pd.DataFrame(dict(zip(("url", "started", "ended", "status", "failed"), links.get, strict=True)))
+        before = old.set_index("url")["failed"].reindex(new["url"], fill_value=0).to_numpy()
+        new["failed"] += np.where(new["ok"] == _NEVER, before, 0)
+        kept = old[~old["url"].isin(new["url"])].assign(ok=_NEVER, fresh=0)
+        met = _newest(pd.concat([old.assign(ok=_NEVER, fresh=0, failed=0), new], ignore_index=True))
+        new = pd.concat([kept, met[met["fresh"] > 0]], ignore_index=True)
+    links.update(tuple(new[c].tolist() for c in ("url", "started", "ended", "status", "failed")))
+    new = new[new["fresh"] > 0]
+    times = {c: pd.arrays.IntegerArray(new[c].to_numpy(dtype=np.int64), (new[c] == _NEVER).to_numpy()) for c in ("started", "ended")}
+    yield new[["url", "started", "ended", "status", "failed"]].assign(**times)
 
 
 def link_states(events: DataFrame) -> DataFrame:
@@ -95,8 +108,9 @@ def link_states(events: DataFrame) -> DataFrame:
         F.when(end, F.coalesce("status_code", F.lit(""))).otherwise("").alias("status"))
     shape = "url STRING, at BIGINT, starts INT, ends INT, good INT, bad INT, status STRING"
     combine = _combined(["url", "at"], {"starts": "sum", "ends": "sum", "good": "sum", "bad": "sum", "status": "max"})
-    found = rows.mapInPandas(combine, shape).groupBy("url").transformWithStateInPandas(
-        statefulProcessor=_History(), outputStructType="url STRING, started BIGINT, ended BIGINT, status STRING, failed INT", outputMode="Update", timeMode="None")
+    bucket = F.pmod(F.xxhash64("url"), F.lit(BUCKETS))
+    found = rows.mapInPandas(combine, shape).withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _history, _LINK, _LINKS, "update", GroupStateTimeout.NoTimeout)
     return found.select("url", F.timestamp_micros("started").alias("last_start_ts"), F.timestamp_micros("ended").alias("last_end_ts"),
                         F.col("status").alias("last_status_code"), F.col("failed").alias("failed_cnt"))
 

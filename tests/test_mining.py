@@ -15,6 +15,7 @@ from sitegraph.session import run_folder
 from sitegraph.sources import decode as D
 from sitegraph.sources.sinks import check_json_lines, read_json_lines, read_run, save_run, write_products
 from sitegraph.streaming import history as H
+from sitegraph.streaming import keyed
 
 TAOBAO = """<html><head><meta http-equiv="Content-Type" content="text/html; charset=gb2312"></head><body>
 <div class="detail-hd"><h3><a href="/i.htm?a=1&amp;b=2">红色鞋</a></h3></div><ul>
@@ -198,6 +199,22 @@ def test_hot_and_late_events_of_one_batch(spark):
     assert as_dict(H.read_states(spark, f"{root}/state")) == as_dict(S.link_state_fold(good))
 
 
+def test_urls_of_a_bucket_share_a_state(spark, monkeypatch):
+    """Python is called, and a state kept, per bucket of URLs and not per URL; quiet URLs keep theirs."""
+    monkeypatch.setattr(keyed, "BUCKETS", 3)
+    t0, root, rows = datetime(2024, 1, 1), run_folder(spark, "buckets"), []
+    for n in range(3):
+        part = [(f"u{k}", t0 + timedelta(hours=n, minutes=k % 7), kind, "" if kind == "start" or k % 5 == n else f"HTTP {k % 3}")
+                for k in range(60) if n == 0 or k % (n + 1) for kind in ("start", "end")[k % 2:]]
+        rows += part
+        spark.createDataFrame(part, FETCH_EVENT).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(FETCH_EVENT).parquet(f"{root}/in")
+        run = H.link_state_stream(stream, f"{root}/state", f"{root}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    assert as_dict(H.read_states(spark, f"{root}/state")) == as_dict(S.link_state_fold(spark.createDataFrame(rows, FETCH_EVENT)))
+
+
 def test_state_of_quiet_urls_goes(spark):
     """Once the watermark is past a URL's interval, a timer takes its state away."""
     t0, root = datetime(2024, 1, 1), run_folder(spark, "quiet")
