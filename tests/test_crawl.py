@@ -381,3 +381,23 @@ def test_a_round_does_not_move_links(spark):
     assert plan.count("Exchange hashpartitioning(source") == 1 and "Bucketed: true" in plan
     few = plans._next_tasks(visits.filter("seq < 2"), graph)._jdf.queryExecution().toString()
     assert re.search(r"PushedFilters: [^\]]*In\(source", few)
+
+
+def test_written_site_is_dealt_out(spark, tmp_path):
+    """Listings and items lie in files of like size, whatever the sizes of the stored tables."""
+    from sitegraph.catalog.frontier import shop_site, written_site
+
+    spark.range(1).selectExpr("CAST(id AS INT) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(40).selectExpr("id AS s_suppkey", "0 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(400).selectExpr("id AS p_partkey", "'p' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    site = written_site(spark, str(tmp_path))
+    assert sorted(map(tuple, site.collect())) == sorted(map(tuple, shop_site(spark, str(tmp_path)).collect()))
+    sizes = [r["count"] for r in site.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4
+
+
+def test_anchors_without_href_cost_no_reading(page):
+    """They are dropped by their letters before attributes are cut; what looks like href is not one."""
+    links = L.extract_links(page("<a name='n'>1</a><A HREF=' x '>2</A><a title='href'>3</a><a>4</a><a hrefs=y>5</a><a href>6</a>"))
+    assert [(r.pos, r.href) for r in links.orderBy("pos").collect()] == [(1, "x"), (5, "href")]
+    assert "(?i)href" in links._jdf.queryExecution().optimizedPlan().toString()
