@@ -140,10 +140,10 @@ def node_depth(tokens: DataFrame, void: Iterable[str] = tuple(nesting.HTML.void)
     return tokens.withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0)))
 
 
-def _structure_udf(rules: nesting.Dialect) -> Callable[[Column], Column]:
-    @F.arrow_udf(nesting.STRUCTURE)
+def _structure_udf(rules: nesting.Dialect, names: frozenset[str] | None = None) -> Callable[[Column], Column]:
+    @F.arrow_udf(nesting.STRUCTURE if names is None else nesting.NAMED_STRUCTURE)
     def structure(heads: pa.Array) -> pa.Array:
-        return nesting.structure_batch(heads, rules)
+        return nesting.structure_batch(heads, rules, names)
 
     return structure
 
@@ -154,20 +154,24 @@ def attr_pairs(raw: Column, name: Column) -> Column:
         F.substring(raw, F.length(name) + 2, F.length(raw)), f"(?s)^{_ATTR_RUN}", 0
     )
 
-    def pair(piece: Column) -> Column:
-        key = F.regexp_extract(piece, f"(?s)^{_ATTR}", 1)
-        value = F.regexp_extract(piece, f"(?s)^{_ATTR}", 3)
+    # a lambda computes what it names as often as it uses it, so each step has its own
+    def cut(piece: Column) -> Column:
+        return F.struct(*[F.regexp_extract(piece, f"(?s)^{_ATTR}", group).alias(part) for group, part in ((1, "key"), (2, "given"), (3, "value"))])
+
+    def unquoted(p: Column) -> Column:
+        value = p["value"]
         quoted = value.rlike(r"""(?s)^(?:'.*'|".*")$""") & (F.length(value) > 1)
         bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-        has_value = F.regexp_extract(piece, f"(?s)^{_ATTR}", 2) != ""
-        return F.struct(
-            F.lower(key).alias("k"),
-            F.when(has_value, attribute_value(bare)).otherwise(key).alias("v"),
-        )
+        return F.struct(p["key"].alias("key"), p["given"].alias("given"), bare.alias("value"))
+
+    def pair(p: Column) -> Column:
+        value = F.when(p["given"] != "", attribute_value(p["value"])).otherwise(p["key"])
+        return F.struct(F.lower(p["key"]).alias("k"), value.alias("v"))
 
-    pairs = F.transform(F.regexp_extract_all(rest, F.lit(f"(?s){_ATTR}"), F.lit(0)), pair)
+    pieces = F.regexp_extract_all(rest, F.lit(f"(?s){_ATTR}"), F.lit(0))
+    pairs = F.transform(F.transform(F.transform(pieces, cut), unquoted), pair)
     # a tag of its name and at most one character more has none: most tags need no pattern
-    return F.when((F.length(raw) - F.length(name) <= 2) | (rest == ""), F.array().cast(ATTRS)).otherwise(pairs)
+    return F.when(F.length(raw) - F.length(name) <= 2, F.array().cast(ATTRS)).otherwise(pairs)
 
 
 def attr_map(attrs: Column) -> Column:
@@ -209,9 +213,13 @@ def dialect_rules(dialect: str, void: Iterable[str] = ()) -> nesting.Dialect:
 
 
 def placed_tokens(pages: DataFrame, rules: nesting.Dialect, html: str, keep: Iterable[str], massage: Massage,
-                  slash_closes: bool, strings: bool) -> DataFrame:
-    """A row per page with ``z``: its nodes in document order, each its token and its place."""
-    structure = _structure_udf(rules)
+                  slash_closes: bool, strings: bool, names: Iterable[str] | None = None) -> DataFrame:
+    """A row per page with ``z``: its nodes in document order, each its token and its place.
+
+    With ``names`` only the root and elements with these names, with ``pre`` and ``name``
+    (null for the root); ``child`` is then null where the only child is an element.
+    """
+    structure = _structure_udf(rules, None if names is None else frozenset(names))
     source = pages.select(*keep, massage_markup(F.col(html), massage).alias("markup"))
     cut = once(source, {"tokens": _pieces(F.col("markup"), rules)})
     cut = once(cut.select(*keep, "tokens"), {"heads": _heads(F.col("tokens"), rules)})
@@ -227,13 +235,19 @@ def placed_tokens(pages: DataFrame, rules: nesting.Dialect, html: str, keep: Ite
         F.transform("s.token", lambda i: F.get("tokens", i)).alias("token"),
         *[F.col(f"s.{c}").alias(c) for c in fields],
     ]
-    if strings:
+    if names is not None:
+        more = ["pre", "name"]
+        columns += [F.col(f"s.{c}").alias(c) for c in more]
+        if strings:
+            columns.append(F.transform("s.child_token", lambda t, i: F.when(t.isNotNull(), F.struct(
+                F.get("tokens", t).alias("token"), F.get("s.child_raw", i).alias("raw"),
+                F.get("s.child_keep", i).alias("keep_blank")))).alias("child"))
+    elif strings:
         # an only child has the next number, and its parent ends with it
         columns.append(F.transform(
             "s.post", lambda end, i: F.when(end == i + 1, F.struct(
                 F.get("tokens", F.get("s.token", end)).alias("token"), F.get("s.raw", end).alias("raw"),
                 F.get("s.keep_blank", end).alias("keep_blank")))).alias("child"))
-        fields.append("child")
     return placed.select(*keep, F.arrays_zip(*columns).alias("z"))
 
 

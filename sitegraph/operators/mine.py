@@ -151,6 +151,12 @@ def size_list(strings: Column, separator: str = ", ") -> Column:
 _WORD = 60
 
 
+def _asked(selector: Selector) -> list[str] | None:
+    """The names that a selector asks for, None if it may meet any."""
+    wanted = [selector.name] if isinstance(selector.name, str) else selector.name
+    return [str(name) for name in wanted] if isinstance(wanted, (list, tuple, set, dict)) else None
+
+
 class _Plan:
     """Compiles a description to columns over ``c``, the page's candidate array."""
 
@@ -167,25 +173,38 @@ class _Plan:
         self.selectors.append(selector)
         return len(self.selectors) - 1
 
-    def masks(self, row: Callable[[str], Column]) -> Column:
-        """Which selectors a node meets: a bit each, ``_WORD`` to a number."""
-        words = []
-        for first in range(0, max(1, len(self.selectors)), _WORD):
+    def masks(self, row: Callable[[str], Column], names: set[str] | None) -> list[Column]:
+        """Which selectors a node meets: a bit each, ``_WORD`` to a number.
+
+        Where all selectors ask for names, a node is only compared with those of its own name.
+        """
+        def bits(first: int, name: str | None) -> Column:
             word = F.lit(0).cast("bigint")
             for n, s in enumerate(self.selectors[first:first + _WORD]):
-                word = word + F.when(s.on(row), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
-            words.append(word)
-        return F.array(*words)
+                if name is None or name in _asked(s):
+                    word = word + F.when(s.on(row), F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint")
+            return word
 
-    def possible(self) -> Callable[[Callable[[str], Column]], Column] | None:
-        """The root and elements of the names that selectors ask for; None where one asks for anything else."""
+        firsts = range(0, max(1, len(self.selectors)), _WORD)
+        if names is None:
+            return [bits(first, None) for first in firsts]
+        words = []
+        for first in firsts:
+            cases = F.lit(0).cast("bigint")
+            for name in sorted(names, reverse=True):
+                cases = F.when(row("name") == name, bits(first, name)).otherwise(cases)
+            words.append(cases)
+        return words
+
+    def possible(self) -> set[str] | None:
+        """The names of elements that selectors ask for; None where one asks for anything else."""
         names: set[str] = set()
         for s in self.selectors:
-            wanted = [s.name] if isinstance(s.name, str) else s.name
-            if s.text is not None or not isinstance(wanted, (list, tuple, set, dict)):
+            wanted = _asked(s)
+            if s.text is not None or wanted is None:
                 return None
-            names.update(map(str, wanted))
-        return lambda row: (row("pre") == 0) | ((row("kind") == "tag") & row("name").isin(*sorted(names)))
+            names.update(wanted)
+        return names
 
     def attr(self, key: str) -> str:
         if key not in self.attrs:
@@ -196,7 +215,7 @@ class _Plan:
         word, n = divmod(self.bit(selector), _WORD)
 
         def hit(x: Column) -> Column:
-            found = x["mask"][word].bitwiseAND(F.lit(1 << n).cast("bigint")) != 0
+            found = x[f"m{word}"].bitwiseAND(F.lit(1 << n).cast("bigint")) != 0
             if node is None:
                 return found
             return found & (x["pre"] > F.col(f"{node}.pre")) & (x["pre"] <= F.col(f"{node}.post"))
@@ -211,6 +230,12 @@ class _Plan:
             self.known[key] = name
         return self.known[key]
 
+    def hold(self, column: Column) -> str:
+        """A column of its own for what is used more than once."""
+        name = f"_h{len(self.stages)}"
+        self.stages.append((name, column))
+        return name
+
     def walk(self, steps: Iterable[Step]) -> list[str]:
         reached: list[str] = []
         for s in steps:
@@ -222,7 +247,7 @@ class _Plan:
 
     def all(self, steps: tuple[Step, ...], items: Selector) -> tuple[list[str], Column]:
         reached = self.walk(steps)
-        return reached, self.inside(reached[-1] if reached else None, items)
+        return reached, F.col(self.hold(self.inside(reached[-1] if reached else None, items)))
 
 
 def _present(names: Sequence[str]) -> Column:
@@ -258,7 +283,7 @@ def _first_of(plan: _Plan, f: FirstOf) -> tuple[dict[str, Column], Column]:
 
 def _joined(plan: _Plan, f: Joined) -> tuple[dict[str, Column], Column]:
     reached, items = plan.all(f.path, f.items)
-    strings = F.transform(items, lambda x: x["s"])
+    strings = F.col(plan.hold(F.transform(items, lambda x: x["s"])))
     some = (F.size(items) > 0) & _present(reached)
     return {f.name: F.when(some, size_list(strings, f.separator))}, \
         _present(reached[:f.required]) & (~some | F.forall(strings, lambda s: s.isNotNull()))
@@ -267,9 +292,9 @@ def _joined(plan: _Plan, f: Joined) -> tuple[dict[str, Column], Column]:
 def _images(plan: _Plan, f: Images) -> tuple[dict[str, Column], Column]:
     reached, items = plan.all(f.path, f.items)
     field = plan.attr(f.attr)
-    values = F.transform(items, lambda x: x[field])
+    values = F.col(plan.hold(F.transform(items, lambda x: x[field])))
     # one without the attribute ends the list; those before it are kept
-    gap = F.array_position(F.transform(values, lambda v: v.isNull()), True)
+    gap = F.col(plan.hold(F.array_position(F.transform(values, lambda v: v.isNull()), True)))
     whole = F.when(gap > 0, F.slice(values, F.lit(1), (gap - 1).cast("int"))).otherwise(values)
     return {"images": numbered_images(whole, f.first_no, f.kinds)}, _present(reached) & (gap == 0)
 
@@ -284,8 +309,8 @@ def _text_images(plan: _Plan, f: TextImages) -> tuple[dict[str, Column], Column]
 def _details(plan: _Plan, f: Details) -> tuple[dict[str, Column], Column]:
     reached, items = plan.all(f.path, f.items)
     title = plan.attr("title")
-    titled = F.filter(items, lambda x: x[title].isNotNull())
-    whole = F.forall(titled, lambda x: x["s"].isNotNull()) & _present(reached)
+    titled = F.col(plan.hold(F.filter(items, lambda x: x[title].isNotNull())))
+    whole = F.col(plan.hold(F.forall(titled, lambda x: x["s"].isNotNull()) & _present(reached)))
     pairs = F.transform(titled, lambda x: F.struct(x[title].alias("attr_name"), f.post(x["s"]).alias("attr_value")))
     return {f.name: F.when(whole, pairs)}, whole
 
@@ -323,17 +348,22 @@ def mine(pages: DataFrame, spec: MineSpec, keep: Iterable[str] = ("page_id", "ur
             fine = fine & ok
         failed.append((~fine, group.error))
 
+    names = plan.possible()
     # a page stays one row: pages may share all of ``keep``, as snapshots of a URL do
     def candidate(n: Column) -> Column:
         return F.struct(
-            n["pre"].alias("pre"), n["post"].alias("post"), plan.masks(lambda c: n[c]).alias("mask"),
-            F.when(n["kind"] == "tag", n["string"]).otherwise(n["text"]).alias("s"),
+            n["pre"].alias("pre"), n["post"].alias("post"), *[m.alias(f"m{i}") for i, m in enumerate(plan.masks(lambda c: n[c], names))],
+            (n["string"] if names is not None else F.when(n["kind"] == "tag", n["string"]).otherwise(n["text"])).alias("s"),
             *[n["attr"][k].alias(f"a{i}") for i, k in enumerate(plan.attrs)])
 
-    trees = page_nodes(pages, html=html, keep=keep, strings=True, only=plan.possible())
-    met = once(trees, {"all": F.transform("nodes", candidate)})
-    wanted = F.filter("all", lambda n: F.exists(n["mask"], lambda m: m != 0) | (n["pre"] == 0))
-    page = once(met.select(*keep, "all"), {"c": wanted}).select(*keep, "c")
+    trees = page_nodes(pages, html=html, keep=keep, strings=True, texts=names is None, names=names)
+    def met_any(n: Column) -> Column:
+        found = n["pre"] == 0
+        for first in range(0, max(1, len(plan.selectors)), _WORD):
+            found = found | (n[f"m{first // _WORD}"] != 0)
+        return found
+
+    page = once(trees, {"c": F.filter(F.transform("nodes", candidate), met_any)}).select(*keep, "c")
     for name, column in plan.stages:
         page = page.withColumn(name, column)
     return page.select(

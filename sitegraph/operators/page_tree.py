@@ -36,24 +36,29 @@ PLACE = ("pre", "post", "depth", "parent_pre", "sib_no", "kind", "name")
 def page_nodes(pages: DataFrame, dialect: str = "html", html: str = "html", keep: Iterable[str] = ("page_id",),
                entities: str | None = None, massage: Massage = DEFAULT_MASSAGE, void: Iterable[str] = (),
                squeeze_blanks: bool = True, slash_closes: bool = False, strings: bool = False,
-               only: Callable[[Row], Column] | None = None, texts: bool = True, attributes: bool = True) -> DataFrame:
+               only: Callable[[Row], Column] | None = None, texts: bool = True, attributes: bool = True,
+               names: Iterable[str] | None = None) -> DataFrame:
     """``keep`` and ``nodes``: the rows of ``html_nodes`` as one array per page.
 
     ``only`` drops nodes by a predicate over ``PLACE`` fields before attributes and texts
     are computed (indexes are numbers of nodes only without it); ``texts`` and
-    ``attributes`` tell which of these to compute at all.
+    ``attributes`` tell which of these to compute at all. ``names`` keeps the root and
+    elements with these names: others never come back from the helper that places them.
     """
     rules, keep = dialect_rules(dialect, void), list(keep)
-    placed = placed_tokens(pages, rules, html, keep, massage, slash_closes, strings)
+    placed = placed_tokens(pages, rules, html, keep, massage, slash_closes, strings, names)
     place = ("post", "depth", "parent_pre", "sib_no")
     rest = ("token", "raw", "keep_blank", *(["child"] if strings else []))
 
+    def named(n: Column) -> Column:
+        return F.struct(*[n[c].alias(c) for c in ("pre", *place)], F.lit("tag").alias("kind"), F.coalesce(n["name"], F.lit(ROOT_NAME)).alias("name"), *[n[c].alias(c) for c in rest])
+
     def start(n: Column, i: Column) -> Column:
         tag = n["token"].rlike("^<[a-zA-Z]") & ~n["raw"]
         name = F.when(n["token"].isNull(), ROOT_NAME).when(tag, tag_name(n["token"]))
         return F.struct(i.alias("pre"), *[n[c].alias(c) for c in place], node_kind(n["token"], n["raw"]).alias("kind"), name.alias("name"), *[n[c].alias(c) for c in rest])
 
-    found = F.transform("z", start)
+    found = F.transform("z", start if names is None else named)
     if only is not None:
         found = F.filter(found, lambda n: only(lambda c: n[c]))
     rows = once(placed.select(*keep, "z"), {"n1": found}).select(*keep, "n1")

@@ -90,3 +90,28 @@ def test_no_exchange_in_page_queries(spark, tmp_path, name):
     spark.read.parquet("/root/testdata/sf0.001/pages.parquet").repartition(8).write.parquet(str(tmp_path / "pages.parquet"))
     plan = all_queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_nodes_asked_for_by_name(spark, pages):
+    # other nodes do not leave the helper that places them, and the rest is as in the whole page
+    names = {"b", "li", "script", "pre", "ul"}
+    fields = ["page_id", "pre", "post", "depth", "parent_pre", "sib_no", "kind", "name", "attrs", "attr", "string"]
+    got = P.page_nodes(pages, strings=True, texts=False, names=names).select("page_id", F.inline("nodes"))
+    every = P.page_nodes(pages, strings=True).select("page_id", F.inline("nodes"))
+    assert rows(got, *fields) == rows(every.filter((F.col("pre") == 0) | F.col("name").isin(*names)), *fields)
+
+
+def test_equal_heads_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    from sitegraph.functions import nesting
+
+    heads = [["<ul", "<li", "", "</li"] * 50, None, [], ["<li", ""]]
+    want = [nesting.assign_structure(h or [], nesting.HTML) for h in heads]
+    read, seen = nesting._read, []
+    monkeypatch.setattr(nesting, "_read", lambda h, rules: seen.append(h) or read(h, rules))
+    got = nesting.structure_batch(pa.array(heads, pa.list_(pa.string())), nesting.HTML).to_pylist()
+    assert [list(map(list, zip(*page.values(), strict=True))) for page in got] == want
+    assert sorted(seen) == ["", "</li", "<li", "<ul"]
+    few = nesting.structure_batch(pa.array(heads, pa.list_(pa.string())), nesting.HTML, {"ul"}).to_pylist()
+    assert [len(page["pre"]) for page in few] == [51, 1, 1, 1]
