@@ -23,6 +23,8 @@ from sitegraph.session import run_folder
 REMEMBERED = 200_000
 #: bytes of text whose words are looked up at once
 _SLICE = 1 << 22
+#: words of letters that are joined to one text
+_JOINED = 512
 
 
 class WordTokenizer:
@@ -38,6 +40,33 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # where a model marks ends of words, many words can go through it as one text
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 << 16, bool)
+        if suffix:
+            self.ends[[i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if word.endswith(suffix)]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of words, one by one."""
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, many at once.
+
+        Such a word is at least one word to the tokenizer, so if a text has as many ends as
+        words, each is one and its ids reach to its end.
+        """
+        groups = [words[k:k + _JOINED] for k in range(0, len(words), _JOINED)]
+        out: list[bytes] = []
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            raw = array("H", coded.ids).tobytes()
+            cuts = np.flatnonzero(self.ends[np.frombuffer(raw, np.uint16)]) + 1
+            if len(cuts) != len(group) or 2 * cuts[-1] != len(raw):
+                out += self._each(group)
+                continue
+            cut = (2 * cuts).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut], cut)]
+        return out
 
     def _coded(self, keys: list[str]) -> list[bytes]:
         """The ids of words, as bytes."""
@@ -47,7 +76,10 @@ class WordTokenizer:
             return got
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        fresh = {k: array("H", e.ids).tobytes() for k, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        plain = list(filter(str.isalpha, new)) if self.ends.any() else []
+        fresh = dict(zip(plain, self._words(plain), strict=True))
+        other = [k for k in new if k not in fresh]
+        fresh.update(zip(other, self._each(other), strict=True))
         self.known.update(fresh)
         return [fresh[k] if g is None else g for k, g in zip(keys, got, strict=True)]
 

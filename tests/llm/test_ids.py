@@ -68,3 +68,20 @@ def test_files(spark, tmp_path, monkeypatch):
         start += n
     write_ids(df.limit(0), str(tmp_path / "none"), PATH)
     assert read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_words_of_letters_go_through_the_tokenizer_together():
+    words = [f"x{a}{b}" for a in "abcdefghij" for b in "abcdefghij"] + ["é", "İx", "ßá", "ñandú", "中文"]
+    t = WordTokenizer(PATH)
+    want = t._each(words)
+    texts = []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **how):
+            texts.extend(batch)
+            return real.encode_batch_fast(batch, **how)
+
+    real, t.tokenizer = t.tokenizer, Counting()
+    assert t._words(words[:100]) == want[:100] and len(texts) == 1
+    # a letter that becomes two words sends its text the other way
+    assert t._words(words) == want
