@@ -22,102 +22,151 @@ from collections.abc import Iterator
 import numpy as np
 
 #: ids per block; ids per frame at least (a frame ends with a document)
-BLOCK, FRAME = 2048, 1 << 22
+BLOCK, FRAME = 2048, 1 << 23
 #: ids are below this
 LIMIT = 1 << 16
-_MAGIC = b"IDF3"
+_MAGIC = b"IDF4"
 _HEAD = "<4sIQIII"
 
-_SLOTS2, _SLOTS1 = 1 << 8, 1 << 8
-#: shares: the order-2 id, the order-1 id, ranks by their number of bits up to 13, and all others
+_SLOTS = 1 << 8  # of each order, in each block
 _SHARES = 16
 _STATES = 32
 _UNIT = 15  # shares sum to 2**15
 _ROOM, _HALF = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 _W15, _W32 = np.uint64(_UNIT), np.uint64(32)
 _PLACE = np.arange(_SHARES, dtype=np.int16)
+#: a row of shares, moved as one value
+_ROW = np.dtype("V32")
 #: what the shares' lower ends move towards when a share was taken; every share keeps a part
-_AIM = np.where(_PLACE[None, :] > _PLACE[:, None], (1 << _UNIT) - _SHARES + _PLACE, _PLACE).astype(np.int16)
-#: class of a rank (ranks 0 and 1 are one), and the bits of a place in a share's class
-_CLASS = np.clip(np.frexp(np.arange(LIMIT))[1], 1, _SHARES - 2).astype(np.int64) + 1
+_AIM = np.ascontiguousarray(np.where(_PLACE[None, :] > _PLACE[:, None], (1 << _UNIT) - _SHARES + _PLACE, _PLACE).astype(np.int16)).view(_ROW).reshape(-1)
+#: share of a rank that was not guessed (ranks 0 and 1 have one), and the bits of a rank's place in a share
+_CLASS = (np.clip(np.frexp(np.arange(LIMIT))[1], 1, _SHARES - 2) + 1).astype(np.uint8)
 _BITS = np.array([0, 0, 1, *range(1, _SHARES - 3), 16], dtype=np.uint64)
-_FIRST = np.array([0, 0, 0, *(1 << k for k in range(1, _SHARES - 2))], dtype=np.uint32)
-_ID, _U1, _U16, _STEP, _ONE, _LAST = np.uint32(0xFFFF), np.uint32(1), np.uint32(16), np.uint32(1 << 16), np.uint64(1), np.uint64((1 << _UNIT) - 1)
+_MASK = ((1 << _BITS) - 1).astype(np.uint64)
+#: the lowest rank of a share; the last share holds whole ranks
+_FIRST = np.array([0, 0, 0, *(1 << k for k in range(1, _SHARES - 3)), 0], dtype=np.uint64)
+_SIZE = np.int16((1 << _UNIT) - 1)
+_LAST, _ONE = np.uint64((1 << _UNIT) - 1), np.uint64(1)
+_HASH = np.array([[0x9E3779B1], [0]], dtype=np.uint32), np.uint32(0x85EBCA77)
+_TOP = np.uint32(24)
+#: a slot is a guess, below 2**14, and two bits of its confidence above it; higher ranks are no guess's
+_CONF = np.uint16(14)
+_GUESS, _NONE, _FULL = np.uint16((1 << _CONF) - 1), np.uint16(1 << _CONF), np.uint16(3 << _CONF)
+_FOURFOLD = np.uint64(0x0001000100010001)
 
 
 class _Blocks:
     """The models of all blocks of a frame, and their coders' states."""
 
     def __init__(self, n: int) -> None:
-        # a guess with its confidence above 16 bits
-        self.two, self.one = np.zeros(n * _SLOTS2, np.uint32), np.zeros(n * _SLOTS1, np.uint32)
+        # by order, slot and block, so that what many blocks use lies together
+        self.slots = np.zeros(n * 2 * _SLOTS, np.uint16)
         even = (np.arange(_SHARES) * ((1 << _UNIT) // _SHARES)).astype(np.int16)
-        self.shares = np.tile(even, (n * _STATES, 1))
+        # by state and block
+        self.shares = np.tile(even, (_STATES * n, 1)).view(_ROW).reshape(-1)
+        # the rows at work, and a zero behind: the lower end of a row is 0, or 2**15 for the row before
+        self.now = np.zeros((n + 1) * _SHARES, np.int16)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-        self.base2, self.base1 = np.arange(n) * _SLOTS2, np.arange(n) * _SLOTS1
-        self.state, self.every, self.place = np.arange(n) * _STATES, np.arange(n), np.arange(n) * _SHARES
-
-    def step(self, n: int, pace: int, before: np.ndarray, last: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
-        """Code one rank of each of the first ``n`` blocks, or read it, after the two ranks ahead."""
-        mixed = last * np.uint32(0x85EBCA77)
-        key2 = (((before * np.uint32(0x9E3779B1)) ^ mixed) >> np.uint32(24)) + self.base2[:n]
-        key1 = (mixed >> np.uint32(24)) + self.base1[:n]
-        two, one = self.two.take(key2), self.one.take(key1)
-        guess2, guess1 = two & _ID, one & _ID
-        sure2, sure1 = two >> _U16, one >> _U16
-        row = self.state[:n] + (sure2 * np.uint32(4) + sure1 + (guess1 == guess2) * np.uint32(16))
-        shares = self.shares.take(row, axis=0)
+        self.spots = np.zeros((n, _SHARES // 4), np.uint64)
+        self.every, self.place = np.arange(n), np.arange(n) * _SHARES
+        self.wide = np.uint32(n)
+        self.base = self.every + np.array([[0], [_SLOTS * n]])
+
+    def step(self, n: int, pace: int, before: np.ndarray, last: np.ndarray, ranks: np.ndarray | None, share: np.ndarray | None) -> np.ndarray:
+        """Code one rank of each of the first ``n`` blocks, or read it, after the two ranks ahead.
+
+        ``share``: where each rank lies if it is not guessed.
+        """
+        key = before * _HASH[0]
+        key ^= last * _HASH[1]
+        key >>= _TOP
+        key *= self.wide
+        key = key + self.base[:, :n]
+        slots = self.slots.take(key)
+        guess, sure = slots & _GUESS, (slots >> _CONF).astype(np.uint8)
+        state = sure[0] * np.uint8(4)
+        state += sure[1]
+        state += (guess[0] == guess[1]).view(np.uint8) * np.uint8(16)
+        row = state * self.wide
+        row = row + self.every[:n]
+        flat = self.now[:(n + 1) * _SHARES]
+        rows = flat[:-_SHARES].view(_ROW)
+        self.shares.take(row, out=rows, mode="clip")
         low, wide = self.low[:n], self.range[:n]
         unit = wide >> _W15
         if ranks is None:
-            code = self.code[:n]
-            spot = np.minimum((code - low) // unit, _LAST).astype(np.int16)
-            below = np.bitwise_count((shares <= spot[:, None]).view(np.uint64))
-            share = (below[:, 0] + below[:, 1]).astype(np.int64) - 1
+            ahead = self.code[:n] - low
+            spot = np.minimum(ahead // unit, _LAST) * _FOURFOLD
+            spots = self.spots[:n]
+            for k in range(_SHARES // 4):
+                spots[:, k] = spot
+            below = np.bitwise_count((flat[:-_SHARES] <= spots.view(np.int16).reshape(-1)).view(np.uint64)).reshape(n, 2)
+            share = np.add(below[:, 0], below[:, 1], dtype=np.int64)
+            share -= 1
         else:
-            share = _CLASS.take(ranks)
-            np.copyto(share, 1, where=ranks == guess1)
-            np.copyto(share, 0, where=ranks == guess2)
-        flat, at = shares.reshape(-1), self.place[:n] + share
-        begin = flat.take(at).astype(np.uint64)
-        end = flat.take(at + 1, mode="clip").astype(np.uint64)
-        np.copyto(end, 1 << _UNIT, where=share == _SHARES - 1)
-        low += unit * begin
-        bits, first = _BITS.take(share), _FIRST.take(share)
-        unit *= end - begin
-        unit >>= bits
+            hit = guess == ranks
+            share = share.copy()
+            np.copyto(share, 1, where=hit[1])
+            np.copyto(share, 0, where=hit[0])
+            share = share.astype(np.int64)
+        at = share + self.place[:n]
+        begin = flat.take(at)
+        at += 1
+        size = flat.take(at)
+        size -= begin
+        size &= _SIZE
+        below = begin.astype(np.uint64)
+        below *= unit
+        low += below
+        unit *= size.astype(np.uint64)
+        unit >>= _BITS.take(share)
+        mask = _MASK.take(share)
         if ranks is None:
-            place = np.minimum((code - low) // unit, (_ONE << bits) - _ONE)
-            ranks = first + place.astype(np.uint32)
-            np.copyto(ranks, guess1, where=share == 1)
-            np.copyto(ranks, guess2, where=share == 0)
+            ahead -= below
+            place = np.minimum(ahead // unit, mask)
+            ranks = (place + _FIRST.take(share)).astype(np.uint16)
+            np.copyto(ranks, guess[1], where=share == 1)
+            np.copyto(ranks, guess[0], where=share == 0)
+            hit = guess == ranks
         else:
-            place = (ranks - first).astype(np.uint64)
-            np.copyto(place, 0, where=share < 2)
-        low += unit * place
+            place = mask
+            place &= ranks.astype(np.uint64)
+        place *= unit
+        low += place
         wide[:] = unit
         self.settle(n)
-        shares += (_AIM.take(share, axis=0) - shares) >> pace
-        self.shares[row] = shares
+        move = _AIM.take(share).view(np.int16)
+        move -= flat[:-_SHARES]
+        move >>= pace
+        flat[:-_SHARES] += move
+        self.shares[row] = rows
         # a guess that held gains confidence, another loses it and goes when it has none
-        self.two[key2] = np.where(ranks == guess2, two + (sure2 < 3) * _STEP, np.where(sure2 > 0, two - _STEP, ranks))
-        self.one[key1] = np.where(ranks == guess1, one + (sure1 < 3) * _STEP, np.where(sure1 > 0, one - _STEP, ranks))
+        move = (hit & (slots < _FULL)).view(np.int8) + hit.view(np.int8)
+        move -= np.int8(1)
+        new = move.astype(np.uint16)
+        new <<= _CONF
+        new += slots
+        np.copyto(new, ranks & _GUESS, where=(slots < _NONE) > hit)
+        self.slots[key] = new
         return ranks
 
     def settle(self, n: int) -> None:
         """Make room where the range has become small, by moving out the upper half of the low end.
 
         Where the range reaches over a change of that half it is cut off there:
-        now and then a bit is lost, and no carry can ever reach what is out.
+        now and then a bit is lost, and no carry can ever reach what is out. A rank
+        takes 31 bits at most, so there is room enough behind.
         """
         blocks = np.flatnonzero(self.range[:n] < _ROOM)
-        while len(blocks):
-            low, wide = self.low[blocks], self.range[blocks]
-            over = (low ^ (low + wide - _ONE)) >= _ROOM
-            wide = np.where(over, _ROOM - (low & _HALF), wide) << _W32
-            self.shift(blocks, low)
-            self.low[blocks], self.range[blocks] = low << _W32, wide
-            blocks = blocks[wide < _ROOM]
+        if not len(blocks):
+            return
+        low, wide = self.low.take(blocks), self.range.take(blocks)
+        rest = _ROOM - (low & _HALF)
+        np.minimum(wide, rest, out=wide)
+        wide <<= _W32
+        self.shift(blocks, low)
+        low <<= _W32
+        self.low[blocks], self.range[blocks] = low, wide
 
 
 class _Writer(_Blocks):
@@ -146,9 +195,13 @@ class _Reader(_Blocks):
             self.shift(self.every, self.code)
 
     def shift(self, blocks: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[blocks]
-        self.code[blocks] = (self.code[blocks] << _W32) | self.words[np.minimum(at, len(self.words) - 1)]
-        self.at[blocks] = at + 1
+        at = self.at.take(blocks)
+        code = self.code.take(blocks)
+        code <<= _W32
+        code |= self.words.take(at, mode="clip")
+        self.code[blocks] = code
+        at += 1
+        self.at[blocks] = at
 
 
 def _sizes(n: int) -> np.ndarray:
@@ -158,15 +211,18 @@ def _sizes(n: int) -> np.ndarray:
 def _run(coder: _Blocks, sizes: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
     n, steps = len(sizes), int(sizes.max())
     out = np.zeros((steps, n), np.uint16) if ranks is None else ranks
+    share = None if ranks is None else _CLASS[ranks]
     before, last = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     for t in range(steps):
         # only the last block may be shorter; models learn slower as they learn
         m = n if sizes[-1] > t else n - 1
         pace = 3 if t < 32 else 4 if t < 256 else 5
-        got = coder.step(m, pace, before[:m], last[:m], None if ranks is None else ranks[t, :m].astype(np.uint32))
         if ranks is None:
-            out[t, :m] = got
-        before[:m], last[:m] = last[:m], got
+            out[t, :m] = coder.step(m, pace, before[:m], last[:m], None, None)
+        else:
+            coder.step(m, pace, before[:m], last[:m], ranks[t, :m], share[t, :m])
+        before, last = last, before
+        last[:m] = out[t, :m]
     return out
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from sitegraph.llm import idcodec as C
+from sitegraph.llm import token_files
 from sitegraph.llm.token_files import WordTokenizer, read_ids, write_ids
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -85,3 +86,23 @@ def test_words_of_letters_go_through_the_tokenizer_together():
     assert t._words(words[:100]) == want[:100] and len(texts) == 1
     # a letter that becomes two words sends its text the other way
     assert t._words(words) == want
+
+
+def test_letters_with_marks_and_words_beside_signs():
+    # a small t and U+0308 are one letter, a large T and U+0308 are not
+    texts = ["T̈ ẗ", "H̱J̌W̊Y̊", "schä.Öl,É̸:ñ's×÷.", "a.b@c-1.5'S.x", "é́. ́.a"]
+    t = WordTokenizer(PATH)
+    for ids, text in zip(t.ids(pa.array(texts)), texts, strict=True):
+        assert list(ids) == t.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_worker_remembers_words_and_forgets_the_rest(monkeypatch):
+    assert token_files._tokenizer(PATH) is token_files._tokenizer(PATH)
+    monkeypatch.setattr(token_files, "REMEMBERED", 150)
+    t = WordTokenizer(PATH)
+    pieces = [" ".join(f"{a}{b}ö{k}" if k % 2 else f"{a}{b}" for a in "abcdefgh" for b in "klmnop") for k in range(6)]
+    for text in [*pieces, *pieces[::-1]]:
+        assert list(next(t.ids(pa.array([text])))) == t.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(t.known) == len(t.size) == len(t.begin) <= 150 and len(t.flat) == t.size.sum()
+    monkeypatch.setattr(t, "_fresh", None)
+    list(t.ids(pa.array([pieces[0].upper()])))
