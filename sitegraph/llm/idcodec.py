@@ -46,7 +46,7 @@ _MASK = ((1 << _BITS) - 1).astype(np.uint64)
 #: the lowest rank of a share; the last share holds whole ranks
 _FIRST = np.array([0, 0, 0, *(1 << k for k in range(1, _SHARES - 3)), 0], dtype=np.uint64)
 _SIZE = np.int16((1 << _UNIT) - 1)
-_LAST, _ONE = np.uint64((1 << _UNIT) - 1), np.uint64(1)
+_LAST = np.uint64((1 << _UNIT) - 1)
 _HASH = np.array([[0x9E3779B1], [0]], dtype=np.uint32), np.uint32(0x85EBCA77)
 _TOP = np.uint32(24)
 #: a slot is a guess, below 2**14, and two bits of its confidence above it; higher ranks are no guess's
