@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import bitmap, has_bit, saved, sized, table
+from sitegraph.llm.common import bitmap, has_bit, saved, saved_side, saved_with, table
 from sitegraph.llm.words import NOT_ALNUM, Words, mix, shingles, slices
 
 #: items of fewer words are one seed of all their words
@@ -208,12 +208,12 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
     many less one are looked for, the rarest. Such a stretch has (3 - 2 ``least``) n
     words at most.
     """
-    words = saved(item_words(items), "items")
-    facts = words.agg(F.collect_set("width").alias("widths"), F.max(F.size("words")).alias("longest")).head()
-    if not facts.widths:
+    words, facts = saved_with(item_words(items), "items", longest=F.max(F.size("words")),
+                              **{f"width{k}": F.count_if(F.col("width") == k) for k in range(1, SEED + 1)})
+    widths = [k for k in range(1, SEED + 1) if facts[f"width{k}"]]
+    if not widths:
         return words.select(F.col("item_id").alias("doc_id"), "item_id", F.lit(0).cast("bigint").alias("seeds"),
                             F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("ends"))
-    widths = sorted(facts.widths)
     seeds = words.select(
         "item_id", F.xxhash64("words").alias("own"), "width", F.size("words").alias("n"), F.inline(F.arrays_zip(F.col("seeds").alias("t"), F.col("spots").alias("spot"))))
 
@@ -231,7 +231,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
     short = seeds.filter(F.col("width") < SEED).select("item_id", "t")
     seeds = saved(seeds.filter(F.col("width") == SEED).join(rare.select(place), place, "left_semi")
                   .select("item_id", "t").unionByName(short).distinct(), "looked_for")
-    around = math.ceil(max(1.0, 3 - 2 * least) * facts.longest)
+    around = math.ceil(max(1.0, 3 - 2 * least) * facts["longest"])
     wanted = bits(seeds)
     held = saved(passages(docs, wanted, widths, around), "passages")
     wanted.destroy()
@@ -242,8 +242,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAK) -> DataFrame:
         F.count("*").alias("seeds"))
     pairs = met.join(own.select("p", "q", "words"), ["p", "q"]).join(
         words.select("item_id", F.col("words").alias("item_words")), "item_id")
-    found = saved(scored(pairs, least).filter(F.col("score") >= least), "aligned")
-    places = held.select("doc_id", "at", "p", "q").join(sized(found), ["p", "q"]).withColumn("ends", F.col("at") + F.col("end"))
+    found = saved_side(scored(pairs, least).filter(F.col("score") >= least), "aligned")
+    places = held.select("doc_id", "at", "p", "q").join(found, ["p", "q"]).withColumn("ends", F.col("at") + F.col("end"))
     best = places.groupBy("doc_id", "item_id").agg(
         F.max_by(F.struct("seeds", "score", "ends"), F.struct("score", -F.col("ends"), "seeds")).alias("b"))
     return best.select("doc_id", "item_id", "b.seeds", "b.score", "b.ends")

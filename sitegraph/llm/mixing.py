@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import WORD, saved, sized, table
+from sitegraph.llm.common import WORD, saved, saved_side, table
 
 #: a source's order is cut in so many stretches, so that no task holds a whole source
 STRETCHES = 1024
@@ -148,9 +148,9 @@ def mixed(docs: DataFrame, block: int = 16, seed: int = 6) -> DataFrame:
     chance = seeded(seed + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) / F.lit(float(1 << 48))
     copies = F.expr("taken div size") + F.when(chance < F.expr("taken % size") / F.col("size"), 1).otherwise(0)
     keys = some.groupBy("doc_id", "source", "size").agg(F.sum(copies).alias("c"), F.count("*").alias("m")).filter("c > 0")
-    keys = saved(keys.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "c", "m"), "copies")
+    keys = saved_side(keys.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "c", "m"), "copies")
     rows = docs.select(F.struct(*docs.columns).alias("d"), count_words(F.col("text")).alias("s"))
-    met = rows.join(sized(keys), F.expr("d.doc_id <=> k_id AND d.source <=> k_source AND s = k_size"))
+    met = rows.join(keys, F.expr("d.doc_id <=> k_id AND d.source <=> k_source AND s = k_size"))
     each = F.expr("c div m") + F.when(F.expr("pmod(xxhash64(d.text), m) < c % m"), 1).otherwise(0)
     return met.withColumn("each", each).filter("each > 0").select("d", F.explode(F.expr("sequence(1L, each)"))).select("d.*")
 

@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import bitmap, components, has_bit, saved, sized, table
+from sitegraph.llm.common import bitmap, components, has_bit, saved, saved_with, sized, table
 from sitegraph.llm.words import bounds, distinct, mix, shingles, slices
 
 #: a token among the first of so many sets is hot
@@ -305,7 +305,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     by_hot = hot.filter(f"pos < {limits.prefix_sql('n')}").join(bulk, "node", "left_semi").select("t", "node")
     stars = by_hot.join(by_hot.groupBy("t").agg(F.min("node").alias("pivot")), "t").select(
         F.col("node").alias("a"), F.col("pivot").alias("b"))
-    families = saved(components(pairs.select("a", "b").unionByName(stars), "family"), "families")
+    families = components(pairs.select("a", "b").unionByName(stars), "family")
 
     classes = saved(sk.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     members = families.join(classes, "node")
@@ -364,14 +364,16 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     first = F.min(F.struct(F.col("g_id").isNull().alias("none"), "g_id", "g_mark")).alias("first")
     first = saved(found.groupBy("root").agg(first), "first")
     met = found.join(first, "root").withColumn("stays", F.expr("g_id <=> first.g_id AND g_mark = first.g_mark"))
-    fates = saved(met.groupBy("g_id", "g_mark", "stays").agg(F.count("*").alias("n")).filter("NOT stays OR n > 1"), "fates")
+    fates, rows_of = saved_with(met.groupBy("g_id", "g_mark", "stays").agg(F.count("*").alias("n")).filter("NOT stays OR n > 1"), "fates",
+                                gone=F.count_if(~F.col("stays")), again=F.count_if(F.col("stays")))
     gone, again = (fates.filter(which).select("g_id", "g_mark") for which in ("NOT stays", "stays"))
     rows, same = docs.select(F.struct(*docs.columns).alias("d"), text_mark()), F.expr("d.doc_id <=> g_id AND mark = g_mark")
-    kept = rows.join(sized(gone), same, "left_anti")
-    if again.head() is None:
+    kept = rows.join(sized(gone, rows_of["gone"]), same, "left_anti")
+    if not rows_of["again"]:
         return kept.select("d.*")
-    alone = kept.join(sized(again), same, "left_anti").select("d")
-    one = kept.join(sized(again), same, "left_semi").groupBy("d.doc_id", "mark").agg(F.min("d").alias("d")).select("d")
+    again = sized(again, rows_of["again"])
+    alone = kept.join(again, same, "left_anti").select("d")
+    one = kept.join(again, same, "left_semi").groupBy("d.doc_id", "mark").agg(F.min("d").alias("d")).select("d")
     return alone.unionByName(one).select("d.*")
 
 

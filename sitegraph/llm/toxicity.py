@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import saved, table
+from sitegraph.llm.common import saved, saved_with, table
 from sitegraph.llm.words import NOT_ALNUM, Words, mix, slices
 
 #: at most so many labelled rows of each class train the model, those of the smallest hash
@@ -86,8 +86,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return once.select("x.text", "x.toxic", F.pmod("h", F.lit(4)).cast("int").alias("part"))
 
 
-def lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of terms and their weights: the log of how much likelier toxic texts are to have them."""
+def lexicon(sample: DataFrame, bad: int, good: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of terms and their weights: the log of how much likelier toxic texts (``bad`` of the sample, ``good`` others) are to have them."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +98,6 @@ def lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pair[1].view(np.int64)), pa.array(toxic[w.first + pair[0].astype(np.int64)].astype(np.int32))], ["t", "toxic"])
 
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
     found = sample.select("text", "toxic").mapInArrow(terms, "t BIGINT, toxic INT").groupBy("t").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     ratio = (F.col("bad") + 0.5) / F.lit(bad + 1.0) / ((F.col("good") + 0.5) / F.lit(good + 1.0))
@@ -199,21 +197,20 @@ class ToxicityModel:
     """Lexicon, trees and calibration, fitted on a bounded sample."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 3) -> None:
-        sample = saved(training_sample(docs, labels).coalesce(8), "sample")
-        learn = sample.filter("part < 3")
-        self.entries, self.weights = lexicon(learn)
+        sample, n = saved_with(training_sample(docs, labels).coalesce(8), "sample", **{
+            name: F.count_if(F.expr(f"toxic = {kind} AND part {part}"))
+            for name, kind, part in (("bad", 1, "< 3"), ("good", 0, "< 3"), ("held_bad", 1, "= 3"), ("held_good", 0, "= 3"))})
+        self.entries, self.weights = lexicon(sample.filter("part < 3"), n["bad"], n["good"])
         self.assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         rows = saved(self.assemble.transform(with_features(sample, ["toxic", "part"], self.entries, self.weights))
                      .select(F.col("toxic").cast("double").alias("label"), "part", "features").coalesce(4), "features")
-        kinds = {int(r.label): r.n for r in rows.filter("part < 3").groupBy("label").agg(F.count("*").alias("n")).collect()}
         self.trees = self.scale = None
         # without both classes there is nothing to learn: every score is the labels' mean
-        self.prior = kinds.get(1, 0) / max(1, sum(kinds.values()))
-        if len(kinds) == 2:
+        self.prior = n["bad"] / max(1, n["bad"] + n["good"])
+        if n["bad"] and n["good"]:
             self.trees = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=3, minInstancesPerNode=5).fit(rows.filter("part < 3"))
-            held = self._raw(rows.filter("part = 3"))
-            if held.select("label").distinct().count() == 2:
-                self.scale = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
+            if n["held_bad"] and n["held_good"]:
+                self.scale = IsotonicRegression(featuresCol="raw", labelCol="label").fit(self._raw(rows.filter("part = 3")))
 
     def _raw(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("raw", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability")

@@ -6,10 +6,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sitegraph.llm import words as Wd
 from sitegraph.llm.ann import Hashing, nearest
-from sitegraph.llm.common import components
+from sitegraph.llm.common import components, saved, saved_side, saved_with
 from sitegraph.llm.decontaminate import align, leaks
 from sitegraph.llm.licenses import scan_licenses
 from sitegraph.llm.mixing import mix_sources
@@ -472,3 +473,38 @@ def test_blocks_change_no_neighbour(spark, monkeypatch):
         if len(near) >= 3:
             s = np.einsum("nd,nd->n", x[near], x[[q] * len(near)])
             assert [r[2] for r in whole if r[0] == q] == [near[k] for k in np.lexsort((near, -s))[:3]]
+
+
+def _jobs_of(spark, group, work):
+    """How many jobs Spark ran for ``work()``."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_figures_of_saved_tables_take_no_job(spark):
+    figures = {"rows": F.count(F.lit(1)), "large": F.count_if(F.col("v") > 2), "top": F.max("v")}
+    for n, want in ((5, {"rows": 5, "large": 2, "top": 4}), (0, {"rows": 0, "large": 0, "top": None})):
+        rows = spark.range(9).filter(f"id < {n}").withColumnRenamed("id", "v")
+        plain = _jobs_of(spark, f"plain-{n}", lambda rows=rows: saved(rows, "plain"))
+        got = []
+        assert _jobs_of(spark, f"with-{n}", lambda rows=rows, got=got: got.append(saved_with(rows, "figures", **figures))) == plain
+        out, seen = got[0]
+        assert seen == want and out.count() == n and out.columns == ["v"]
+        # a side that was counted as it was written is not counted again
+        assert _jobs_of(spark, f"side-{n}", lambda rows=rows: saved_side(rows, "side")) == plain
+    for empty in (rows.join(spark.range(3).withColumnRenamed("id", "v"), "v"), rows.groupBy("v").agg(F.max("v").alias("w")), rows.limit(0)):
+        assert saved_with(empty, "empty", rows=F.count(F.lit(1)))[1] == {"rows": 0}
+
+
+def test_few_jobs_find_near_duplicates(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x y z"), (None, "x y z"), (4, None)]
+    docs = saved(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), "docs")
+    got = []
+    few = _jobs_of(spark, "near", lambda: got.extend(rows_of(one_of_each(docs).select("doc_id"))))
+    assert sorted(r[0] for r in got) == [1, 3, 4]
+    # 47 when tables were counted, and families written again, by jobs of their own
+    assert few <= 43
