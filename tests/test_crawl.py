@@ -401,3 +401,118 @@ def test_anchors_without_href_cost_no_reading(page):
     links = L.extract_links(page("<a name='n'>1</a><A HREF=' x '>2</A><a title='href'>3</a><a>4</a><a hrefs=y>5</a><a href>6</a>"))
     assert [(r.pos, r.href) for r in links.orderBy("pos").collect()] == [(1, "x"), (5, "href")]
     assert "(?i)href" in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_are_listed_once_per_number(spark, tmp_path):
+    """Markup of supplier pages is made after their rows were dealt out: no list is collected per supplier.
+    Suppliers that come twice list each part twice; keys that are null make no page."""
+    from sitegraph.catalog.frontier import shop_site
+
+    spark.createDataFrame([(1,), (2,), (None,)], "n_nationkey INT").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(3, 1), (3, 2), (100, 1), (4, None), (50, 1), (None, 2)], "s_suppkey BIGINT, s_nationkey INT").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(3, "a"), (100, "b"), (100, "b"), (10, "c"), (7, None), (4, "d"), (None, "e")], "p_partkey BIGINT, p_name STRING").write.parquet(f"{tmp_path}/part.parquet")
+    site = shop_site(spark, str(tmp_path))
+
+    def listing(kind, *keys):
+        return "<html><body><ul>" + "".join(f"<li><a href=' {kind}{k}.html '>x</a><a name='n'>y</a>" for k in keys) + "</ul></body></html>"
+
+    def item(key, name):
+        price = f"<span class='price'>${key}</span>" if key % 7 else ""
+        return f"<html><body><h1>{name}</h1><div class='box'>{price}</div><a href='index.html'>home</a></body></html>"
+
+    at = "http://shop.example/"
+    want = [(at + "index.html", listing("nation", 1, 2)), (at + "nation1.html", listing("supplier", 100, 3, 50)),
+            (at + "nation2.html", listing("supplier", 3)), (None, listing("supplier", 4)),
+            (at + "supplier3.html", listing("part", 100, 100, 100, 100, 3, 3)), (at + "supplier100.html", listing("part", 100, 100, 3)),
+            (at + "supplier4.html", listing("part", 4)), (at + "part3.html", item(3, "a")),
+            (at + "part4.html", item(4, "d")), (at + "part7.html", None)]
+    assert sorted(((r.url, r.html) for r in site.collect()), key=str) == sorted(want, key=str)
+    above: list[tuple[int, str]] = []
+    for line in site._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [a for a in above if a[0] < depth] + [(depth, line)]
+        assert "Join" not in line or not any("collect_list" in a for _, a in above)
+
+
+def test_named_tags_are_those_of_all_tokens(page):
+    """Passing over other tokens finds the same start tags at the same places."""
+    import random
+
+    from sitegraph.functions import nesting
+    from sitegraph.operators import html_nodes as H
+
+    rnd = random.Random(3)
+    bits = ["<a href=1>", "<A HREF='x'>", "<a", "<a href=2 ", "</a>", "<!-- <a href=3> -->", "<!--", "<script>", "</script>", "<script src=x>", "<b>", "<abbr>",
+            "text", " < ", "<a/>", "<![CDATA[ <a> ]]>", "<?php <a> ?>", "<!doctype x>", "<! <a>>", "<a href='<a>'>", "<a href=\"x>", "\n", "é", "'", ">", "<textarea>", "</textarea >", "<br/>"]
+    pages = page(*["".join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(400)], "", None)
+    rules = nesting.DIALECTS["html"]
+    pieces = F.filter(H._pieces(H.massage_markup(F.col("html")), rules), lambda p: p.rlike("(?i)^<(?:a|script)(?![-_.:a-zA-Z0-9])"))
+    for names in (["a"], ["script", "a"]):
+        kept = F.filter(pieces, lambda p: p.rlike("(?i)^<(?:" + "|".join(names) + ")(?![-_.:a-zA-Z0-9])"))
+        old = pages.select("page_id", F.posexplode(kept).alias("pos", "raw")).withColumn("kind", H._token_kind(F.col("raw"))).filter("kind <> 'drop'")
+        want = sorted((r.page_id, r.pos, r.kind, r.raw) for r in old.collect())
+        got = sorted((r.page_id, r.pos, r.kind, r.raw) for r in H.html_tokens(pages, names=names).collect())
+        assert got == want and len(want) > 200
+
+
+def test_one_attribute_of_a_tag(spark):
+    from sitegraph.operators import html_nodes as H
+
+    tags = ["<a href='x'>", '<A HREF = "x" >', "<a href=x>", "<a href>", "<a>", "<a href=''>", "<a title='href' href='y' id=z>", "<a href='1' href='2'>",
+            "<a href='1' href=2>", "<a href='1' href>", "<a hrefs='1'>", "<a href-x='1' href='2'>", "<a href='a&amp;b'>", "<a href='it\"s'>", "<a title=\"href='1'\" href='2'>",
+            "<a\nhref='x\ny'>", "<a href='x' =>", "<a href='x' />", "<a href='x'id='y'>", "<a = href='x'>", "<a href='x", "<a class=q href='ä'   b>", "<a href='x' >"]
+    rows = spark.createDataFrame([(t,) for t in tags], "raw STRING")
+    pairs = F.filter(H.attr_pairs(F.col("raw"), F.lit("a")), lambda a: a["k"] == "href")
+    both = rows.select("raw", F.try_element_at(pairs, F.lit(-1))["v"].alias("want"), H.attr_value(F.col("raw"), "a", "href").alias("got")).collect()
+    assert {r.raw: r.got for r in both} == {r.raw: r.want for r in both}
+
+
+def test_bare_names_are_put_behind_the_folder(spark):
+    from sitegraph.functions.urls import base_folder
+
+    bases = [RFC_BASE, "http://a", "http://a/", "file:/s/index.html", "x", "", None, "http://a/b/../c/d", "http://a/./x", "mailto:me", "?q", "http://a/b/..", "//h/p"]
+    rows = spark.createDataFrame([(b, r) for b in bases for r in [*RFC, "x y", "a\nb", ".x", None]], "base STRING, ref STRING")
+    base, ref = F.col("base"), F.col("ref")
+    odd = rows.filter(~resolve_url(base, ref).eqNullSafe(resolve_url(base, ref, base_folder(base))))
+    assert odd.collect() == []
+
+
+def test_rule_numbers_are_those_of_matched_rules(spark):
+    rules = (L.Rule("/a", 1), L.Rule("/b", 1, stop_if_matched=True), L.Rule("/ab", 1), L.Rule("/", 1, stop_if_matched=True), L.Rule("", 1))
+    links = spark.createDataFrame([("/ab",), ("/b",), ("x",), ("",), (None,)], "link STRING")
+    for some in (rules, rules[:1], rules[2:3] + rules[4:], ()):
+        want = sorted((r.link, r.rule_no) for r in L.match_rules(links, some).collect()) if some else []
+        got = links.select("link", F.explode(L.matching_rules(F.col("link"), some)).alias("n")).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_first_tasks_are_found_without_sorting_links(spark, packed):
+    """A hash table with one number per URL finds the first task, as comparing all parts of its place does."""
+    import random
+
+    rnd = random.Random(9)
+    links = [(f"/{rnd.randrange(30)}", rnd.choice("st"), rnd.randrange(50), f"/{rnd.choice('abc')}{rnd.randrange(12)}") for _ in range(600)]
+    links = spark.createDataFrame(links, "src_url STRING, seeker STRING, pos INT, link STRING")
+    seekers = {"s": L.SeekerSpec((L.Rule("/a", 2, seekers=("s",)), L.Rule("/[ab]", 9, seekers=("t",), miners=("m",)), L.Rule("/c", 9))),
+               "t": L.SeekerSpec((L.Rule("/c", 1, seekers=("s",)), L.Rule("/", 0, miners=("n",))))}
+    folder = run_folder(spark, "first")
+    graph = plans.link_graph(spark, seekers, folder, plans.lay_out(links, seekers, folder))
+    assert graph.last_pos == 49
+    seq = F.shiftleft(F.pmod(F.col("id") * 7, F.lit(3)), 33) + F.pmod(F.col("id") * 11, F.lit(31))
+    visits = spark.range(30).select(
+        F.concat(F.lit("/"), F.col("id").cast("string")).alias("url"), seq.alias("seq"), (F.col("id") % 4).cast("int").alias("hop"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("t"), F.lit("s"))).otherwise(F.array(F.lit("s"))).alias("seekers"), F.lit("").alias("status_code"))
+    want = Q.dedup_visits(plans._next_tasks(visits, graph).drop("n"), plans._ORDER)
+    found = plans._first_tasks(visits, graph if packed else plans.replace(graph, last_pos=None))
+    columns = [*plans.TASK_COLUMNS, *plans._ORDER]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, want.select(columns).collect())) != []
+    if packed:
+        limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = plans._found_links(visits, graph, look_up=False)._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and "Sort " not in plan
+            assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
